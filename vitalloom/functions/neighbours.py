@@ -54,3 +54,21 @@ def neighbour(
     return joined.withColumn(out, F.coalesce(out, "__edge")).drop(
         "__slice", "__edge", *[f"__k_{k}" for k in (*keys, "__slice")]
     )
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+                slice_by: Column) -> DataFrame:
+    """Running sum of ``value`` per key up to and with each row, sliced like
+    :func:`neighbour`: sums inside a slice, plus the total of earlier slices."""
+    rows = df.withColumns({"__slice": slice_by, "__v": value})
+    totals = rows.groupBy(*keys, "__slice").agg(F.sum("__v").alias("__total"))
+    across = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    base = totals.withColumn("__before", F.sum("__total").over(across)).where("__before IS NOT NULL")
+    for k in (*keys, "__slice"):
+        base = base.withColumnRenamed(k, f"__k_{k}")
+    inside = W.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn(out, F.sum("__v").over(inside))
+    same = [rows[k].eqNullSafe(base[f"__k_{k}"]) for k in (*keys, "__slice")]
+    return rows.join(base, same, "left").withColumn(
+        out, F.col(out) + F.coalesce("__before", F.lit(0))).drop(
+        "__slice", "__v", "__total", "__before", *[f"__k_{k}" for k in (*keys, "__slice")])
