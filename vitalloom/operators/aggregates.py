@@ -205,6 +205,9 @@ def adherence_snapshot(matched: DataFrame, logs: DataFrame, keys: Sequence[str],
         "confidence", F.when(F.col("last_reported").isNotNull(), 0.9).otherwise(0.78))
 
 
+ROLLUP_CONFIDENCE = {f"{n}/{a}": round((0.55 + n * 0.08 + a) / 2, 2) for n in range(5) for a in (0.5, 0.78, 0.9)}
+
+
 def care_rollup(base: DataFrame, entity: str, alerts: DataFrame, *, severity: str, message: str, order: Sequence[Column],
                 vitals_critical: str, labs_out: str, active: str, vitals: str, labs: str, gap: str, missed: str,
                 scheduled: str, adherence_confidence: str, has_adherence: str) -> DataFrame:
@@ -229,10 +232,12 @@ def care_rollup(base: DataFrame, entity: str, alerts: DataFrame, *, severity: st
     n = sum([(F.coalesce(x, F.lit(False))).cast("int") for x in (
         F.col(active) > 0, F.col(vitals) > 0, F.col(labs) > 0, F.col("open_alerts") > 0,
         F.col(has_adherence) & (F.col(scheduled) > 0))], F.lit(0))
+    second = F.when(F.col(has_adherence), F.coalesce(F.nullif(adherence_confidence, F.lit(0.0)), F.lit(0.5))).otherwise(0.5)
     first = F.lit(0.55) + F.least(n, F.lit(4)) * 0.08
-    conf = F.round((first + F.when(F.col(has_adherence), F.coalesce(F.nullif(adherence_confidence, F.lit(0.0)), F.lit(0.5)))
-                    .otherwise(0.5)) / 2, 2)
-    # Confidence is cut to cents after clearing binary noise, so a half cent rounds alike everywhere.
+    # The usual values are rounded once, on their exact binary value; others by Spark.
+    key = F.concat(F.least(n, F.lit(4)).cast("string"), F.lit("/"), second.cast("string"))
+    conf = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROLLUP_CONFIDENCE.items() for x in kv]), key),
+                      F.round((first + second) / 2, 2))
     return (j.withColumns({"critical_items": crit, "attention_items": att})
             .withColumns({
                 "status": F.when(F.size("critical_items") > 0, "red").when(F.size("attention_items") > 0, "yellow")

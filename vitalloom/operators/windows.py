@@ -118,26 +118,17 @@ def _first_index(array: str, test, span: int) -> Column:
 
 
 def negation_near(text: str | Column, keywords: Sequence[str], negations: Sequence[str], window: int = 4) -> Column:
-    """A keyword with a negation word within ``window`` tokens on either side."""
-    tokens = F.filter(F.split(F.lower(c(text)), "[^a-z0-9]+"), lambda x: x != "")
-    neg = F.array(*[F.lit(n) for n in negations])
-    cond = F.lit(False)
-    for phrase in keywords:
-        words = [w for w in phrase.lower().split() if w]
-        cond = cond | _phrase_near(tokens, words, neg, window)
-    return cond
-
-
-def _phrase_near(tokens: Column, words: Sequence[str], neg: Column, window: int) -> Column:
-    size, literal = len(words), F.array(*[F.lit(w) for w in words])
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(1)))
-
-    def hit(i):
-        low = F.greatest(i - window, F.lit(1))
-        around = F.slice(tokens, low, i + (size + window) - low)
-        return (F.slice(tokens, i, F.lit(size)) == literal) & F.arrays_overlap(around, neg)
-
-    return F.when(F.size(tokens) >= size, F.exists(starts, hit)).otherwise(False)
+    """A keyword with a negation word within ``window`` tokens on either side: one
+    pass of one pattern over the text with its tokens spaced singly."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(c(text)), "[^a-z0-9]+", " "), F.lit(" "))
+    return spaced.rlike(negation_pattern(keywords, negations, window))
+
+
+def negation_pattern(keywords: Sequence[str], negations: Sequence[str], window: int = 4) -> str:
+    words = [" ".join("".join(ch if ch.isalnum() else " " for ch in k.lower()).split()) for k in keywords]
+    kw, neg = "|".join(words), "|".join(negations)
+    gap = f"(?: [a-z0-9]+){{0,{window - 1}}}"
+    return f" (?:{neg}){gap} (?:{kw}) | (?:{kw}){gap} (?:{neg}) "
 
 
 def new_pairs(items: DataFrame, known: DataFrame, entity: str, item: str, time: str, *, cap: int = 10) -> DataFrame:

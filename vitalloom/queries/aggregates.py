@@ -270,7 +270,7 @@ x AS (SELECT c_custkey, list_filter([crit[1], crit[2], crit[3], CASE WHEN gap_de
    FROM customer LEFT JOIN li ON li.o_custkey = c_custkey LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN e ON e.user_id = c_custkey LEFT JOIN t ON t.user_id = c_custkey
    LEFT JOIN oa ON oa.o_custkey = c_custkey),
 roll AS (SELECT c_custkey, CASE WHEN len(c) > 0 THEN 'red' WHEN len(a) > 0 THEN 'yellow' ELSE 'green' END AS status, array_to_string(c, '; ') AS critical_items,
-   array_to_string(a, '; ') AS attention_items, CAST(round((0.55::DOUBLE + least(n, 4) * 0.08::DOUBLE + ac) / 2, 2) * 100 AS BIGINT) AS confidence FROM x)"""
+   array_to_string(a, '; ') AS attention_items, cf.v AS confidence FROM x JOIN (SELECT * FROM {sql_values([(n, a_, round(v * 100)) for n in range(5) for a_ in (0.5, 0.9) for v in [a.ROLLUP_CONFIDENCE[f'{n}/{a_}']]], 'cf(k, ac, v)')}) cf ON cf.k = least(x.n, 4) AND cf.ac = x.ac)"""
 
 
 @query("a14_status_rollup", f"WITH {ROLLUP_CTES} SELECT * FROM roll")
