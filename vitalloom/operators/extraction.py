@@ -52,7 +52,7 @@ def vital_signs(df: DataFrame, keys: Sequence[str], text: str, older: Column | N
 
     found = F.concat(*[_readings(text, k, reading) for k in VITAL_PATTERNS])
     rows = df.select(*keys, *([older.alias("__o")] if older is not None else []),
-                     *([copd.alias("__c")] if copd is not None else []), F.posexplode(found).alias("pos", "r"))
+                     *([copd.alias("__c")] if copd is not None else []), F.posexplode_outer(found).alias("pos", "r")).where("pos IS NOT NULL")
     sev = vital_severity("r.test", "r.value", "r.secondary", F.col("__o") if older is not None else None,
                          F.col("__c") if copd is not None else None)
     return rows.select(*keys, "pos", "r.test", F.round("r.value", 2).alias("value"), "r.secondary", "r.unit",
@@ -74,7 +74,7 @@ def _number(s: Column) -> Column:
 
 def lab_rows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Lab rows of a text: canonical name, value, unit and range; equal rows once."""
-    hits = df.select(*keys, F.posexplode(F.regexp_extract_all(clean_extracted(text), F.lit(LAB_ROW), 0)).alias("pos", "m"))
+    hits = exploded(df, keys, F.regexp_extract_all(clean_extracted(text), F.lit(LAB_ROW), 0), "pos", "m")
     tail = F.regexp_extract("m", LAB_ROW, 4)
     low = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 1)), _number(F.regexp_extract(tail, RANGE_PLAIN, 1)))
     high = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 2)), _number(F.regexp_extract(tail, RANGE_PLAIN, 2)))
@@ -158,10 +158,10 @@ REGIMEN_ROW = rf"{EDGE_L}([01])\s*-\s*([01])\s*-\s*([01]){EDGE_R}"
 DOSE_REPAIRS = (
     (rf"(?i)({EDGE_L})to\s+(\d{{1,4}})(\s+\d\s*-\s*\d\s*-\s*\d)", "$1$2 mg$3"),
     (rf"({EDGE_L})(\d{{1,4}})(\s+\d\s*-\s*\d\s*-\s*\d)", "$1$2 mg$3"),
-    (rf"(?i)({EDGE_L})[il]o\s*mg({EDGE_R})", "${1}10 mg$2"),
-    (rf"(?i)({EDGE_L})(\d+)oo\s*mg({EDGE_R})", "$1${2}00 mg$3"),
-    (rf"(?i)({EDGE_L})(\d+)o\s*mg({EDGE_R})", "$1${2}0 mg$3"),
-    (rf"(?i)({EDGE_L})(\d+)s[o0]\s*m({EDGE_R})", "$1${2}50 mg$3"),
+    (rf"(?i)({EDGE_L})[il]o\s*mg({EDGE_R})", "$110 mg$2"),
+    (rf"(?i)({EDGE_L})(\d+)oo\s*mg({EDGE_R})", "$1$200 mg$3"),
+    (rf"(?i)({EDGE_L})(\d+)o\s*mg({EDGE_R})", "$1$20 mg$3"),
+    (rf"(?i)({EDGE_L})(\d+)s[o0]\s*m({EDGE_R})", "$1$250 mg$3"),
     (rf"(?i)({EDGE_L})([1-9]\d+)\s*g({EDGE_R})", "$1$2 mg$3"),
     (rf"(?i)({EDGE_L})(\d+)\s*/\s*b({EDGE_R})", "$1$2/3$3"),
     (rf"(?i)({EDGE_L})3\s*tines?\s*a\s*day({EDGE_R})", "$1three times a day$2"),
@@ -189,13 +189,22 @@ def prescription_segments(text: str | Column) -> Column:
     t = F.regexp_replace(t, rf"(?i)({EDGE_L})({MARKERS})({EDGE_R})", "$1\n$2$3")
     t = F.regexp_replace(t, rf"(?i)({EDGE_L})({ENDINGS})({EDGE_R})", "$1$2\n$3")
     parts = F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(one_space(s), r"^[ .•*:;-]+|[ .•*:;-]+$", ""))
-    return F.filter(parts, lambda s: (F.length(s) >= 3) & repair_dose(s).rlike(LOOKS_LIKE_ITEM))
+    # Repair only adds what a digit asks for, so most segments settle on the first test.
+    return F.filter(parts, lambda s: (F.length(s) >= 3) & (s.rlike(LOOKS_LIKE_ITEM) | (
+        s.rlike(r"\d") & repair_dose(s).rlike(LOOKS_LIKE_ITEM))))
 
 
 def repair_dose(segment: Column) -> Column:
+    out = segment
     for pattern, new in DOSE_REPAIRS:
-        segment = F.regexp_replace(segment, pattern, new)
-    return segment
+        out = F.regexp_replace(out, pattern, new)
+    return F.when(segment.rlike(r"\d"), out).otherwise(segment)
+
+
+def exploded(df: DataFrame, keys: Sequence[str], items: Column, *names: str) -> DataFrame:
+    """Positions and items of an array. The outer form with a null test keeps Spark from
+    computing a costly array a second time just to skip empty ones."""
+    return df.select(*keys, F.posexplode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())
 
 
 def row_frequency(s: Column) -> Column:
@@ -239,7 +248,7 @@ def prescriber(text: str | Column) -> Column:
 
 def prescription_items(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Items of each prescription text, equal (name, dose, unit, frequency) once."""
-    seg = df.select(*keys, F.posexplode(prescription_segments(text)).alias("pos", "segment"))
+    seg = exploded(df, keys, prescription_segments(text), "pos", "segment")
     seg = seg.withColumn("__s", repair_dose(F.col("segment")))
     rows = seg.select(*keys, "pos", "segment", item_name(F.col("__s")).alias("item"), row_dose(F.col("__s")).alias("__d"),
                       row_frequency(F.col("__s")).alias("frequency"), phrases_in(F.col("segment"), v.INSTRUCTIONS).alias("instructions"),
@@ -252,6 +261,9 @@ def prescription_items(df: DataFrame, keys: Sequence[str], text: str) -> DataFra
         *keys, "__r.pos", "__r.item", "dose", "unit", "frequency", "__r.instructions", "__r.advice")
 
 
+# Lines that can start an item or fill a field; all others are left out before the costly patterns.
+TELLING = r"(?i)\d|one|two|three|half|" + "|".join(v.FORM_WORDS[:-1] + ("sos", "od", "bd", "tds", "qid", "hs", "once", "twice", "daily",
+                                                                     "weekly", "bedtime", "night") + v.INSTRUCTIONS + v.ADVICE)
 ITEM_LINE = rf"(?i)^\s*(?:rx\s*)?(?:{'|'.join(v.FORM_WORDS[:-1])})[\s.:-]+"
 DOSE_LINE = r"(?i)[A-Za-z][A-Za-z0-9+\-/ ]{2,}\s+\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|iu|units?)(?:$|[^0-9A-Za-z_])"
 
@@ -263,8 +275,8 @@ def prescription_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFra
     first-non-null, so only the document's own lines meet.
     """
     lines = df.select(*keys, F.posexplode(F.split(c(text), "\r\n|\r|\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", one_space("line")).where("line <> ''")
-    start = F.col("line").rlike(ITEM_LINE) | F.col("line").rlike(DOSE_LINE)
+    lines = lines.withColumn("line", one_space("line")).where(F.col("line").rlike(TELLING))
+    start = F.col("line").rlike(ITEM_LINE) | (F.col("line").rlike(r"\d") & F.col("line").rlike(DOSE_LINE))
     w = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     rows = lines.withColumn("__start", start).withColumn("item_no", F.sum(F.col("__start").cast("int")).over(w)).where("item_no > 0")
     rows = rows.withColumns({"__s": repair_dose(F.col("line"))}).withColumns({
@@ -325,7 +337,7 @@ LABELLED_DATE = rf"(?i){NB_L}date{NB_R}"
 
 def document_date(explicit: str | Column, text: str | Column) -> Column:
     """Explicit field, else a labelled line, else any line that is not to be skipped."""
-    lines = F.filter(F.split(F.coalesce(c(text), F.lit("")), "\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(F.coalesce(c(text), F.lit("")), "\r\n|\r|\n"), lambda x: x.rlike(r"\d"))
     def search(ls: Column) -> Column:
         usable = F.filter(ls, lambda x: ~has_text(F.lower(x), SKIP_LINES))
         dated = F.filter(F.transform(usable, lambda x: F.struct(

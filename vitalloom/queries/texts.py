@@ -144,14 +144,14 @@ def x17(t: Tables):
 
 
 @query("x24_chunks", r"""
-WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS n, 0 AS at, substr(text, 1, 2000) AS w FROM documents
-  UNION ALL SELECT doc_id, text, n + 1, nx, substr(text, nx + 1, 2000) FROM (SELECT doc_id, text, n, greatest(at + cut - 200, at + 1) AS nx FROM (
+WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS n, 0 AS beg, substr(text, 1, 2000) AS w FROM documents
+  UNION ALL SELECT doc_id, text, n + 1, nx, substr(text, nx + 1, 2000) FROM (SELECT doc_id, text, n, greatest(beg + cut - 200, beg + 1) AS nx FROM (
     SELECT *, CASE WHEN nl >= 1400 THEN nl WHEN dot >= 1400 THEN dot ELSE 2000 END AS cut FROM (SELECT *,
       CASE WHEN contains(w, chr(10)) THEN length(w) - strpos(reverse(w), chr(10)) ELSE -1 END AS nl,
-      CASE WHEN contains(w, '. ') THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END AS dot FROM c WHERE at + 2000 < length(text))))),
+      CASE WHEN contains(w, '. ') THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END AS dot FROM c WHERE beg + 2000 < length(text))))),
 f AS (SELECT *, CASE WHEN contains(w, chr(10)) THEN length(w) - strpos(reverse(w), chr(10)) ELSE -1 END AS nl,
       CASE WHEN contains(w, '. ') THEN length(w) - strpos(reverse(w), ' .') - 1 ELSE -1 END AS dot FROM c)
-SELECT doc_id, n AS chunk_no, at AS start, CASE WHEN at + 2000 >= length(text) THEN w WHEN nl >= 1400 THEN w[1:nl] WHEN dot >= 1400 THEN w[1:dot] ELSE w END AS chunk FROM f""")
+SELECT doc_id, n AS chunk_no, beg AS start, CASE WHEN beg + 2000 >= length(text) THEN w WHEN nl >= 1400 THEN w[1:nl] WHEN dot >= 1400 THEN w[1:dot] ELSE w END AS chunk FROM f""")
 def x24(t: Tables):
     return d.chunks(t.documents, "doc_id", "text", 2000, 200)
 
