@@ -60,7 +60,7 @@ def a5(t: Tables):
 
 
 @query("a6_vote_escalation", """
-WITH p AS (SELECT DISTINCT user_id % 40 AS a, user_id % 7 AS b, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS severity FROM events WHERE user_id < 280),
+WITH p AS (SELECT DISTINCT user_id % 40 AS a, user_id % 7 AS b, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS severity FROM events),
 v AS (SELECT 'x' || (user_id % 40) AS a, 'y' || (user_id % 7) AS b, CASE WHEN event_type IN ('click', 'view') AND user_id % 4 <> 0 THEN 'vetoed' WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'approved' ELSE 'other' END AS o FROM events),
 t AS (SELECT a, b, count(*) AS n, count(*) FILTER (o = 'approved') AS ap, count(*) FILTER (o = 'vetoed') AS ve FROM v GROUP BY 1, 2)
 SELECT 'y' || p.b AS a, 'X' || p.a AS b, coalesce(severity, 'none') AS base,
@@ -72,7 +72,7 @@ def a6(t: Tables):
     votes = t.events.select(x.alias("a"), y.alias("b"), F.when(
         F.col("event_type").isin("click", "view") & (u % 4 != 0), "vetoed").when(
         (F.col("event_type") == "error") & (u % 2 == 0), "approved").otherwise("other").alias("outcome"))
-    pairs = t.events.where(u < 280).select(y.alias("a"), F.upper(x).alias("b"), F.when(u % 3 == 0, "high").when(
+    pairs = t.events.select(y.alias("a"), F.upper(x).alias("b"), F.when(u % 3 == 0, "high").when(
         u % 3 == 1, "low").alias("severity")).distinct()
     return a.escalate_by_votes(pairs, votes, "a", "b", "severity", "outcome").select(
         "a", "b", F.coalesce("severity", F.lit("none")).alias("base"), "learned_severity")

@@ -39,12 +39,12 @@ def j2(t: Tables):
 
 @query("j3_name_fallback", f"""
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'visitor ' || o_orderkey END, c_name, '') AS visitor
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey < 12
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 3000
 WHERE o_orderdate >= TIMESTAMP '{ORDERS_AS_OF}'""")
 def j3(t: Tables):
     own = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("visitor "), F.col("o_orderkey").cast("string")))
     return (t.orders.where(F.col("o_orderdate") >= ts(ORDERS_AS_OF))
-            .join(t.customer.where("c_nationkey < 12"), F.col("o_custkey") == F.col("c_custkey"), "left")
+            .join(t.customer.where("c_acctbal > 3000"), F.col("o_custkey") == F.col("c_custkey"), "left")
             .select("o_orderkey", F.coalesce(own, "c_name", F.lit("")).alias("visitor")))
 
 

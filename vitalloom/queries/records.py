@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import ts
-from ..registry import Tables, query, sql_values
+from ..registry import Tables, query
+from ..session import scratch
 from ..sources import snapshots, tables
 
 ORDERS_AS_OF = "1998-06-01 00:00:00"
@@ -30,9 +31,7 @@ def s2(t: Tables):
 @query("s3_append_facts", """
 SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL""")
 def s3(t: Tables):
-    import tempfile
-    path = tempfile.mkdtemp(prefix="vitalloom-append-") if t.spark.sparkContext.master.startswith("local") \
-        else f"{t.spark.conf.get('spark.checkpoint.dir')}/append_{t.spark.sparkContext.applicationId}"
+    path = scratch(t.spark, "append")
     snapshots.append_facts(t.events, f"{path}/facts", time_col="ts", date_col="day")
     return (t.spark.read.parquet(f"{path}/facts")
             .groupBy("event_type", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,24 @@ def build_session(app: str = "vitalloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written tables and stream state: inside the cluster's shared
+    ``spark.checkpoint.dir``, or a local temporary one in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/vitalloom/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return tempfile.mkdtemp(prefix=f"vitalloom-{name}-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is
     set only when the session names none, as in local tests.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vitalloom-"))
+        context.setCheckpointDir(scratch(df.sparkSession, "lineage"))
     return df.checkpoint()
