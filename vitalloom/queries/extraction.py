@@ -93,15 +93,17 @@ def _rng(n):
     return f"coalesce(try_cast(nullif(regexp_extract(tail, {RL}, {n}), '') AS DOUBLE), try_cast(nullif(regexp_extract(tail, {RP}, {n}), '') AS DOUBLE), -1)"
 
 
-LAB_SQL = f"""
-WITH h AS (SELECT doc_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS m FROM (SELECT doc_id, regexp_extract_all({sql_clean('text')}, {LR}, 0) AS ms FROM ({LAB_TEXT_SQL}))),
+def lab_sql(source: str) -> str:
+    """SQL twin of the lab rows of any (doc_id, text) source."""
+    return f"""
+WITH h AS (SELECT doc_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS m FROM (SELECT doc_id, regexp_extract_all({sql_clean('text')}, {LR}, 0) AS ms FROM ({source}))),
 r AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(regexp_extract(m, {LR}, 1)), '[^a-z0-9% ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS nm,
   regexp_extract(m, {LR}, 2)::DOUBLE AS value, regexp_extract(m, {LR}, 3) AS unit, regexp_extract(m, {LR}, 4) AS tail FROM h)
 SELECT doc_id, coalesce(canon, replace(nm, ' ', '_')) AS test_name, value, unit, arg_min({_rng(1)}, pos) AS low, arg_min({_rng(2)}, pos) AS high
 FROM r LEFT JOIN {sql_values(v.LAB_ALIASES.items(), 'al(spelling, canon)')} ON spelling = nm GROUP BY 1, 2, 3, 4""".replace("'\\\\s+'", "'\\s+'")
 
 
-@query("x7_lab_rows", LAB_SQL)
+@query("x7_lab_rows", lab_sql(LAB_TEXT_SQL))
 def x7(t: Tables):
     out = x.lab_rows(lab_texts(t), ["doc_id"], "text")
     return out.select("doc_id", "test_name", "value", "unit", F.coalesce("low", F.lit(-1.0)).alias("low"), F.coalesce("high", F.lit(-1.0)).alias("high"))
@@ -162,8 +164,10 @@ def sql_phrases(s: str, phrases) -> str:
 
 SEG = f"replace({sql_space(sql_clean('text'))}, ' ', '  ')"
 SEG = rr(rr(SEG, rf"(?i)({x.EDGE_L})({x.MARKERS})({x.EDGE_R})", "$1\n$2$3"), rf"(?i)({x.EDGE_L})({x.ENDINGS})({x.EDGE_R})", "$1$2\n$3")
-RX_SQL = f"""
-WITH a AS (SELECT doc_id, string_split({SEG}, chr(10)) AS parts FROM ({RX_TEXT_SQL})),
+def rx_sql(source: str) -> str:
+    """SQL twin of the prescription items of any (doc_id, text) source."""
+    return f"""
+WITH a AS (SELECT doc_id, string_split({SEG}, chr(10)) AS parts FROM ({source})),
 b AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS p FROM a),
 c AS (SELECT doc_id, pos, {rr(sql_space('p'), '^[ .•*:;-]+|[ .•*:;-]+$', '')} AS seg FROM b),
 e AS (SELECT doc_id, pos, seg, {sql_repair('seg')} AS s FROM c WHERE length(seg) >= 3),
@@ -174,7 +178,7 @@ SELECT doc_id, arg_min(item, pos) AS item, coalesce(round(dose, 4), -1) AS dose,
   arg_min(instructions, pos) AS instructions, arg_min(advice, pos) AS advice FROM g GROUP BY doc_id, k, dose, unit, frequency"""
 
 
-@query("x9_prescription_segments", RX_SQL)
+@query("x9_prescription_segments", rx_sql(RX_TEXT_SQL))
 def x9(t: Tables):
     out = x.prescription_items(rx_texts(t), ["doc_id"], "text")
     return out.select("doc_id", "item", F.coalesce(F.round("dose", 4), F.lit(-1.0)).alias("dose"), F.coalesce("unit", F.lit("")).alias("unit"),

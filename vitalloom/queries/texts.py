@@ -119,11 +119,16 @@ def typed_documents(t: Tables):
 
 TYPED_SQL = f"SELECT doc_id, source, n_chars, text || chr(10) || {pick_sql(DOC_TAILS, 'doc_id')} AS text FROM documents"
 TYPE_ROWS = [(n, k, x, max(3, min(len(d.type_words(k)), 8))) for n, k in enumerate(v.TYPE_WORDS) for x in d.type_words(k)]
-TYPE_SQL = f"""
+def type_sql(source: str) -> str:
+    """SQL twin of the document typing of any (doc_id, text) source."""
+    return f"""
 SELECT doc_id, CASE WHEN score > 0.1 THEN kind ELSE 'unknown' END AS document_type, round(score, 2) AS type_confidence FROM (
   SELECT doc_id, arg_max(kind, score * 1000000 - n) AS kind, max(score) AS score FROM (
     SELECT doc_id, n, kind, sum(contains(lower(text), word)::INT) / any_value(size) AS score
-    FROM ({TYPED_SQL}), {sql_values(TYPE_ROWS, 'tw(n, kind, word, size)')} GROUP BY doc_id, n, kind) GROUP BY 1)"""
+    FROM ({source}), {sql_values(TYPE_ROWS, 'tw(n, kind, word, size)')} GROUP BY doc_id, n, kind) GROUP BY 1)"""
+
+
+TYPE_SQL = type_sql(TYPED_SQL)
 
 
 @query("x16_document_type", TYPE_SQL)
