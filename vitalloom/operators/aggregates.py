@@ -370,10 +370,9 @@ def shadow_sample(key: str | Column, percent: int) -> Column:
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Confusion counts with each first label's agreement rate."""
     conf = df.groupBy(F.col(a).alias("label_a"), F.col(b).alias("label_b")).agg(F.count("*").alias("n"))
-    total = conf.groupBy("label_a").agg(F.sum("n").alias("__t"), F.sum(
-        F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0)).alias("__same"))
-    return conf.join(total, "label_a").select("label_a", "label_b", "n",
-                                              F.round(F.col("__same") / F.col("__t"), 4).alias("agreement"))
+    per = W.partitionBy("label_a")
+    same = F.sum(F.when(F.col("label_a") == F.col("label_b"), F.col("n")).otherwise(0)).over(per)
+    return conf.withColumn("agreement", F.round(same / F.sum("n").over(per), 4))
 
 
 def context_flags(*, has_items: Column, repeated: Column, marker: Column, renal_relevant: Column, conditions: Column,

@@ -28,11 +28,13 @@ def edit_candidates(left: DataFrame, right: DataFrame, a: str, b: str, edits) ->
     """Distinct pairs that may lie within the edit bound: every true pair is among them.
 
     A word of length L is cut into edits(L)+1 pieces; with that many edits one
-    piece must survive unchanged, moved by at most that many places. Both sides
-    therefore meet by equality on (length, piece number, piece).
+    piece must survive unchanged. Counting the edits left and right of the piece
+    bounds how far it can have moved, so a probe offers few substrings, and both
+    sides meet by equality on (length, piece number, piece).
     """
     words = right.select(F.col(b)).where(F.length(b) > 0).distinct()
     probes = left.select(F.col(a)).where(F.length(a) > 0).distinct()
+    lengths = sorted(r[0] for r in words.select(F.length(b)).distinct().limit(1024).collect())
     n = F.length(b)
     k = F.least(edits(n), n - 1)
     def cut(text: Column, length: Column, count: Column, i: Column, shift: Column) -> Column:
@@ -43,14 +45,15 @@ def edit_candidates(left: DataFrame, right: DataFrame, a: str, b: str, edits) ->
         F.sequence(F.lit(0), k), lambda i: cut(F.col(b), n, k + 1, i, F.lit(0)))).alias("__no", "__piece"))
     m = F.length(a)
     def for_length(length: Column) -> Column:
-        kk = F.least(edits(length), length - 1)
-        return F.flatten(F.transform(F.sequence(F.lit(0), kk), lambda i: F.transform(
-            F.filter(F.sequence(-kk, kk), lambda s: (F.floor(i * length / (kk + 1)) + s >= 0)
-                     & (F.floor((i + 1) * length / (kk + 1)) + s <= m)),
-            lambda s: F.struct(length.alias("l"), i.alias("i"), cut(F.col(a), length, kk + 1, i, s).alias("p")))))
-    lengths = F.filter(F.sequence(F.greatest(F.floor(m / 3), F.lit(1)).cast("int"), m * 3), lambda x: F.abs(x - m) <= edits(x))
-    keys = F.array_distinct(F.flatten(F.transform(lengths, for_length)))
-    probe = probes.select(a, F.explode(keys).alias("__k")).select(
+        kk, gap = F.least(edits(length), length - 1), m - length
+        def for_piece(i: Column) -> Column:
+            low = F.greatest(-i, gap - (kk - i), -F.floor(i * length / (kk + 1)))
+            high = F.least(i, gap + (kk - i), m - F.floor((i + 1) * length / (kk + 1)))
+            shifts = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+            return F.transform(shifts, lambda s: F.struct(length.alias("l"), i.alias("i"), cut(F.col(a), length, kk + 1, i, s).alias("p")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), kk), for_piece))
+    near = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: F.abs(x - m) <= edits(x))
+    probe = probes.select(a, F.explode(F.array_distinct(F.flatten(F.transform(near, for_length)))).alias("__k")).select(
         a, F.col("__k.l").alias("__len"), F.col("__k.i").alias("__no"), F.col("__k.p").alias("__piece"))
     return probe.join(pieces, ["__len", "__no", "__piece"]).select(a, b).distinct()
 

@@ -12,6 +12,7 @@ from ..operators.aggregates import escalate_by_votes, worst_severity
 from ..operators.joins import (CONDITION_RULES, canonical_rules, condition_findings, duplicate_or_overlap, flagged_pairs,
                                renal_findings, without_recent)
 from ..operators.windows import union_findings
+from ..session import checkpointed
 
 SHAPE = {"entity": "bigint", "item": "string", "type": "string", "severity": "string"}
 
@@ -49,6 +50,12 @@ def safety_summary(findings: DataFrame) -> DataFrame:
 
 
 def alerts_to_raise(summary: DataFrame, context: DataFrame, keys: Sequence[str], time: str, within_seconds: float) -> DataFrame:
-    """Veto-worthy entities whose key had no equal alert within the window before."""
-    due = summary.where("requires_veto").join(context, "entity")
-    return without_recent(due, due, [*keys, "max_severity"], time, time, within_seconds, ident="entity")
+    """The summary with ``alert``: veto-worthy, and no equal alert of the key within the window before.
+
+    The summary (one row per entity) is written once, since the window needs it on both sides.
+    """
+    known = checkpointed(summary.join(context, "entity"))
+    due = known.where("requires_veto")
+    flagged = without_recent(due, due, [*keys, "max_severity"], time, time, within_seconds, ident="entity", flag="__seen")
+    calm = known.where(~F.col("requires_veto")).withColumn("__seen", F.lit(True))
+    return flagged.unionByName(calm).withColumn("alert", ~F.col("__seen")).drop("__seen")

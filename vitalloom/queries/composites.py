@@ -83,8 +83,8 @@ SELECT sm.entity, max_severity, findings, max_severity IN ('critical', 'high') A
 def p1(t: Tables):
     summary = safety.safety_summary(findings(t))
     context = t.orders.select(F.col("o_orderkey").alias("entity"), "o_custkey", "o_orderdate")
-    raised = safety.alerts_to_raise(summary, context, ["o_custkey"], "o_orderdate", 30 * 86400).select("entity", F.lit(True).alias("alert"))
-    return summary.join(raised, "entity", "left").withColumn("alert", F.coalesce("alert", F.lit(False)))
+    out = safety.alerts_to_raise(summary, context, ["o_custkey"], "o_orderdate", 30 * 86400)
+    return out.select("entity", "max_severity", "findings", "requires_veto", "alert")
 
 
 @query("p2_candidate_intake", f"""

@@ -113,18 +113,15 @@ def r6(t: Tables):
 
 @query("r6_veto_window_stream", """
 WITH p AS (SELECT o_orderkey AS k, o_orderdate AS opened FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'),
-v AS (SELECT l_orderkey AS k, min(l_shipdate) AS veto FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+v AS (SELECT DISTINCT k FROM p JOIN lineitem ON l_orderkey = k AND l_returnflag = 'R' AND l_shipdate BETWEEN opened - INTERVAL 48 HOUR AND opened + INTERVAL 48 HOUR),
 w AS (SELECT least((SELECT max(opened) FROM p), (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag = 'R')) - INTERVAL 1 SECOND AS wm)
-SELECT k, CASE WHEN veto <= opened + INTERVAL 48 HOUR THEN 'vetoed' ELSE 'finalized' END AS outcome FROM p LEFT JOIN v USING (k), w
-WHERE veto <= opened + INTERVAL 48 HOUR OR opened + INTERVAL 48 HOUR < wm""")
+SELECT p.k, CASE WHEN v.k IS NOT NULL THEN 'vetoed' ELSE 'finalized' END AS outcome FROM p LEFT JOIN v USING (k), w WHERE v.k IS NOT NULL OR opened + INTERVAL 48 HOUR < wm""")
 def r6_stream(t: Tables):
     orders = s.table_stream(t.spark, t.sf_dir, "orders.parquet").where("o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'")
     items = s.table_stream(t.spark, t.sf_dir, "lineitem.parquet").where("l_returnflag = 'R'")
-    opened = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit("proposal").alias("kind"))
-    vetoes = items.select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"), F.lit("veto").alias("kind"))
-    both = opened.withWatermark("at", "1 seconds").unionByName(vetoes.withWatermark("at", "1 seconds"))
-    out = s.timed_outcome(both, "k", "at", "kind", "proposal", "veto", 48 * 3600, "vetoed", "finalized", watermark=None)
-    return s.run_to_table(out, scratch(t.spark, "r6")).select("k", "outcome")
+    opened = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    vetoes = items.select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    return s.run_to_table(s.veto_stream(opened, vetoes, "k", "at", 48), scratch(t.spark, "r6")).select("k", "outcome")
 
 
 @query("r7_reminders", f"""
