@@ -11,7 +11,9 @@ def spark():
     from pyspark.sql import SparkSession
     session = (SparkSession.builder.master("local[*]").appName("tests").config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+               .config("spark.driver.memory", "8g")
+               # Tiny inputs: compiling each stage would cost more than running it.
+               .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

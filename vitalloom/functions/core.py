@@ -116,5 +116,9 @@ def first_match(rules: Sequence[tuple[Column, object]], default=None) -> Column:
     return out if default is None else out.otherwise(default)
 
 
-def round_half(col: Column, digits: int) -> Column:
-    return F.round(col, digits)
+def distinct_lengths(df: DataFrame, col: str, bound: int = 100_000) -> list[int]:
+    """Distinct text lengths of a column: a short list of whole numbers, checked against ``bound``."""
+    found = df.select(F.length(col).alias("n")).where("n > 0").distinct().limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} distinct lengths in {col}")
+    return sorted(r[0] for r in found)

@@ -72,15 +72,21 @@ def _number(s: Column) -> Column:
     return F.nullif(s, F.lit("")).cast("double")
 
 
+def lab_array(text: str | Column) -> Column:
+    """Lab rows of a text as an array of (test_name, value, unit, low, high), in text order."""
+    def row(m: Column) -> Column:
+        tail = F.regexp_extract(m, LAB_ROW, 4)
+        low = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 1)), _number(F.regexp_extract(tail, RANGE_PLAIN, 1)))
+        high = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 2)), _number(F.regexp_extract(tail, RANGE_PLAIN, 2)))
+        return F.struct(canonical_lab(F.regexp_extract(m, LAB_ROW, 1)).alias("test_name"),
+                        F.regexp_extract(m, LAB_ROW, 2).cast("double").alias("value"),
+                        F.regexp_extract(m, LAB_ROW, 3).alias("unit"), low.alias("low"), high.alias("high"))
+    return F.transform(F.regexp_extract_all(clean_extracted(text), F.lit(LAB_ROW), 0), row)
+
+
 def lab_rows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Lab rows of a text: canonical name, value, unit and range; equal rows once."""
-    hits = exploded(df, keys, F.regexp_extract_all(clean_extracted(text), F.lit(LAB_ROW), 0), "pos", "m")
-    tail = F.regexp_extract("m", LAB_ROW, 4)
-    low = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 1)), _number(F.regexp_extract(tail, RANGE_PLAIN, 1)))
-    high = F.coalesce(_number(F.regexp_extract(tail, RANGE_LABELLED, 2)), _number(F.regexp_extract(tail, RANGE_PLAIN, 2)))
-    rows = hits.select(*keys, "pos", canonical_lab(F.regexp_extract("m", LAB_ROW, 1)).alias("test_name"),
-                       F.regexp_extract("m", LAB_ROW, 2).cast("double").alias("value"),
-                       F.regexp_extract("m", LAB_ROW, 3).alias("unit"), low.alias("low"), high.alias("high"))
+    rows = exploded(df, keys, lab_array(text), "pos", "r").select(*keys, "pos", "r.*")
     return rows.groupBy(*keys, "test_name", "value", "unit").agg(
         F.min_by(F.struct("low", "high"), "pos").alias("__r")).select(*keys, "test_name", "value", "unit", "__r.low", "__r.high")
 
@@ -246,24 +252,35 @@ def prescriber(text: str | Column) -> Column:
     return F.when(name != "", F.concat(F.lit("Dr. "), one_space(name)))
 
 
+def _item_fields(segment: Column) -> Column:
+    """Struct of all fields of one segment; the repair runs once."""
+    return let(repair_dose(segment), lambda s: F.struct(
+        item_name(s).alias("item"), row_dose(s).alias("dose"), row_frequency(s).alias("frequency"),
+        phrases_in(segment, v.INSTRUCTIONS).alias("instructions"), phrases_in(segment, v.ADVICE).alias("advice")))
+
+
+def item_array(text: str | Column) -> Column:
+    """Items of a prescription text as an array of structs, in text order."""
+    return F.transform(prescription_segments(text), _item_fields)
+
+
+def item_key(item: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(item), "[^a-z0-9]+", " "))
+
+
 def prescription_items(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Items of each prescription text, equal (name, dose, unit, frequency) once."""
-    seg = exploded(df, keys, prescription_segments(text), "pos", "segment")
-    seg = seg.withColumn("__s", repair_dose(F.col("segment")))
-    rows = seg.select(*keys, "pos", "segment", item_name(F.col("__s")).alias("item"), row_dose(F.col("__s")).alias("__d"),
-                      row_frequency(F.col("__s")).alias("frequency"), phrases_in(F.col("segment"), v.INSTRUCTIONS).alias("instructions"),
-                      phrases_in(F.col("segment"), v.ADVICE).alias("advice")).where("item IS NOT NULL")
-    rows = rows.select(*keys, "pos", "segment", "item", F.col("__d.value").alias("dose"), F.col("__d.unit").alias("unit"),
-                       "frequency", "instructions", "advice")
-    key = F.regexp_replace(F.lower("item"), "[^a-z0-9]+", " ")
-    return rows.withColumn("__k", F.trim(key)).groupBy(*keys, "__k", "dose", "unit", "frequency").agg(
+    rows = exploded(df, keys, item_array(text), "pos", "r").where("r.item IS NOT NULL").select(
+        *keys, "pos", "r.item", F.col("r.dose.value").alias("dose"), F.col("r.dose.unit").alias("unit"), "r.frequency",
+        "r.instructions", "r.advice")
+    return rows.withColumn("__k", item_key(F.col("item"))).groupBy(*keys, "__k", "dose", "unit", "frequency").agg(
         F.min_by(F.struct("pos", "item", "instructions", "advice"), "pos").alias("__r")).select(
         *keys, "__r.pos", "__r.item", "dose", "unit", "frequency", "__r.instructions", "__r.advice")
 
 
 # Lines that can start an item or fill a field; all others are left out before the costly patterns.
-TELLING = r"(?i)\d|one|two|three|half|" + "|".join(v.FORM_WORDS[:-1] + ("sos", "od", "bd", "tds", "qid", "hs", "once", "twice", "daily",
-                                                                     "weekly", "bedtime", "night") + v.INSTRUCTIONS + v.ADVICE)
+TELLING = (r"(?i)\d|" + EDGE_L + "(?:one|two|three|half|sos|od|bd|tds|qid|hs|once|twice|daily|weekly|bedtime|night|"
+           + "|".join(v.FORM_WORDS[:-1]) + ")" + EDGE_R + "|" + "|".join(v.INSTRUCTIONS + v.ADVICE))
 ITEM_LINE = rf"(?i)^\s*(?:rx\s*)?(?:{'|'.join(v.FORM_WORDS[:-1])})[\s.:-]+"
 DOSE_LINE = r"(?i)[A-Za-z][A-Za-z0-9+\-/ ]{2,}\s+\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|iu|units?)(?:$|[^0-9A-Za-z_])"
 
@@ -274,15 +291,15 @@ def prescription_lines(df: DataFrame, keys: Sequence[str], text: str) -> DataFra
     The item number is a running count inside the document; the fields fold by
     first-non-null, so only the document's own lines meet.
     """
-    lines = df.select(*keys, F.posexplode(F.split(c(text), "\r\n|\r|\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", one_space("line")).where(F.col("line").rlike(TELLING))
-    start = F.col("line").rlike(ITEM_LINE) | (F.col("line").rlike(r"\d") & F.col("line").rlike(DOSE_LINE))
+    kept = F.filter(F.transform(F.split(c(text), "\r\n|\r|\n"), one_space), lambda x: x.rlike(TELLING))
+    fields = F.transform(kept, lambda line: F.struct(
+        (line.rlike(ITEM_LINE) | (line.rlike(r"\d") & line.rlike(DOSE_LINE))).alias("start"), _item_fields(line).alias("x")))
+    rows = exploded(df, keys, fields, "pos", "r").select(*keys, "pos", F.col("r.start").alias("__start"), "r.x.*")
     w = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("__start", start).withColumn("item_no", F.sum(F.col("__start").cast("int")).over(w)).where("item_no > 0")
-    rows = rows.withColumns({"__s": repair_dose(F.col("line"))}).withColumns({
-        "__name": F.when(F.col("__start"), item_name(F.col("__s"))), "__d": row_dose(F.col("__s")),
-        "__f": row_frequency(F.col("__s")), "__i": F.nullif(phrases_in(F.col("line"), v.INSTRUCTIONS), F.lit("")),
-        "__a": F.nullif(phrases_in(F.col("line"), v.ADVICE), F.lit(""))})
+    rows = rows.withColumn("item_no", F.sum(F.col("__start").cast("int")).over(w)).where("item_no > 0")
+    rows = rows.withColumns({
+        "__name": F.when(F.col("__start"), F.col("item")), "__d": F.col("dose"), "__f": F.col("frequency"),
+        "__i": F.nullif(F.col("instructions"), F.lit("")), "__a": F.nullif(F.col("advice"), F.lit(""))})
     def first(col):
         return F.min_by(col, F.when(col.isNotNull(), F.col("pos")))
     def all_of(col):

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import c, first_match, has_word, nonblank, seconds, substring_pattern, ts, ts_plus
+from ..functions.core import c, distinct_lengths, first_match, has_word, nonblank, seconds, substring_pattern, ts, ts_plus
 
 # Fixed values -------------------------------------------------------------
 # Vital thresholds that age and condition may shift.
@@ -69,8 +69,7 @@ def lookup_by_prefix(df: DataFrame, probes: DataFrame, key: str, probe: str, ord
     Probes are cut to their own lengths and matched by equality on that prefix,
     one branch per distinct length, so no nested loop runs.
     """
-    lengths = [r[0] for r in probes.select(F.length(probe).alias("n")).where("n > 0")
-               .distinct().orderBy("n").limit(4096).collect()]
+    lengths = distinct_lengths(probes, probe)
     wanted = probes.select(F.col(probe).alias("__probe")).distinct()
     keyed = df.withColumn("__cut", F.explode(F.array_distinct(F.transform(
         F.array(*[F.lit(n) for n in lengths]), lambda n: F.substring(F.col(key), F.lit(1), n)))))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.core import c, micros, normal_severity, pair_high, pair_low, severity_rank
+from ..functions.core import c, distinct_lengths, micros, normal_severity, pair_high, pair_low, severity_rank
 from ..functions.neighbours import neighbour, running_sum
 
 # --- unordered rule pairs ----------------------------------------------------
@@ -35,19 +35,32 @@ def match_pairs(pairs: DataFrame, rules: DataFrame, a: str, b: str, how: str = "
     return keyed.join(rules, ["low", "high"], how)
 
 
+SMALL_SET = 64
+
+
 def flagged_pairs(items: DataFrame, rules: DataFrame, entity: str, component: str) -> DataFrame:
     """Rule-flagged component pairs inside each entity, each pair once.
 
-    ``rules`` come from :func:`canonical_rules`. Work starts at the rules: an
-    entity's component is matched to the rules it opens, and the partner is then
-    looked up by (entity, component). A huge entity never meets itself, and the
-    distinct step shrinks it map-side first.
+    ``rules`` come from :func:`canonical_rules`. Only components that some rule
+    names are kept, as one set per entity, so a set is never larger than the rules'
+    vocabulary. Work starts at the rules, never at the pairs of an entity: a
+    component brings its partner list, which a small set (almost all) filters in
+    the row; of a large set each wanted partner is looked up by (entity, component).
     """
-    held = items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("__c")).distinct()
-    opened = held.withColumnRenamed("__c", "low").join(rules, "low")
-    partner = held.select(F.col(entity), F.col("__c").alias("high"))
-    return opened.join(partner, [entity, "high"]).select(entity, "low", "high",
-                                                         *[x for x in rules.columns if x not in ("low", "high")])
+    rest = [x for x in rules.columns if x not in ("low", "high")]
+    named = rules.select(F.explode(F.array("low", "high")).alias("__c")).distinct()
+    held = items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("__c")).join(named, "__c", "left_semi")
+    sets = held.groupBy(entity).agg(F.collect_set("__c").alias("__set")).where(F.size("__set") > 1)
+    partners = rules.groupBy("low").agg(F.collect_list(F.struct("high", *rest)).alias("__to"))
+
+    small = sets.where(F.size("__set") <= SMALL_SET).select(entity, "__set", F.explode("__set").alias("low"))
+    in_row = small.join(partners, "low").select(entity, "low", F.explode(F.filter(
+        "__to", lambda r: F.array_contains(F.col("__set"), r["high"]))).alias("__r")).select(entity, "low", "__r.*")
+
+    large = sets.where(F.size("__set") > SMALL_SET).select(entity, F.explode("__set").alias("__c"))
+    opened = large.withColumnRenamed("__c", "low").join(rules, "low")
+    looked_up = opened.join(large.select(F.col(entity), F.col("__c").alias("high")), [entity, "high"])
+    return in_row.unionByName(looked_up.select(entity, "low", "high", *rest))
 
 
 def duplicate_or_overlap(items: DataFrame, entity: str, ident: str, item: str, prescriber: str,
@@ -55,21 +68,22 @@ def duplicate_or_overlap(items: DataFrame, entity: str, ident: str, item: str, p
     """Per item row: is the same item held again by the entity, or one sharing a
     component? ``high`` only for the same item with a prescriber on the other row.
 
-    Counts per (entity, item) and bounds per (entity, component) answer this
-    without comparing rows with rows.
+    ``components`` is an array that depends on the item only. Counts per
+    (entity, item) and bounds per (entity, component) answer this without
+    comparing rows with rows; rows without a finding drop out before the last join.
     """
     has_rx = (F.trim(F.coalesce(F.col(prescriber).cast("string"), F.lit(""))) != "").cast("int")
-    rows = items.withColumns({"__rx": has_rx, "__parts": components})
-    same = rows.groupBy(entity, item).agg(F.count("*").alias("__n"), F.sum("__rx").alias("__n_rx"))
-    parts = (rows.select(entity, item, F.explode("__parts").alias("__part")).distinct())
+    rows = items.withColumns({"__rx": has_rx, "__parts": F.array_distinct(components)})
+    same = rows.groupBy(entity, item).agg(F.count("*").alias("__n"), F.sum("__rx").alias("__n_rx"),
+                                          F.any_value("__parts").alias("__parts"))
+    parts = same.select(entity, item, F.explode("__parts").alias("__part"))
     shared = (parts.groupBy(entity, "__part").agg(F.min(item).alias("__lo"), F.max(item).alias("__hi"))
               .where(F.col("__lo") != F.col("__hi")).select(entity, "__part"))
     overlap = (parts.join(shared, [entity, "__part"]).groupBy(entity, item)
                .agg(F.array_sort(F.collect_set("__part")).alias("shared_components")))
-    joined = rows.join(same, [entity, item]).join(overlap, [entity, item], "left")
+    found = same.drop("__parts").join(overlap, [entity, item], "left").where("__n > 1 OR shared_components IS NOT NULL")
     dup = F.col("__n") > 1
-    both = F.col("shared_components").isNotNull()
-    return joined.where(dup | both).select(
+    return rows.select(entity, ident, item, "__rx").join(found, [entity, item]).select(
         entity, ident, item,
         F.when(dup, "duplicate").otherwise("overlap").alias("finding"),
         F.when(dup & (F.col("__n_rx") - F.col("__rx") > 0), "high").otherwise("medium").alias("severity"),
@@ -208,7 +222,7 @@ def contained_names(rows: DataFrame, names: DataFrame, text: str, name: str, *,
     equality, so no nested loop runs. ``cap`` is the reference's top-k report.
     """
     vocab = names.withColumn("__n", F.lower(F.trim(F.col(name)))).where("__n <> ''")
-    lengths = [r[0] for r in vocab.select(F.length("__n")).distinct().limit(1024).collect()]
+    lengths = distinct_lengths(vocab, "__n")
     low = F.lower(F.trim(F.col(text)))
     texts = rows.select(low.alias("__t")).distinct()
     cut = texts.select("__t", F.explode(pieces_of("__t", lengths)).alias("__n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.core import c, first_match, has_text
+from ..functions.core import c, distinct_lengths, first_match, has_text
 from ..functions.text import literal_map, one_space, sequence_ratio, soundex_like
 from .joins import contained_names
 from .routing import REPAIR_TERMS
@@ -34,7 +34,7 @@ def edit_candidates(left: DataFrame, right: DataFrame, a: str, b: str, edits) ->
     """
     words = right.select(F.col(b)).where(F.length(b) > 0).distinct()
     probes = left.select(F.col(a)).where(F.length(a) > 0).distinct()
-    lengths = sorted(r[0] for r in words.select(F.length(b)).distinct().limit(1024).collect())
+    lengths = distinct_lengths(words, b)
     n = F.length(b)
     k = F.least(edits(n), n - 1)
     def cut(text: Column, length: Column, count: Column, i: Column, shift: Column) -> Column:

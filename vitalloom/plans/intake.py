@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import VETO_SEVERITIES
 from ..operators.documents import clean_extracted, document_type, keep_words, truncate_keeping
-from ..operators.extraction import lab_rows, prescription_items
+from ..operators.extraction import item_array, item_key, lab_array, lab_rows, prescription_items
 from ..operators.filters import physical_limit_ok
 from ..sources.tables import new_content
 
@@ -31,24 +31,29 @@ CONFIDENCE_FLOOR = 0.70  # fixed value
 def intake(arriving: DataFrame, history: DataFrame, *, owner: str, ident: str, text: str, budget: int = 1000) -> dict[str, DataFrame]:
     """New documents, typed, shortened, extracted and checked: one table per sink.
 
-    ``documents`` has a row per new document with its review reason; ``labs`` and
-    ``items`` hold the extracted rows of the matching types.
+    Each text is read, typed and extracted once, inside its own row. ``documents`` has a
+    row per new document with its review reason; ``labs`` and ``items`` are the
+    extracted rows of the matching types. Write ``documents`` first when all three are wanted.
     """
     fresh = new_content(arriving, history, [owner], text, ident)
     typed = document_type(fresh.withColumn(text, clean_extracted(text)), text).withColumn(
         "document_type", F.when(F.col("document_type") == "unknown", "general_note").otherwise(F.col("document_type")))
-    cut = F.lit(None).cast("struct<text:string,truncated:boolean>")
-    for kind in ("prescription", "lab_report", "discharge_summary"):
-        cut = F.when(F.col("document_type") == kind, truncate_keeping(text, budget, keep_words(kind))).otherwise(cut)
-    cut = F.coalesce(cut, truncate_keeping(text, budget, keep_words()))
-    typed = typed.withColumn("truncated", cut["truncated"])
-    labs = lab_rows(typed.where("document_type = 'lab_report'"), [ident], text).withColumn(
-        "accepted", physical_limit_ok("test_name", "value"))
-    items = prescription_items(typed.where("document_type = 'prescription'"), [ident], text)
-    found = labs.groupBy(ident).agg(F.count("*").alias("n"), F.count_if(~F.col("accepted")).alias("errors")).unionByName(
-        items.groupBy(ident).agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("errors")))
-    docs = typed.join(found, ident, "left").select(
-        ident, owner, "document_type", "type_confidence", "truncated", F.coalesce("n", F.lit(0)).alias("extracted"),
-        F.when(F.coalesce("errors", F.lit(0)) > 0, "validation_errors").when(F.col("type_confidence") < CONFIDENCE_FLOOR, "low_confidence")
+    kind = F.col("document_type")
+    cut = F.coalesce(*[F.when(kind == k, truncate_keeping(text, budget, keep_words(k))["truncated"])
+                       for k in ("prescription", "lab_report", "discharge_summary")],
+                     truncate_keeping(text, budget, keep_words())["truncated"])
+    full = typed.withColumns({"truncated": cut, "lab_values": F.when(kind == "lab_report", lab_array(text)),
+                              "medications": F.when(kind == "prescription", item_array(text))})
+    labs = F.array_distinct(F.transform("lab_values", lambda r: F.concat_ws(
+        "|", F.when(physical_limit_ok(r["test_name"], r["value"]), "ok").otherwise("bad"), r["test_name"], r["value"].cast("string"), r["unit"])))
+    items = F.array_distinct(F.transform(F.filter("medications", lambda r: r["item"].isNotNull()), lambda r: F.concat_ws(
+        "|", item_key(r["item"]), F.coalesce(r["dose"]["value"].cast("string"), F.lit("")), F.coalesce(r["dose"]["unit"], F.lit("")),
+        F.coalesce(r["frequency"], F.lit("")))))
+    counted = full.withColumns({"__bad": F.size(F.filter(labs, lambda x: x.startswith("bad|"))), "extracted": F.coalesce(
+        F.when(kind == "lab_report", F.size(labs)), F.when(kind == "prescription", F.size(items)), F.lit(0))})
+    docs = counted.select(
+        ident, owner, "document_type", "type_confidence", "truncated", "extracted", "lab_values", "medications",
+        F.when(F.coalesce("__bad", F.lit(0)) > 0, "validation_errors").when(F.col("type_confidence") < CONFIDENCE_FLOOR, "low_confidence")
         .when(F.col("truncated"), "context_truncated").otherwise("").alias("review_reason"))
-    return {"documents": docs, "labs": labs, "items": items}
+    return {"documents": docs, "labs": lab_rows(typed.where(kind == "lab_report"), [ident], text).withColumn(
+        "accepted", physical_limit_ok("test_name", "value")), "items": prescription_items(typed.where(kind == "prescription"), [ident], text)}

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import VETO_SEVERITIES
-from ..operators.aggregates import escalate_by_votes, worst_severity
+from ..functions.core import VETO_SEVERITIES, rank_severity, severity_rank
+from ..operators.aggregates import escalate_by_votes
 from ..operators.joins import (CONDITION_RULES, canonical_rules, condition_findings, duplicate_or_overlap, flagged_pairs,
                                renal_findings, without_recent)
 from ..operators.windows import union_findings
@@ -43,10 +43,10 @@ def safety_findings(items: DataFrame, rules: DataFrame, votes: DataFrame, renal_
 
 
 def safety_summary(findings: DataFrame) -> DataFrame:
-    """Worst severity, finding count and veto flag per entity."""
-    worst = worst_severity(findings, ["entity"], "severity")
-    counts = findings.groupBy("entity").agg(F.count("*").alias("findings"))
-    return worst.join(counts, "entity").withColumn("requires_veto", F.col("max_severity").isin(*VETO_SEVERITIES))
+    """Worst severity, finding count and veto flag per entity, in one pass."""
+    return findings.groupBy("entity").agg(
+        rank_severity(F.max(severity_rank("severity"))).alias("max_severity"), F.count("*").alias("findings")).withColumn(
+        "requires_veto", F.col("max_severity").isin(*VETO_SEVERITIES))
 
 
 def alerts_to_raise(summary: DataFrame, context: DataFrame, keys: Sequence[str], time: str, within_seconds: float) -> DataFrame:

@@ -102,19 +102,16 @@ def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 
 def new_content(arriving: DataFrame, history: DataFrame, keys: Sequence[str], content: str,
-                order: str) -> DataFrame:
+                ident: str) -> DataFrame:
     """Arriving rows whose (keys, SHA-256 of content) is new, the first of equal copies.
 
-    Copies are folded by a map-side ``min_by`` before the anti-join, so a group
-    of copies never gathers in one task.
+    Copies fold on narrow rows (keys, digest, unique ``ident``), map-side first, so
+    neither texts nor a group of copies gather in one task; the texts then meet
+    the surviving idents once.
     """
     digest = F.sha2(F.col(content).cast("binary"), 256)
-    rest = [n for n in arriving.columns if n not in keys]
-    firsts = (
-        arriving.withColumn("content_hash", digest)
-        .groupBy(*keys, "content_hash")
-        .agg(F.min_by(F.struct(*rest), order).alias("__row"))
-        .select(*keys, "content_hash", "__row.*")
-    )
+    firsts = (arriving.select(*keys, ident, digest.alias("content_hash")).groupBy(*keys, "content_hash")
+              .agg(F.min(ident).alias("__first")))
     seen = history.select(*keys, digest.alias("content_hash")).distinct()
-    return firsts.join(seen, [*keys, "content_hash"], "left_anti")
+    fresh = firsts.join(seen, [*keys, "content_hash"], "left_anti").select("content_hash", "__first")
+    return arriving.join(fresh, F.col(ident) == F.col("__first")).drop("__first")
