@@ -20,11 +20,11 @@ from ..functions.neighbours import neighbour, running_sum
 
 def canonical_rules(rules: DataFrame, a: str = "drug_a", b: str = "drug_b", severity: str = "severity",
                     payload: Sequence[str] = ()) -> DataFrame:
-    """One row per unordered pair (``low``, ``high``): the strongest severity."""
+    """One row per unordered pair (``low``, ``high``): the strongest severity. No component pairs with itself."""
     keyed = rules.select(pair_low(a, b).alias("low"), pair_high(a, b).alias("high"),
                          normal_severity(severity).alias("severity"), *payload)
     row = F.struct("severity", *payload)
-    return (keyed.where("low <> '' AND high <> ''").groupBy("low", "high")
+    return (keyed.where("low <> '' AND high <> '' AND low <> high").groupBy("low", "high")
             .agg(F.max_by(row, F.struct(severity_rank("severity"), *payload)).alias("__r"))
             .select("low", "high", "__r.*"))
 
