@@ -141,7 +141,8 @@ def test_cooldown_equals_a_plain_loop_over_many_slices(rows):
         got = {r["i"] for r in b.cooldown(df, ["k"], "t", "i", gap, force="f", slice_seconds=width).collect()}
         assert got == walk(data, gap)
     plain = [(k, t, i, False) for k, t, i, _ in data]
-    kept = sorted((x for x in plain if x[2] in {r["i"] for r in b.cooldown(df, ["k"], "t", "i", 300).collect()}), key=lambda x: (x[0], x[1]))
+    through = {r["i"] for r in b.cooldown(df, ["k"], "t", "i", 300).collect()}
+    kept = sorted((x for x in plain if x[2] in through), key=lambda x: (x[0], x[1]))
     assert all((q[1] - p[1]).total_seconds() >= 300 for p, q in zip(kept, kept[1:]) if p[0] == q[0])
 
 
