@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier
+from . import packing, quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer() -> str:
+    """The public vocabulary file of the packing query."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_best_fit_packing")
+def op1(table):
+    return packing.pack(table("documents"), tokenizer(), keep_ids=False)
+
+
 @query("op9_quality_classifier")
 def op9(table):
     return quality_classifier.classify(table("documents"), table("labels"))
