@@ -175,3 +175,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before, now = now, state(known)
     return known.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         known.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+#: Ids up to this number are broadcast (16 MB of longs); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``keys`` are (or, with ``left_anti``, are not) among ``ids``: broadcast behind a count, else a shuffle."""
+    small = ids.select(*keys).distinct()
+    return rows.join(F.broadcast(small) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else small, list(keys), how)
