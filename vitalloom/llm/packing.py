@@ -24,8 +24,8 @@ from . import common
 
 #: Words that a worker remembers with their ids, in each of two generations.
 REMEMBERED = 400_000
-#: Letters, and a full stop or comma: one pre-token, or two. They keep this form under the tokenizer's normaliser.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,])?")
+#: Letters and a run of marks: a pre-token each. The tokenizer's normaliser only lower-cases such words.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,:;!?#$%&*()|]*)")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -45,6 +45,11 @@ class WordEncoder:
             self.closes[number] = token.endswith("</w>")
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         missing = words.difference(self.new)
@@ -53,31 +58,37 @@ class WordEncoder:
         if len(self.new) + len(missing) > REMEMBERED and self.new:
             self.old, self.new = self.new, {}
             missing = words
-        again = [w for w in missing if w in self.old]
-        for w in again:
-            self.new[w] = self.old[w]
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        if len(self.tails) > REMEMBERED:
+            self.tails = {"": b""}
         plain, odd = [], []
-        for w in missing.difference(again):
+        for w in missing:
+            known = self.old.get(w)
+            if known is not None:
+                self.new[w] = known
+                continue
             s = w.decode("utf-8", "replace")
             m = PLAIN.fullmatch(s)
             if m:
-                plain.append((w, s, 2 if m[1] else 1))
+                plain.append((w, m[1].lower(), m[2]))
             else:
                 odd.append((w, s))
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(p[1] for p in part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.closes[ids]) + 1
-            ends = np.cumsum([p[2] for p in part]) - 1
-            if len(stops) != ends[-1] + 1:
+        stems = list({p[1] for p in plain}.difference(self.stems))
+        for at in range(0, len(stems), 2000):
+            part = stems[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = [0, *(np.flatnonzero(self.closes[ids]) + 1).tolist()]
+            if len(cut) != len(part) + 1:
                 raise ValueError("the tokenizer does not close each pre-token with </w>")
-            cut = [0, *stops[ends].tolist()]
             raw = ids.tobytes()
-            for (w, _, _), a, b in zip(part, cut, cut[1:], strict=False):
-                self.new[w] = raw[4 * a:4 * b]
-        if odd:
-            for (w, _), e in zip(odd, self.tokenizer.encode_batch_fast([s for _, s in odd], add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, dtype="<u4").tobytes()
+            for stem, a, b in zip(part, cut, cut[1:], strict=False):
+                self.stems[stem] = raw[4 * a:4 * b]
+        tails = list({p[2] for p in plain}.difference(self.tails))
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        for w, stem, tail in plain:
+            self.new[w] = self.stems[stem] + self.tails[tail]
+        self.new.update(zip([w for w, _ in odd], self._ids([s for _, s in odd]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]

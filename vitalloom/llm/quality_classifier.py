@@ -198,6 +198,19 @@ def score(stats: DataFrame, model: Model | None, default: float = 0.5) -> DataFr
     return stats.select("id", "stats").mapInArrow(run, f"id {kind}, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all columns, that score at least ``threshold``; all of them without a model."""
+    if model is None:
+        return docs
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in common.text_steps(batch, text_col):
+                yield batch.slice(i, j - i).filter(pa.array(model.score(document_statistics(data, offsets)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
