@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, minhash_dedup, packing, pii, quality_classifier
+from . import decontamination, html_extraction, license_scan, minhash_dedup, packing, pii, quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ def op2(table):
     base = F.filter("found", lambda c: c["base"])
     counts = [F.size(F.filter("found", lambda c: c["base"] & (c["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
+@query("op5_html_extraction")
+def op5(table):
+    return html_extraction.extract(table("pages"))
