@@ -185,3 +185,30 @@ def with_ids(rows: DataFrame, ids: DataFrame, *keys: str, how: str = "left_semi"
     """Rows whose ``keys`` are (or, with ``left_anti``, are not) among ``ids``: broadcast behind a count, else a shuffle."""
     small = ids.select(*keys).distinct()
     return rows.join(F.broadcast(small) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else small, list(keys), how)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by their first ``keys`` columns; one group at a time is held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cuts = np.flatnonzero(change).tolist()
+        at = 0
+        for cut in cuts:
+            held.append(batch.slice(at, cut - at))
+            yield pa.Table.from_batches(held)
+            held, at = [], cut
+        held.append(batch.slice(at))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)

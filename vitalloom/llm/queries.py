@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, license_scan, minhash_dedup, packing, pii, quality_classifier
+from . import decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, pii, quality_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,24 @@ def op2(table):
 @query("op5_html_extraction")
 def op5(table):
     return html_extraction.extract(table("pages"))
+
+
+OP7_SQL = """
+WITH RECURSIVE raw AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+good AS (
+  SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM raw
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+roots AS (SELECT x AS vec_id, min(y) AS low FROM reach GROUP BY x),
+degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id <= coalesce(low, e.vec_id) AS kept
+FROM raw e LEFT JOIN roots r ON r.vec_id = e.vec_id LEFT JOIN degree g ON g.vec_id = e.vec_id
+"""
+
+
+@query("op7_embedding_near_dedup", OP7_SQL)
+def op7(table):
+    return embedding_dedup.near_duplicates(table("embeddings"))
