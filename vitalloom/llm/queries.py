@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, pii, quality_classifier, suffix_dedup
+from . import decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, passage_dedup, pii, quality_classifier, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,11 @@ def op4(table):
     out = suffix_dedup.deduplicate(table("documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_substring_dedup")
+def op3(table):
+    out = passage_dedup.repeated_passages(table("documents"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated"), listed.alias("spans"), "component_id")
