@@ -45,6 +45,8 @@ CUES = {
     "phone": "phone tel call mobile fax telefon telephone telefono", "local_phone": "phone tel call mobile fax telefon telephone telefono",
     "number": "ssn social security insurance number", "person": "name patient dear contact by from",
 }
+#: Column of candidates; a name that no table has.
+FOUND = "__pii_candidates"
 LABELERS = ("shape", "check", "gazetteer", "cue", "glued")
 CONTEXT = 40
 
@@ -97,8 +99,8 @@ def _valid(kind: str, found: Column) -> Column:
 
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, LOCAL_PHONE, NUMBER, PERSON, HIDDEN_EMAIL), strict=True))
 #: A quick test that a text must pass before a form is looked for.
-QUICK = {"email": "contains(t, '@')", "ip": "t RLIKE '[0-9][.][0-9]'", "card": "t RLIKE '[0-9][ -]?[0-9]'", "phone": "contains(t, '+')", "local_phone": "t RLIKE '[0-9]{3}[)]?[ .-][0-9]{3}'",
-         "number": "t RLIKE '[0-9]-[0-9]{2}-[0-9]'", "person": "t RLIKE '(Mr|Mrs|Ms|Dr|Prof)[.]? [A-Z]'", "hidden_email": "t RLIKE '[(\\\\[](at|dot)[)\\\\]]'"}
+QUICK = {"email": "contains(__t, '@')", "ip": "__t RLIKE '[0-9][.][0-9]'", "card": "__t RLIKE '[0-9][ -]?[0-9]'", "phone": "contains(__t, '+')", "local_phone": "__t RLIKE '[0-9]{3}[)]?[ .-][0-9]{3}'",
+         "number": "__t RLIKE '[0-9]-[0-9]{2}-[0-9]'", "person": "__t RLIKE '(Mr|Mrs|Ms|Dr|Prof)[.]? [A-Z]'", "hidden_email": "__t RLIKE '[(\\\\[](at|dot)[)\\\\]]'"}
 
 
 def _votes(kind: str, m: Column) -> dict[str, Column]:
@@ -153,7 +155,7 @@ def _described(kind: str, m: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of candidate structs (kind, start, end, base, votes, features) of the column ``t``."""
+    """Array of candidate structs (kind, start, end, base, votes, features) of the column ``__t``."""
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,votes:string,features:array<string>>>")
     kinds = []
     for kind in KINDS:
@@ -163,8 +165,8 @@ def candidates(text: Column) -> Column:
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``candidates`` of the whole text; a null text is empty."""
-    return docs.withColumn("t", F.coalesce(F.col(text_col), F.lit(""))).withColumn("candidates", candidates(F.col("t"))).drop("t")
+    """``docs`` with the column ``FOUND``, the candidates of the whole text; a null text is empty."""
+    return docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))).withColumn(FOUND, candidates(F.col("__t"))).drop("__t")
 
 
 @dataclass
@@ -209,7 +211,7 @@ def estimate(counts: dict[str, int], rounds: int = 30) -> tuple[dict[tuple[str,
 
 def fit(found: DataFrame) -> Model:
     """Fit on the candidates of a stored table; without candidates the model keeps no wider span."""
-    each = found.select(F.explode("candidates").alias("c"))
+    each = found.select(F.explode(FOUND).alias("c"))
     counts = {r[0]: r[1] for r in each.groupBy("c.votes").count().collect()}
     reliability, posterior = estimate(counts)
     if not counts:
@@ -228,8 +230,8 @@ def _literal_map(values: dict[str, float]) -> Column:
 
 
 def accepted(model: Model) -> Column:
-    """All spans of ``candidates``: base spans, and wider ones that the classifier takes and no base span overlaps."""
-    base = F.filter("candidates", lambda c: c["base"])
+    """All spans of ``FOUND``: base spans, and wider ones that the classifier takes and no base span overlaps."""
+    base = F.filter(FOUND, lambda c: c["base"])
     if not model.weights:
         return base
     weights = _literal_map(model.weights)
@@ -241,7 +243,7 @@ def accepted(model: Model) -> Column:
         clear = ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
         return c["kind"].isin(*WIDE_KINDS) & likely(c) & clear
 
-    return F.concat(base, F.filter("candidates", wide))
+    return F.concat(base, F.filter(FOUND, wide))
 
 
 def joined(spans: Column) -> Column:
@@ -255,7 +257,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have none. Repeated rows and null ids are treated like any other; other columns are not read.
     """
     kept = common.stored(with_candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text"), "pii-candidates")
-    return kept.withColumn("found", accepted(fit(kept)))
+    return kept.select("doc_id", F.col(FOUND).alias("candidates"), accepted(fit(kept)).alias("found"))
 
 
 def masked(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
