@@ -42,13 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     hits, _ = decontamination.window_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    marked = docs.withColumn("digest", F.xxhash64("text"))
-    return common.with_ids(marked, hits, "digest", how="left_anti").select(docs.columns)
+    marked = docs.withColumn("__digest", F.xxhash64("text"))
+    return common.with_ids(marked, hits.withColumnRenamed("digest", "__digest"), "__digest", how="left_anti").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind."""
-    seen = common.stored(pii.with_candidates(docs.select("doc_id", "text")).select("candidates"), "pipeline-pii")
+    seen = common.stored(pii.with_candidates(docs.select("doc_id", "text")).select(pii.FOUND), "pipeline-pii")
     masked = pii.masked(docs, pii.fit(seen))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
