@@ -30,8 +30,7 @@ def test_flagged_pairs_equal_brute_force_and_are_symmetric(rows, held, pairs):
     assert run(pairs) == want == run([(y, x) for x, y in pairs])
 
 
-def test_large_sets_take_the_lookup_path(rows, monkeypatch):
-    monkeypatch.setattr(j, "SMALL_SET", 2)
+def test_pairs_of_large_and_small_sets(rows):
     rules = j.canonical_rules(rows([("a", "b", "high"), ("c", "d", "low"), ("a", "z", "low")], "drug_a string, drug_b string, severity string"))
     items = rows([(1, q) for q in "abcd"] + [(2, q) for q in "ab"] + [(3, "a")], "e int, item string")
     got = {tuple(r)[:3] for r in j.flagged_pairs(items, rules, "e", "item").collect()}

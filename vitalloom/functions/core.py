@@ -116,9 +116,10 @@ def first_match(rules: Sequence[tuple[Column, object]], default=None) -> Column:
     return out if default is None else out.otherwise(default)
 
 
-def distinct_lengths(df: DataFrame, col: str, bound: int = 100_000) -> list[int]:
-    """Distinct text lengths of a column: a short list of whole numbers, checked against ``bound``."""
-    found = df.select(F.length(col).alias("n")).where("n > 0").distinct().limit(bound + 1).collect()
-    if len(found) > bound:
-        raise ValueError(f"more than {bound} distinct lengths in {col}")
-    return sorted(r[0] for r in found)
+def with_lengths(rows: DataFrame, of: DataFrame, col: str, name: str) -> DataFrame:
+    """Each row once for each distinct text length of ``of[col]``, in column ``name``.
+
+    The lengths are a scalar subquery; nothing is collected while the query is built.
+    """
+    lengths = of.where(F.length(col) > 0).agg(F.array_sort(F.collect_set(F.length(col)))).scalar()
+    return rows.withColumn(name, F.explode(lengths))

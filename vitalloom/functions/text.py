@@ -88,5 +88,5 @@ def soundex_like(text: str | Column) -> Column:
     s = F.regexp_replace(F.lower(c(text)), "[^a-z]", "")
     codes = F.translate(s, "aeiouyhwbfpvcgjkqsxzdtlmnr", "00000000111122222222334556")
     collapsed = F.regexp_replace(codes, r"(.)\1+", "$1")
-    rest = F.replace(F.substring(collapsed, 2, 1000), F.lit("0"), F.lit(""))
+    rest = F.replace(F.substring(collapsed, F.lit(2), F.length(collapsed)), F.lit("0"), F.lit(""))
     return F.when(s == "", "").otherwise(F.substring(F.concat(F.upper(F.substring(s, 1, 1)), rest, F.lit("000")), 1, 4))

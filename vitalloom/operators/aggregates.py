@@ -288,30 +288,39 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)
 
 
-def nearest_label(df: DataFrame, centroids: DataFrame, label: str, vector: str, *, thresholds: Mapping | None = None,
-                  default_threshold: float = 0.55, blocked: Sequence = (), max_labels: int = 4096) -> DataFrame:
-    """Best label by cosine, ``unknown`` under the label's threshold.
+def unit(v: str | Column) -> Column:
+    """Vector scaled to length one; a zero vector stays zero."""
+    norm = F.sqrt(F.aggregate(c(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(c(v), lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
-    The centroids travel as one row (label count is checked against
-    ``max_labels``), so each vector is scored in place without a shuffle.
+
+def nearest_label(df: DataFrame, centroids: DataFrame, label: str, vector: str, keys: Sequence[str], *, thresholds: Mapping | None = None,
+                  default_threshold: float = 0.55, blocked: Sequence = (), block: int = 256) -> DataFrame:
+    """Best label by cosine, ``unknown`` under the label's threshold; ``keys`` name a row.
+
+    Unit centroids travel in blocks of about ``block`` labels. A vector meets every
+    block by an equality join, keeps its best label of each, then the best of all,
+    so no number of labels is too many.
     """
-    packed = centroids.where(~F.col(label).isin(*blocked)) if blocked else centroids
-    packed = packed.limit(max_labels + 1).agg(
-        F.array_sort(F.collect_list(F.struct(label, "centroid"))).alias("__cents"))
-    packed = packed.select(F.lit(1).alias("__one"), F.when(F.size("__cents") <= max_labels, F.col("__cents")).otherwise(
-        F.raise_error(F.lit(f"more than {max_labels} labels"))).alias("__cents"))
-    scored = (df.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one", "left")
-              .withColumn("__best", F.array_max(F.transform("__cents", lambda x: F.struct(
-                  cosine(vector, x["centroid"]).alias("score"), (-x[label]).alias("neg") if _numeric(centroids, label)
-                  else x[label].alias("neg"), x[label].alias("label"))))))
+    wanted = centroids.where(~F.col(label).isin(*blocked)) if blocked else centroids
+    blocks = wanted.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int")).scalar()
+    number = wanted.select(F.col(label), unit("centroid").alias("__u")).withColumn("__no", F.pmod(F.xxhash64(label), blocks).cast("int"))
+    packed = number.groupBy("__no").agg(F.collect_list(F.struct(label, "__u")).alias("__cents"))
+    one = df.select(*keys, unit(vector).alias("__v")).withColumn("__no", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
+    def scored(x: Column) -> Column:
+        dot = F.aggregate(F.zip_with("__v", x["__u"], lambda p, q: p * q), F.lit(0.0), lambda s, y: s + y)
+        return F.struct(dot.alias("score"), (-x[label] if _numeric(centroids, label) else x[label]).alias("neg"), x[label].alias("label"))
+
+    best = one.join(packed, "__no").select(*keys, F.array_max(F.transform("__cents", scored)).alias("__b")).groupBy(*keys).agg(F.max("__b").alias("__best"))
     limit = F.lit(default_threshold)
     for name, value in (thresholds or {}).items():
         limit = F.when(F.col("__best.label") == name, value).otherwise(limit)
     known = F.col("__best.score") >= limit
-    return scored.withColumns({
+    return df.join(best, list(keys), "left").withColumns({
         "score": F.col("__best.score"),
         "predicted": F.when(known, F.col("__best.label").cast("string")).otherwise("unknown"),
-    }).drop("__one", "__cents", "__best")
+    }).drop("__best")
 
 
 def _numeric(df: DataFrame, col: str) -> bool:

@@ -259,18 +259,13 @@ def decision_hash(entity: str | Column, item: str | Column, held: str | Column,
 
 
 def corpus_hash(df: DataFrame, *columns: str) -> DataFrame:
-    """One order-free digest of a table: counts of row digests summed by their first byte, then hashed.
+    """One order-free digest of a table: whole row digests summed in five parts by their first byte, then hashed.
 
     Rows fold map-side to 256 sums, so the table is never gathered.
     """
     digest = F.sha2(F.concat_ws("\x1f", *[F.col(x).cast("string") for x in columns]), 256)
-    part = F.conv(F.substring(digest, 3, 12), 16, 10).cast("decimal(38,0)")
-    sums = df.select(F.substring(digest, 1, 2).alias("k"), part.alias("p")).groupBy("k").agg(
-        F.count("*").alias("n"), F.sum("p").alias("s"))
-    return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "n", F.col("s").cast("string")))), ","), 256)
+    parts = [F.conv(F.substring(digest, 3 + 13 * i, 13), 16, 10).cast("decimal(38,0)").alias(f"p{i}") for i in range(5)]
+    sums = df.select(F.substring(digest, 1, 2).alias("k"), *parts).groupBy("k").agg(
+        F.count("*").alias("n"), *[F.sum(f"p{i}").cast("string").alias(f"s{i}") for i in range(5)])
+    return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "n", *[f"s{i}" for i in range(5)]))), ","), 256)
                     .alias("corpus_hash"))
-
-
-def rank_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

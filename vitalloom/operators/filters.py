@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import c, distinct_lengths, first_match, has_word, nonblank, seconds, substring_pattern, ts, ts_plus
+from ..functions.core import c, first_match, has_word, with_lengths, nonblank, seconds, substring_pattern, ts, ts_plus
 
 # Fixed values -------------------------------------------------------------
 # Vital thresholds that age and condition may shift.
@@ -67,12 +67,11 @@ def lookup_by_prefix(df: DataFrame, probes: DataFrame, key: str, probe: str, ord
     """Best row per probe: exact match first, else newest prefix match; flags ambiguity.
 
     Probes are cut to their own lengths and matched by equality on that prefix,
-    one branch per distinct length, so no nested loop runs.
+    a cut for each distinct length, so no nested loop runs.
     """
-    lengths = distinct_lengths(probes, probe)
     wanted = probes.select(F.col(probe).alias("__probe")).distinct()
-    keyed = df.withColumn("__cut", F.explode(F.array_distinct(F.transform(
-        F.array(*[F.lit(n) for n in lengths]), lambda n: F.substring(F.col(key), F.lit(1), n)))))
+    keyed = (with_lengths(df, probes, probe, "__len").where(F.col("__len") <= F.length(key))
+             .withColumn("__cut", F.substring(F.col(key), F.lit(1), F.col("__len"))).drop("__len"))
     hits = keyed.join(wanted, F.col("__cut") == F.col("__probe")).drop("__cut")
     rank = F.struct((F.col(key) == F.col("__probe")).cast("int"), F.col(order), F.col(key))
     return (hits.groupBy(F.col("__probe").alias(probe))

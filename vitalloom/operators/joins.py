@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.core import c, distinct_lengths, micros, normal_severity, pair_high, pair_low, severity_rank
+from ..functions.core import c, with_lengths, micros, normal_severity, pair_high, pair_low, severity_rank
 from ..functions.neighbours import neighbour, running_sum
 
 # --- unordered rule pairs ----------------------------------------------------
@@ -35,32 +35,18 @@ def match_pairs(pairs: DataFrame, rules: DataFrame, a: str, b: str, how: str = "
     return keyed.join(rules, ["low", "high"], how)
 
 
-SMALL_SET = 64
-
-
 def flagged_pairs(items: DataFrame, rules: DataFrame, entity: str, component: str) -> DataFrame:
     """Rule-flagged component pairs inside each entity, each pair once.
 
-    ``rules`` come from :func:`canonical_rules`. Only components that some rule
-    names are kept, as one set per entity, so a set is never larger than the rules'
-    vocabulary. Work starts at the rules, never at the pairs of an entity: a
-    component brings its partner list, which a small set (almost all) filters in
-    the row; of a large set each wanted partner is looked up by (entity, component).
+    ``rules`` come from :func:`canonical_rules`. Work starts at the rules, never at
+    the pairs of an entity: each distinct component of an entity opens the rules
+    that name it first, and the other component is looked up by (entity,
+    component). Nothing is gathered per entity or per component.
     """
     rest = [x for x in rules.columns if x not in ("low", "high")]
-    named = rules.select(F.explode(F.array("low", "high")).alias("__c")).distinct()
-    held = items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("__c")).join(named, "__c", "left_semi")
-    sets = held.groupBy(entity).agg(F.collect_set("__c").alias("__set")).where(F.size("__set") > 1)
-    partners = rules.groupBy("low").agg(F.collect_list(F.struct("high", *rest)).alias("__to"))
-
-    small = sets.where(F.size("__set") <= SMALL_SET).select(entity, "__set", F.explode("__set").alias("low"))
-    in_row = small.join(partners, "low").select(entity, "low", F.explode(F.filter(
-        "__to", lambda r: F.array_contains(F.col("__set"), r["high"]))).alias("__r")).select(entity, "low", "__r.*")
-
-    large = sets.where(F.size("__set") > SMALL_SET).select(entity, F.explode("__set").alias("__c"))
-    opened = large.withColumnRenamed("__c", "low").join(rules, "low")
-    looked_up = opened.join(large.select(F.col(entity), F.col("__c").alias("high")), [entity, "high"])
-    return in_row.unionByName(looked_up.select(entity, "low", "high", *rest))
+    held = items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("low")).distinct()
+    return (held.join(rules, "low").join(held.withColumnRenamed("low", "high"), [entity, "high"], "left_semi")
+            .select(entity, "low", "high", *rest))
 
 
 def duplicate_or_overlap(items: DataFrame, entity: str, ident: str, item: str, prescriber: str,
@@ -202,19 +188,6 @@ def nearest_within(points: DataFrame, places: DataFrame, ident: str, lat: str, l
 # --- containment ----------------------------------------------------------------
 
 
-def pieces_of(text: str | Column, lengths: Sequence[int]) -> Column:
-    """Distinct substrings of the given lengths."""
-    t = c(text)
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(t) - (n - 1))
-        return F.when(F.length(t) >= n, F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))) \
-            .otherwise(F.array().cast("array<string>"))
-
-    parts = [of_length(n) for n in sorted(set(lengths))]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-
-
 def contained_names(rows: DataFrame, names: DataFrame, text: str, name: str, *, cap: int | None = None) -> DataFrame:
     """Rows × names where the lower-case name occurs in the text, longest first.
 
@@ -222,10 +195,11 @@ def contained_names(rows: DataFrame, names: DataFrame, text: str, name: str, *,
     equality, so no nested loop runs. ``cap`` is the reference's top-k report.
     """
     vocab = names.withColumn("__n", F.lower(F.trim(F.col(name)))).where("__n <> ''")
-    lengths = distinct_lengths(vocab, "__n")
     low = F.lower(F.trim(F.col(text)))
     texts = rows.select(low.alias("__t")).distinct()
-    cut = texts.select("__t", F.explode(pieces_of("__t", lengths)).alias("__n"))
+    sized = with_lengths(texts, vocab, "__n", "__len").where(F.col("__len") <= F.length("__t"))
+    starts = F.sequence(F.lit(1), F.length("__t") - F.col("__len") + 1)
+    cut = sized.select("__t", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("__t", i, F.col("__len"))))).alias("__n"))
     hits = cut.join(vocab, "__n").withColumn(
         "match", F.when(F.col("__t") == F.col("__n"), "equal")
         .when(F.array_contains(F.split(F.replace("__t", F.lit("+"), F.lit(" ")), " +"), F.col("__n")), "token")

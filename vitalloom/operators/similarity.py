@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.core import c, distinct_lengths, first_match, has_text
-from ..functions.text import literal_map, one_space, sequence_ratio, soundex_like
+from ..functions.core import c, first_match, has_text, with_lengths
+from ..functions.text import one_space, sequence_ratio, soundex_like
 from .joins import contained_names
 from .routing import REPAIR_TERMS
 
@@ -34,7 +34,6 @@ def edit_candidates(left: DataFrame, right: DataFrame, a: str, b: str, edits) ->
     """
     words = right.select(F.col(b)).where(F.length(b) > 0).distinct()
     probes = left.select(F.col(a)).where(F.length(a) > 0).distinct()
-    lengths = distinct_lengths(words, b)
     n = F.length(b)
     k = F.least(edits(n), n - 1)
     def cut(text: Column, length: Column, count: Column, i: Column, shift: Column) -> Column:
@@ -44,17 +43,16 @@ def edit_candidates(left: DataFrame, right: DataFrame, a: str, b: str, edits) ->
     pieces = words.select(b, n.alias("__len"), F.posexplode(F.transform(
         F.sequence(F.lit(0), k), lambda i: cut(F.col(b), n, k + 1, i, F.lit(0)))).alias("__no", "__piece"))
     m = F.length(a)
-    def for_length(length: Column) -> Column:
-        kk, gap = F.least(edits(length), length - 1), m - length
-        def for_piece(i: Column) -> Column:
-            low = F.greatest(-i, gap - (kk - i), -F.floor(i * length / (kk + 1)))
-            high = F.least(i, gap + (kk - i), m - F.floor((i + 1) * length / (kk + 1)))
-            shifts = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
-            return F.transform(shifts, lambda s: F.struct(length.alias("l"), i.alias("i"), cut(F.col(a), length, kk + 1, i, s).alias("p")))
-        return F.flatten(F.transform(F.sequence(F.lit(0), kk), for_piece))
-    near = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: F.abs(x - m) <= edits(x))
-    probe = probes.select(a, F.explode(F.array_distinct(F.flatten(F.transform(near, for_length)))).alias("__k")).select(
-        a, F.col("__k.l").alias("__len"), F.col("__k.i").alias("__no"), F.col("__k.p").alias("__piece"))
+    length = F.col("__len")
+    kk, gap = F.least(edits(length), length - 1), m - length
+    def for_piece(i: Column) -> Column:
+        low = F.greatest(-i, gap - (kk - i), -F.floor(i * length / (kk + 1)))
+        high = F.least(i, gap + (kk - i), m - F.floor((i + 1) * length / (kk + 1)))
+        shifts = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(shifts, lambda s: F.struct(i.alias("i"), cut(F.col(a), length, kk + 1, i, s).alias("p")))
+    near = with_lengths(probes, words, b, "__len").where(F.abs(length - m) <= edits(length))
+    probe = near.select(a, "__len", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), kk), for_piece)))).alias("__k")).select(
+        a, "__len", F.col("__k.i").alias("__no"), F.col("__k.p").alias("__piece"))
     return probe.join(pieces, ["__len", "__no", "__piece"]).select(a, b).distinct()
 
 
@@ -198,7 +196,3 @@ def mentioned_item(messages: DataFrame, items: DataFrame, entity: str, item: str
     j = messages.withColumn("__m", F.lower(F.col(mention)))
     j = j.join(exact, (j[entity] == exact[entity]) & (j["__m"] == exact["__item"]), "left").drop(exact[entity]).drop("__item", "__m")
     return j.join(single, entity, "left").withColumn("matched_item", F.coalesce("__hit", "__only")).drop("__hit", "__only")
-
-
-def token_lookup(mapping: Mapping[str, str], token: Column) -> Column:
-    return F.try_element_at(literal_map(mapping), token)

@@ -26,7 +26,7 @@ def safety_inputs(t: Tables):
     terms = small_table(t.spark, TERMS, "term string, advisory_egfr double, warning_egfr double, critical_egfr double")
     renal = j.contained_names(t.part.select("p_name").distinct(), terms, "p_name", "term").select(
         "p_name", "advisory_egfr", "warning_egfr", "critical_egfr", F.lit("medium").alias("default_severity"))
-    votes = part_rules(t, 0).select("drug_a", "drug_b", F.when(F.col("severity").isin("low", "medium", "high"), "vetoed").otherwise("approved").alias("outcome"))
+    votes = part_rules(t).select("drug_a", "drug_b", F.when(F.col("severity").isin("low", "medium", "high"), "vetoed").otherwise("approved").alias("outcome"))
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     return {
         "items": held_items(t).withColumn("rx", F.when(F.col("l_suppkey") % 4 == 0, " ").otherwise("dr")), "rules": part_rules(t), "votes": votes,

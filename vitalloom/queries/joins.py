@@ -48,9 +48,9 @@ def j3(t: Tables):
             .select("o_orderkey", F.coalesce(own, "c_name", F.lit("")).alias("visitor")))
 
 
-def part_rules(t: Tables, size_from: int = 46):
+def part_rules(t: Tables):
     """Interaction rules between part names: a part and the part after it."""
-    a = t.part.where(F.col("p_size") >= size_from).select(
+    a = t.part.select(
         F.col("p_partkey"), F.col("p_name").alias("drug_a"),
         F.element_at(F.array(*[F.lit(s) for s in ("low", "medium", "high", "critical")]),
                      (F.col("p_size") % 4 + 1).cast("int")).alias("severity"))
@@ -67,7 +67,7 @@ def held_items(t: Tables):
 SEV = "(['low','medium','high','critical'])"
 RULES_CTE = """
 rules AS (SELECT least(a.p_name, b.p_name) AS low, greatest(a.p_name, b.p_name) AS high, max(a.p_size % 4 + 1) AS rank
-  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size >= 46 AND a.p_name <> b.p_name GROUP BY 1, 2)"""
+  FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_name <> b.p_name GROUP BY 1, 2)"""
 ITEMS_CTE = "items AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 

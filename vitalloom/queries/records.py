@@ -51,7 +51,7 @@ u AS (SELECT o_custkey AS custkey, arg_max(o_totalprice, o_orderkey) AS last_pri
              arg_min(o_orderdate, o_orderkey) AS first_seen, arg_max(o_orderdate, o_orderkey) AS expires_at,
              count(*) AS uses, bool_or(o_orderstatus = 'F') AS flagged,
              list_sort(list(DISTINCT o_orderpriority)) AS tags, TRUE AS u
-      FROM orders WHERE o_orderdate < TIMESTAMP '{ORDERS_AS_OF}' GROUP BY 1)
+      FROM orders GROUP BY 1)
 SELECT custkey, CASE WHEN u.u THEN u.last_price ELSE b.last_price END AS last_price,
        coalesce(b.first_seen, u.first_seen) AS first_seen,
        CASE WHEN u.u IS NULL THEN b.expires_at WHEN b.state = 'pending' THEN b.expires_at
@@ -70,7 +70,7 @@ def s4(t: Tables):
         F.when(k % 3 == 0, ts("1994-06-01")).alias("expires_at"),
         (k % 5).alias("uses"), (F.col("c_nationkey") == 3).alias("flagged"),
         F.array(F.lit("2-HIGH")).alias("tags"))
-    updates = t.orders.where(F.col("o_orderdate") < ts(ORDERS_AS_OF)).select(
+    updates = t.orders.select(
         F.col("o_custkey").alias("custkey"), F.col("o_totalprice").alias("last_price"),
         F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("expires_at"),
         F.lit(1).cast("bigint").alias("uses"), (F.col("o_orderstatus") == "F").alias("flagged"),

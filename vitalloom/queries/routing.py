@@ -22,14 +22,14 @@ SHORT = ["approve", "haan", "nahi", "hello", "liya", "reject this"]
 
 
 def routed_messages(t: Tables):
-    """Half of the messages keep their prose, the others are the care phrase alone."""
+    """Every message with a care phrase after its own text."""
     k = F.col("conv_id") * 8 + F.col("turn")
     tail = F.when(k % 5 == 4, pick(SHORT, F.floor(k / 5))).otherwise(pick(ROUTE_TAILS, k))
-    msg = F.when(k % 2 == 0, F.concat_ws(" ", "text", tail)).otherwise(tail)
+    msg = F.concat_ws(" ", "text", tail)
     return t.conversations.select("conv_id", "turn", "role", msg.alias("msg"), pick(CONTEXTS, k).alias("context"), pick(MEDIA, k).alias("media"))
 
 
-MSG_SQL = f"""SELECT conv_id, turn, role, CASE WHEN k % 2 = 0 THEN text || ' ' || tail ELSE tail END AS msg, {pick_sql(CONTEXTS, 'k')} AS context, {pick_sql(MEDIA, 'k')} AS media
+MSG_SQL = f"""SELECT conv_id, turn, role, text || ' ' || tail AS msg, {pick_sql(CONTEXTS, 'k')} AS context, {pick_sql(MEDIA, 'k')} AS media
  FROM (SELECT *, CASE WHEN k % 5 = 4 THEN {pick_sql(SHORT, 'k // 5')} ELSE {pick_sql(ROUTE_TAILS, 'k')} END AS tail FROM (SELECT *, conv_id * 8 + turn AS k FROM conversations))"""
 
 
@@ -120,15 +120,14 @@ COMPOUND_TAILS = ["dawai le li, bukhar hai and lunch skip kiya also neend nahi a
 
 def compound_messages(t: Tables):
     k = F.col("conv_id") + F.col("turn")
-    return t.conversations.select("conv_id", "turn", F.when(k % 2 == 0, pick(COMPOUND_TAILS, F.floor(k / 2))).otherwise(
-        F.concat_ws(", ", pick(COMPOUND_TAILS, k), "text")).alias("msg"), F.lit("status_query").alias("primary"))
+    return t.conversations.select("conv_id", "turn", F.concat_ws(", ", pick(COMPOUND_TAILS, k), "text").alias("msg"), F.lit("status_query").alias("primary"))
 
 
 CL_SPLIT = sql_literal(r.CLAUSE_SPLIT)
 CLAUSE_SQL = f"""
 SELECT conv_id, turn, generate_subscripts(cs, 1) - 1 AS pos, unnest(cs) AS msg FROM (SELECT conv_id, turn, list_filter(ps, lambda p: regexp_matches(p, '\\S\\s+\\S'))[1:5] AS cs FROM (
   SELECT conv_id, turn, msg, list_filter(list_transform(string_split_regex(msg, {CL_SPLIT}), lambda p: regexp_replace(p, '^[ .!?]+|[ .!?]+$', '', 'g')), lambda p: p <> '') AS ps FROM (
-    SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 2 = 0 THEN {pick_sql(COMPOUND_TAILS, '(conv_id + turn) // 2')} ELSE {pick_sql(COMPOUND_TAILS, 'conv_id + turn')} || ', ' || text END AS msg FROM conversations))
+    SELECT conv_id, turn, {pick_sql(COMPOUND_TAILS, 'conv_id + turn')} || ', ' || text AS msg FROM conversations))
   WHERE (len(string_split(trim(regexp_replace(msg, '\\s+', ' ', 'g')), ' ')) > 10 OR len(ps) >= 3) AND regexp_matches(msg, {CL_SPLIT}))""".replace("\\\\", "\\")
 
 
@@ -144,7 +143,7 @@ VOICE_SQL = "CASE " + " ".join(f"WHEN {_w(ws, 'lower(clause)')} THEN '{k}'" for
 
 @query("x21_voice_events", f"""
 WITH c AS (SELECT conv_id, turn, generate_subscripts(ps, 1) - 1 AS pos, trim(unnest(ps)) AS clause FROM (
-  SELECT conv_id, turn, string_split_regex(CASE WHEN (conv_id + turn) % 2 = 0 THEN {pick_sql(COMPOUND_TAILS, '(conv_id + turn) // 2')} ELSE {pick_sql(COMPOUND_TAILS, 'conv_id + turn')} || ', ' || text END, {sql_literal(r.VOICE_SPLIT)}) AS ps FROM conversations))
+  SELECT conv_id, turn, string_split_regex({pick_sql(COMPOUND_TAILS, 'conv_id + turn')} || ', ' || text, {sql_literal(r.VOICE_SPLIT)}) AS ps FROM conversations))
 SELECT * FROM (SELECT conv_id, turn, pos, {VOICE_SQL} AS event_type FROM c WHERE clause <> '') WHERE event_type IS NOT NULL""")
 def x21_voice(t: Tables):
     return r.voice_events(compound_messages(t), ["conv_id", "turn"], "msg").select("conv_id", "turn", "pos", "event_type")

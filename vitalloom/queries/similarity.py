@@ -23,7 +23,7 @@ def sound_sql(x: str) -> str:
 def typo_names(t: Tables):
     """Part names with one character left out."""
     n = (F.col("p_partkey") % F.length("p_name")).cast("int")
-    return t.part.select("p_partkey", F.concat(F.substring("p_name", F.lit(1), n), F.substring("p_name", n + 2, F.lit(100))).alias("raw"))
+    return t.part.select("p_partkey", F.concat(F.substring("p_name", F.lit(1), n), F.substring("p_name", n + 2, F.length("p_name"))).alias("raw"))
 
 
 @query("j18_fuzzy_name_join", f"""
@@ -89,7 +89,7 @@ def x2(t: Tables):
 
 
 @query("x22_nearest_seed", """
-WITH m AS (SELECT conv_id, turn, trim(regexp_replace(lower(CASE WHEN (conv_id + turn) % 4 = 0 THEN b.text WHEN (conv_id + turn) % 4 = 1 THEN c.text || ' ' || b.text WHEN (conv_id + turn) % 4 = 2 THEN b.text || ' and more' ELSE c.text END), '\\s+', ' ', 'g')) AS mt
+WITH m AS (SELECT conv_id, turn, trim(regexp_replace(lower(CASE WHEN (conv_id + turn) % 4 = 3 THEN c.text ELSE c.text || ' ' || b.text END), '\\s+', ' ', 'g')) AS mt
   FROM conversations c JOIN benchmark b ON b.item_id = (conv_id + turn) % 40),
 s AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS st FROM benchmark),
 p AS (SELECT conv_id, turn, item_id, mt, st, list_distinct(string_split(mt, ' ')) AS ms, list_distinct(string_split(st, ' ')) AS ss FROM m, s),
@@ -101,8 +101,7 @@ def x22(t: Tables):
     k = (F.col("conv_id") + F.col("turn")) % 4
     b = t.benchmark.select(F.col("item_id").alias("__i"), F.col("text").alias("__b"))
     msgs = t.conversations.join(b, (F.col("conv_id") + F.col("turn")) % 40 == F.col("__i")).select(
-        "conv_id", "turn", F.when(k == 0, F.col("__b")).when(k == 1, F.concat_ws(" ", "text", "__b")).when(
-            k == 2, F.concat("__b", F.lit(" and more"))).otherwise(F.col("text")).alias("msg"))
+        "conv_id", "turn", F.when(k == 3, F.col("text")).otherwise(F.concat_ws(" ", "text", "__b")).alias("msg"))
     return s.nearest_seed(msgs, t.benchmark.select("item_id", "text"), ["conv_id", "turn"], "msg", "item_id", "text")
 
 
@@ -113,6 +112,6 @@ TYPO_TAILS = ["chestoain", "heartatack", "not breathng", "chess pawn", "callambu
 @query("x33_compact_typo")
 def x33(t: Tables):
     k = F.col("conv_id") + F.col("turn")
-    msg = F.when(k % 2 == 0, pick(TYPO_TAILS, k)).otherwise(F.concat_ws(" ", "text", pick(TYPO_TAILS, k)))
+    msg = F.concat_ws(" ", "text", pick(TYPO_TAILS, k))
     rows = t.conversations.select("conv_id", "turn", F.lower(msg).alias("msg"))
     return s.compact_typos(rows, ["conv_id", "turn"], "msg", TYPO_PHRASES).select("conv_id", "turn", "typo")

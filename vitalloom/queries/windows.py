@@ -191,7 +191,7 @@ b AS (SELECT vec_id, arg_max(label, score) AS label, max(score) AS score FROM s
 SELECT vec_id, round(score, 5) AS score, CASE WHEN score >= CASE label WHEN 3 THEN 0.4 ELSE 0.2 END THEN label::VARCHAR ELSE 'unknown' END AS predicted FROM b""")
 def t5(t: Tables):
     cents = a.label_centroids(t.embeddings, "label", "embedding", 64)
-    out = a.nearest_label(t.embeddings, cents, "label", "embedding", thresholds={3: 0.4}, default_threshold=0.2, blocked=[9])
+    out = a.nearest_label(t.embeddings, cents, "label", "embedding", ["vec_id"], thresholds={3: 0.4}, default_threshold=0.2, blocked=[9])
     return out.select("vec_id", F.round("score", 5).alias("score"), "predicted")
 
 

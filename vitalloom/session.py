@@ -26,19 +26,6 @@ def build_session(app: str = "vitalloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share out a table of few files when the work per row is heavy.
-
-    A scan of many partitions, or of at least as many files as the cluster has
-    cores, is left as it is, so at scale no shuffle is added. Byte splits of a
-    few files do not count: one row group stays with one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream state: inside the cluster's shared
     ``spark.checkpoint.dir``, or a local temporary one in local mode only."""

@@ -18,10 +18,10 @@ from ..functions.neighbours import neighbour
 
 def append_facts(df: DataFrame, path: str, *, as_of=None, time_col: str = "recorded_at",
                  date_col: str = "recorded_date") -> None:
-    """Append facts with a time stamp, partitioned by its day."""
+    """Append facts with a time stamp, partitioned by its day; a heavy day is split by size, light ones are not."""
     stamped = df if time_col in df.columns else df.withColumn(time_col, ts(as_of))
     (stamped.withColumn(date_col, F.to_date(time_col))
-     .repartition(date_col, F.pmod(F.xxhash64(*stamped.columns), F.lit(16)))
+     .hint("rebalance", date_col)
      .write.mode("append").partitionBy(date_col).parquet(path))
 
 
