@@ -244,3 +244,12 @@ def test_fuzzy_names_by_tier(rows):
 def test_known_side_effect(spark):
     got = value(spark, s.side_effect_hint(F.lit("amlodipine"), F.lit("feeling dizzy"), F.lit("")))
     assert tuple(got) == ("amlodipine", "dizziness", 0.95)
+
+
+def test_report_lab_names_and_item_cuts(rows):
+    labs = rows([(1, "Platelet Count 250000 /cumm\nSodium 140\nTotal Cholesterol 210 mg/dL\nSGOT 33\nGlucose 99\nTotal Cholesterol / HDL Ratio 4.1")], "k int, t string")
+    got = {(r.test_name, r.value) for r in x.lab_rows(labs, ["k"], "t").collect()}
+    assert got == {("platelets", 250000.0), ("sodium", 140.0), ("cholesterol", 210.0), ("sgot_ast", 33.0), ("glucose", 99.0), ("cholesterol_hdl_ratio", 4.1)}
+    items = rows([(1, "TAB CALPOL Dr. Asha Mehta MBBS 500 mg BD"), (2, "SYRUP ALEX in case of fever BD")], "k int, t string")
+    got = {r.k: (r.item, r.dose) for r in x.prescription_items(items, ["k"], "t").collect()}
+    assert got == {1: ("CALPOL", None), 2: ("ALEX", None)}

@@ -166,8 +166,28 @@ LAB_ALIASES = {
     "blood pressure systolic": "blood_pressure_systolic", "diastolic bp": "blood_pressure_diastolic",
     "blood pressure diastolic": "blood_pressure_diastolic",
 }
+# Spellings of a laboratory report and their canonical names (fixed values).
+REPORT_LAB_ALIASES = {
+    "estimated average glucose": "estimated_average_glucose", "fasting blood sugar": "glucose", "random blood sugar": "glucose",
+    "blood glucose": "glucose", "blood sugar": "glucose", "serum creatinine": "creatinine", "total leucocyte count": "wbc",
+    "total leukocyte count": "wbc", "total wbc count": "wbc", "wbc count": "wbc", "platelet count": "platelets",
+    "total cholesterol / hdl ratio": "cholesterol_hdl_ratio", "ldl cholesterol": "ldl_cholesterol", "hdl cholesterol": "hdl_cholesterol",
+    "vldl cholesterol": "vldl_cholesterol", "total cholesterol": "cholesterol", "bun / creatinine ratio": "bun_creatinine_ratio",
+    "alkaline phosphatase": "alkaline_phosphatase", "total bilirubin": "bilirubin", "total protein": "total_protein",
+    "a/g ratio": "albumin_globulin_ratio", "pcv / hematocrit": "hematocrit", "packed cell volume": "hematocrit", "pcv": "hematocrit",
+    "mean corpuscular volume": "mcv", "glycated hemoglobin": "hba1c", "hb a1c": "hba1c", "hba1c": "hba1c", "hemoglobin": "hemoglobin",
+    "haemoglobin": "hemoglobin", "glucose": "glucose", "creatinine": "creatinine", "blood urea": "blood_urea", "egfr": "egfr",
+    "triglycerides": "triglycerides", "neutrophils": "neutrophils", "lymphocytes": "lymphocytes", "eosinophils": "eosinophils",
+    "monocytes": "monocytes", "basophils": "basophils", "rbc count": "rbc", "mcv": "mcv", "mchc": "mchc", "mch": "mch", "rdw": "rdw",
+    "sgot": "sgot_ast", "ast": "sgot_ast", "sgpt": "sgpt_alt", "alt": "sgpt_alt", "albumin": "albumin", "globulin": "globulin",
+    "sodium": "sodium", "potassium": "potassium", "tsh": "tsh", "free t3": "free_t3", "t3": "free_t3", "free t4": "free_t4",
+    "t4": "free_t4", "pulse": "pulse", "spo2": "spo2", "temperature": "temperature",
+}
+# Every spelling, signs as blanks.
+ALL_LAB_ALIASES = {**LAB_ALIASES, **{" ".join(k.replace("/", " ").split()): x for k, x in REPORT_LAB_ALIASES.items()}}
+REPORT_NAME_PATTERN = "|".join(k.replace(" ", r"\s*" if "/" in k else r"\s+") for k in sorted(REPORT_LAB_ALIASES, key=lambda k: (-len(k), k)))
 # Names a lab row may start with, longest first within a family (fixed pattern).
-LAB_NAME_PATTERN = (r"triiodothyronine\s*(?:\(?t3\)?)?,?\s*free|thyroxine\s*(?:\(?t4\)?)?,?\s*free|"
+LAB_NAME_PATTERN = (rf"\b(?:{REPORT_NAME_PATTERN})\b|" r"triiodothyronine\s*(?:\(?t3\)?)?,?\s*free|thyroxine\s*(?:\(?t4\)?)?,?\s*free|"
                     r"thyroid stimulating hormone(?:\s*\(tsh\))?|\btsh\b|\bt3\b|\bt4\b|hba1c|hb a1c|glycated hemoglobin|"
                     r"glycosylated hemoglobin|serum creatinine|creatinine|hemoglobin|haemoglobin|\bhb\b|"
                     r"fasting blood sugar|random blood sugar|blood sugar|blood glucose|fasting glucose|random glucose|"

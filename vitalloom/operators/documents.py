@@ -71,7 +71,7 @@ def split_components(name: str | Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(c(name)), "[/+]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def canonical_lab(name: str | Column, aliases: Mapping[str, str] = v.LAB_ALIASES) -> Column:
+def canonical_lab(name: str | Column, aliases: Mapping[str, str] = v.ALL_LAB_ALIASES) -> Column:
     t = one_space(F.regexp_replace(F.lower(c(name)), "[^a-z0-9% ]+", " "))
     return F.coalesce(F.try_element_at(literal_map(aliases), t), F.replace(t, F.lit(" "), F.lit("_")))
 

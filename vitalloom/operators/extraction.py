@@ -63,7 +63,7 @@ def _readings(text: str, kind: str, reading) -> Column:
     return F.transform(F.regexp_extract_all(c(text), F.lit(VITAL_PATTERNS[kind]), 0), lambda m: reading(kind, m))
 
 
-LAB_ROW = rf"(?i)({v.LAB_NAME_PATTERN})\s*[:\-]?\s*(\d+(?:\.\d+)?)\s*([a-zA-Z/%µ°]+)?([^\n\r]{{0,80}})"
+LAB_ROW = rf"(?i)({v.LAB_NAME_PATTERN})\s*[:\-]?\s*(\d+(?:\.\d+)?)[ \t]*([a-zA-Z/%µ°]+)?([^\n\r]{{0,80}})"
 RANGE_LABELLED = r"(?i)(?:ref(?:erence)?(?:\s*range)?|normal)\s*[:=]?\s*(\d+(?:\.\d+)?)\s*(?:-|–|to)\s*(\d+(?:\.\d+)?)"
 RANGE_PLAIN = r"\(?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)\s*\)?"
 
@@ -182,6 +182,9 @@ ROW_REGIMENS = {"100": "OD", "010": "OD", "001": "HS", "101": "BD", "110": "BD",
 # Misread item names.
 NAME_REPAIRS = ((r"(?i)\b2ING\b", "ZINC"), (r"(?i)\bCROUIN\b", "CROCIN"), (r"(?i)\bCROUN\b", "CROCIN"),
                 (r"(?i)\bCHLORD\s+QUINE\b", "CHLOROQUINE"), (r"(?i)\bHYDRONY\b", "HYDROXY"))
+# A doctor or address ends the item; the reason to take it is no part of its name.
+NOT_ITEM = rf"(?i){EDGE_L}(?:DR\.?\s|(?:D\.?\s*RAJ|MBBS|SENIOR\s*CONSULTANT|Residence){EDGE_R})"
+TAKEN_FOR = r"(?i)\b(?:in case of|in case if|in case|for)\s+(?:fever|pain|throat|cough|cold)\b"
 LOOKS_LIKE_ITEM = (rf"(?i){EDGE_L}(?:{'|'.join(v.FORM_WORDS[:-1])}|sos|od|bd|tds|qid|hs){EDGE_R}|"
                    rf"{EDGE_L}\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|tsp|teaspoon|tbsp|tablespoon|spoon|drops?|puffs?|sprays?){EDGE_R}|"
                    rf"{EDGE_L}\d\s*-\s*\d\s*-\s*\d{EDGE_R}")
@@ -252,9 +255,14 @@ def prescriber(text: str | Column) -> Column:
     return F.when(name != "", F.concat(F.lit("Dr. "), one_space(name)))
 
 
+def item_part(segment: Column) -> Column:
+    """Segment up to a doctor's name or address, without the reason to take the item."""
+    return F.regexp_replace(F.get(F.split(segment, NOT_ITEM, 2), 0), TAKEN_FOR, "")
+
+
 def _item_fields(segment: Column) -> Column:
     """Struct of all fields of one segment; the repair runs once."""
-    return let(repair_dose(segment), lambda s: F.struct(
+    return let(item_part(repair_dose(segment)), lambda s: F.struct(
         item_name(s).alias("item"), row_dose(s).alias("dose"), row_frequency(s).alias("frequency"),
         phrases_in(segment, v.INSTRUCTIONS).alias("instructions"), phrases_in(segment, v.ADVICE).alias("advice")))
 

@@ -77,7 +77,7 @@ def x6(t: Tables):
 
 
 LAB_TAILS = ["HbA1c: 7.2 % (4.0-5.6)", "Serum Creatinine 1.4 mg/dL ref 0.6 to 1.2\nTSH - 3.5 uIU/mL normal: 0.4-4.0", "Hb {n} g/dL",
-             "Thyroxine (T4), Free 1.2 ng/dL 0.8 – 1.8", "Glucose {n} mg/dL\nglucose {n} mg/dL\nPulse 70", "no results"]
+             "Thyroxine (T4), Free 1.2 ng/dL 0.8 – 1.8", "Glucose {n} mg/dL\nglucose {n} mg/dL\nPulse 70", "Platelet Count {n} /cumm\nSodium 140\nTotal Cholesterol 210 mg/dL\nSGOT 33 U/L (5-40)\nTotal Cholesterol / HDL Ratio 4.1\nA/G Ratio: 1.5", "no results"]
 
 
 def lab_texts(t: Tables):
@@ -100,7 +100,7 @@ WITH h AS (SELECT doc_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS m FRO
 r AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(regexp_extract(m, {LR}, 1)), '[^a-z0-9% ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS nm,
   regexp_extract(m, {LR}, 2)::DOUBLE AS value, regexp_extract(m, {LR}, 3) AS unit, regexp_extract(m, {LR}, 4) AS tail FROM h)
 SELECT doc_id, coalesce(canon, replace(nm, ' ', '_')) AS test_name, value, unit, arg_min({_rng(1)}, pos) AS low, arg_min({_rng(2)}, pos) AS high
-FROM r LEFT JOIN {sql_values(v.LAB_ALIASES.items(), 'al(spelling, canon)')} ON spelling = nm GROUP BY 1, 2, 3, 4""".replace("'\\\\s+'", "'\\s+'")
+FROM r LEFT JOIN {sql_values(v.ALL_LAB_ALIASES.items(), 'al(spelling, canon)')} ON spelling = nm GROUP BY 1, 2, 3, 4""".replace("'\\\\s+'", "'\\s+'")
 
 
 @query("x7_lab_rows", lab_sql(LAB_TEXT_SQL))
@@ -111,7 +111,7 @@ def x7(t: Tables):
 
 RX_TAILS = ["Rx TAB METFORMIN {n}mg BD after food SYRUP ALEX 2/3 teaspoon 3 times a day shake well Dr. Asha Mehta", "TAB VITAMIN C one gram once a day",
             "Telma-AM to 30 1-0-0 CAP 2ING {n} mg 1-0-1", "INJ INSULIN 10 units HS; TAB CROUN 5OO mg SOS in case of fever", "TAB METFORMIN 500mg BD TAB METFORMIN 500 mg BD",
-            "rest and water"]
+            "TAB CALPOL {n} mg BD Dr. Asha Mehta MBBS", "SYRUP ALEX in case of fever BD; TAB DOLO for pain 500 mg Dr. Rao OD", "rest and water"]
 
 
 def rx_texts(t: Tables):
@@ -128,6 +128,10 @@ def sql_repair(expr: str) -> str:
     return expr
 
 
+def sql_part(s: str) -> str:
+    return rr(f"string_split_regex({s}, {sql_literal(x.NOT_ITEM)})[1]", x.TAKEN_FOR, "")
+
+
 def _ex(s, pattern, n):
     return f"nullif(regexp_extract({s}, {sql_literal(pattern)}, {n}), '')"
 
@@ -171,8 +175,9 @@ WITH a AS (SELECT doc_id, string_split({SEG}, chr(10)) AS parts FROM ({source}))
 b AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS p FROM a),
 c AS (SELECT doc_id, pos, {rr(sql_space('p'), '^[ .•*:;-]+|[ .•*:;-]+$', '')} AS seg FROM b),
 e AS (SELECT doc_id, pos, seg, {sql_repair('seg')} AS s FROM c WHERE length(seg) >= 3),
+e2 AS (SELECT doc_id, pos, seg, s AS whole, {sql_part('s')} AS s FROM e),
 f AS (SELECT doc_id, pos, {sql_item('s')} AS item, {sql_dose('s')[0]} AS dose, {sql_dose('s')[1]} AS unit, {sql_frequency('s')} AS frequency,
-  {sql_phrases('seg', v.INSTRUCTIONS)} AS instructions, {sql_phrases('seg', v.ADVICE)} AS advice FROM e WHERE regexp_matches(s, {sql_literal(x.LOOKS_LIKE_ITEM)})),
+  {sql_phrases('seg', v.INSTRUCTIONS)} AS instructions, {sql_phrases('seg', v.ADVICE)} AS advice FROM e2 WHERE regexp_matches(whole, {sql_literal(x.LOOKS_LIKE_ITEM)})),
 g AS (SELECT *, trim(regexp_replace(lower(item), '[^a-z0-9]+', ' ', 'g')) AS k FROM f WHERE length(item) >= 2 AND lower(item) NOT IN ('tab', 'cap', 'syrup', 'syp', 'syr', 'inj', 'drop', 'medicine'))
 SELECT doc_id, arg_min(item, pos) AS item, coalesce(round(dose, 4), -1) AS dose, coalesce(unit, '') AS unit, coalesce(frequency, '') AS frequency,
   arg_min(instructions, pos) AS instructions, arg_min(advice, pos) AS advice FROM g GROUP BY doc_id, k, dose, unit, frequency"""
@@ -196,7 +201,7 @@ LINES_SQL = f"""
 WITH a AS (SELECT doc_id, string_split_regex(text || chr(10) || {pick_sql(LINE_TAILS, 'doc_id')}, '\\r\\n|\\r|\\n') AS ls FROM documents),
 b AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS l FROM a),
 c AS (SELECT doc_id, pos, {sql_space('l')} AS line FROM b),
-e AS (SELECT *, {sql_repair('line')} AS s, regexp_matches(line, {sql_literal(x.ITEM_LINE)}) OR regexp_matches(line, {sql_literal(x.DOSE_LINE)}) AS st FROM c WHERE line <> ''),
+e AS (SELECT *, {sql_part(sql_repair('line'))} AS s, regexp_matches(line, {sql_literal(x.ITEM_LINE)}) OR regexp_matches(line, {sql_literal(x.DOSE_LINE)}) AS st FROM c WHERE line <> ''),
 f AS (SELECT *, sum(st::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS item_no FROM e),
 g AS (SELECT doc_id, item_no, pos, CASE WHEN st THEN {sql_item('s')} END AS nm, {sql_dose('s')[0]} AS dv, {sql_dose('s')[1]} AS du, {sql_frequency('s')} AS fq,
   nullif({sql_phrases('line', v.INSTRUCTIONS)}, '') AS ins, nullif({sql_phrases('line', v.ADVICE)}, '') AS adv FROM f WHERE item_no > 0),

@@ -103,7 +103,7 @@ LAB_SPELLINGS = ["Hb", "Serum Creatinine", "T3 - Free", "Random Blood Sugar", "O
 @query("x8_canonical_lab", f"""
 SELECT p_partkey, coalesce(canon, replace(t, ' ', '_')) AS lab FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' ' || p_name
    ELSE {pick_sql(LAB_SPELLINGS, 'p_partkey')} END), '[^a-z0-9% ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM part)
-LEFT JOIN {sql_values(v.LAB_ALIASES.items(), 'al(spelling, canon)')} ON spelling = t""".replace("\\\\", "\\"))
+LEFT JOIN {sql_values(v.ALL_LAB_ALIASES.items(), 'al(spelling, canon)')} ON spelling = t""".replace("\\\\", "\\"))
 def x8(t: Tables):
     raw = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_type", "p_name")).otherwise(pick(LAB_SPELLINGS, F.col("p_partkey")))
     return t.part.select("p_partkey", d.canonical_lab(raw).alias("lab"))
