@@ -253,3 +253,11 @@ def test_report_lab_names_and_item_cuts(rows):
     items = rows([(1, "TAB CALPOL Dr. Asha Mehta MBBS 500 mg BD"), (2, "SYRUP ALEX in case of fever BD")], "k int, t string")
     got = {r.k: (r.item, r.dose) for r in x.prescription_items(items, ["k"], "t").collect()}
     assert got == {1: ("CALPOL", None), 2: ("ALEX", None)}
+
+
+def test_misspelt_and_restored_routes(rows):
+    said = ["unconscius abhi", "mann nahi lag raha", "tension ho rahi hai", "wo chal nahi pa rahe", "dizzy hai aur pain abhi", "emergancy", "plain words only"]
+    got = [(x_["intent"], x_["emergency_reason"]) for x_ in r.classify(rows([(k, t) for k, t in enumerate(said)], "k int, t string"), "t").orderBy("k").collect()]
+    assert got[0] == ("crisis", "crisis_present") and got[5] == ("crisis", "explicit_emergency")
+    assert [g[0] for g in got[1:4]] == ["emotional_checkin", "emotional_checkin", "caregiver_observation"]
+    assert got[4][0] != "symptom_report" and got[6][0] == "unknown"

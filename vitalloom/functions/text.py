@@ -67,13 +67,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_map(text: str | Column, mapping: Mapping[str, str], keep_after: Sequence[str] = (),
-              keep_tokens: Sequence[str] = ()) -> Column:
-    """Map tokens one by one; ``keep_tokens`` stay after a ``keep_after`` token."""
+              keep_tokens: Sequence[str] = (), unknown: Callable[[Column], Column] | None = None) -> Column:
+    """Map tokens one by one; ``keep_tokens`` stay after a ``keep_after`` token, ``unknown`` may map the others."""
     m = literal_map(mapping)
 
     def walk(tokens: Column) -> Column:
         def one(t, i):
-            new = F.coalesce(F.try_element_at(m, t), t)
+            new = F.coalesce(F.try_element_at(m, t), unknown(t), t) if unknown else F.coalesce(F.try_element_at(m, t), t)
             if not keep_tokens:
                 return new
             before = F.get(tokens, i - 1)
@@ -83,6 +83,11 @@ def token_map(text: str | Column, mapping: Mapping[str, str], keep_after: Sequen
     return let(F.split(c(text), " "), walk)
 
 
+def edit_ratio(a: Column, b: Column) -> Column:
+    """Share of letters that stand in both words when an inserted or missing letter costs one and a changed one two."""
+    return 1 - (2 * F.levenshtein(a, b) - F.abs(F.length(a) - F.length(b))) / (F.length(a) + F.length(b))
+
+
 def soundex_like(text: str | Column) -> Column:
     """Four-character sound code in which vowels, h and w separate equal codes."""
     s = F.regexp_replace(F.lower(c(text)), "[^a-z]", "")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import c, first_match, has_text, has_word, substring_pattern, word_pattern
-from ..functions.text import let, literal_map, nfkc, one_space, replace_phrases, squeeze_runs, token_map
+from ..functions.text import edit_ratio, let, literal_map, nfkc, one_space, replace_phrases, squeeze_runs, token_map
 from .documents import clean_spoken
 from .filters import hour_bucket
 from .windows import negation_near
@@ -81,7 +81,15 @@ def routing_text(text: str | Column, *, compatibility: bool = False) -> Column:
     """Message in routing form: letters, digits and + % / : only, runs squeezed, phrases and tokens mapped."""
     raw = nfkc(c(text)) if compatibility else c(text)
     t = one_space(squeeze_runs(F.regexp_replace(F.lower(raw), r"[^a-z0-9+%/:\s]", " ")))
-    return replace_phrases(token_map(replace_phrases(t, ROUTING_PHRASES), ROUTING_TOKENS), ROUTING_PHRASES)
+    return replace_phrases(token_map(replace_phrases(t, ROUTING_PHRASES), ROUTING_TOKENS, unknown=close_term), ROUTING_PHRASES)
+
+
+def close_term(token: Column, terms: Sequence[str] = REPAIR_TERMS, cutoff: float = 0.88, min_length: int = 5) -> Column:
+    """The term that a token of five letters or more misspells, null if none is close enough."""
+    known = F.array(*[F.struct(F.lit(t).alias("t")) for t in terms])
+    rated = F.transform(known, lambda k: F.struct(edit_ratio(token, k["t"]).alias("r"), k["t"].alias("t")))
+    best = F.array_max(rated)
+    return F.when((F.length(token) >= min_length) & (best["r"] >= cutoff), best["t"])
 
 
 # --- time phrases ------------------------------------------------------------------------------------
@@ -146,9 +154,14 @@ APPROVE_SHAPE = r"^(?:approve|approve this|yes approve|confirm|theek hai|proceed
 REJECT_SHAPE = r"^(?:deny|reject|veto|veto this|cancel this|nahi chahiye|nai chahiye)$|^veto |^reject "
 
 
-class Screen(NamedTuple):
-    reason: str
-    emergency: bool
+def near_phrase(text: Column, phrases: Sequence[str], cutoff: float = 0.88) -> Column:
+    """True when as many words in a row as a phrase has come close to it."""
+    tokens, out = F.split(text, " "), F.lit(False)
+    for size in sorted({len(p.split()) for p in phrases}):
+        known = F.array(*[F.lit(p) for p in phrases if len(p.split()) == size])
+        runs = F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, size), " ")))
+        out = out | F.coalesce(F.exists(runs, lambda x: F.exists(known, lambda k: edit_ratio(x, k) >= cutoff)), F.lit(False))
+    return out
 
 
 def emergency(routed: Column) -> Column:
@@ -156,7 +169,8 @@ def emergency(routed: Column) -> Column:
     meant to be bound once with ``let`` or a column."""
     def row(flag, reason):
         return F.struct(F.lit(flag).alias("is_emergency"), F.lit(reason).alias("reason"))
-    critical, present, past = has_word(routed, CRITICAL_WORDS), has_word(routed, PRESENT_WORDS), has_word(routed, PAST_WORDS)
+    present, past = has_word(routed, PRESENT_WORDS), has_word(routed, PAST_WORDS)
+    critical = has_word(routed, CRITICAL_WORDS) | F.when(present | past, near_phrase(routed, CRITICAL_WORDS)).otherwise(False)
     jump = has_word(routed, ["kood"]) & has_word(routed, ["bridge", "building", "chhat", "roof"])
     return first_match([
         (routed.rlike(APPROVE_SHAPE) | routed.rlike(REJECT_SHAPE), row(False, "command_word")),
@@ -188,6 +202,7 @@ class Rule(NamedTuple):
     media: str = ""
     max_words: int = 0
     mode: str = "word"
+    not_both: tuple = ()
 
     def patterns(self) -> list[tuple[str, bool]]:
         make = word_pattern if self.mode == "word" else substring_pattern
@@ -205,6 +220,8 @@ class Rule(NamedTuple):
         for pattern, want in self.patterns():
             hit = text.rlike(pattern)
             cond = cond & (hit if want else ~hit)
+        if self.not_both:
+            cond = cond & ~(has_word(text, self.not_both[0]) & has_word(text, self.not_both[1]))
         if self.max_words:
             cond = cond & (F.size(F.split(text, " ")) <= self.max_words)
         return F.coalesce(cond, F.lit(False))
@@ -213,9 +230,10 @@ class Rule(NamedTuple):
 YES = ("yes", "haan", "ha", "li", "le li", "kha liya", "taken", "took it", "done", "ho gaya", "liya")
 NO = ("no", "nahi", "nai", "nhi", "missed", "bhool gaya", "skip", "skipped", "nahi liya", "not taken")
 MED_CONTEXT = ("medication_confirmation", "medication_prompt", "scheduled_medication")
-DATE_WORDS = ("kal", "parso", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "tarikh", "aaj",
-              "tomorrow", "today", "january", "february", "march", "april", "may", "june", "july", "august", "september",
-              "october", "november", "december")
+DATE_WORDS = ("kal", "parso", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "somwar", "mangalwar",
+              "budhwar", "guruvar", "shukrawar", "shanivar", "ravivar", "tarikh", "aaj", "tomorrow", "today", "jan", "january",
+              "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august", "sep",
+              "sept", "september", "oct", "october", "nov", "november", "dec", "december")
 DATE_OR_TIME = word_pattern(DATE_WORDS) + r"|(?:^|[^0-9a-z])\d{1,2}(?::\d{2})?\s*(?:am|pm|baje)?(?:$|[^0-9a-z])"
 VITALS = (r"\d{2,3}/\d{2,3}|(?:sugar|glucose|rbs|fbs)\s*[:=-]?\s*\d{2,3}|\d{2,3}\s*mg/dl|\d{2,3}\s*bpm|(?:spo2|oxygen)\s*[:=-]?\s*\d{2,3}|"
           r"(?:temperature|temp|bukhar|fever)(?:$|[^a-z0-9]).*\d{2,3}|(?:bp|pulse|sugar|oxygen)(?:$|[^a-z0-9]).*\d")
@@ -237,8 +255,9 @@ ROUTES = (
     Rule("medication_taken_confirm", context=MED_CONTEXT, any=YES, none=NO),
     Rule("medication_missed_confirm", context=MED_CONTEXT, any=NO),
     Rule("caregiver_observation", any=("uncle had", "patient had", "dad had", "he had", "she had", "uncle ko", "patient ko", "dad ko",
-                                       "uncle ne", "patient ne", "dad ne"),
-         also=("dizziness", "fever", "weak", "confused", "fall", "gir", "soye", "sleep", "khana", "eat", "medicine", "chakkar",
+                                       "uncle ne", "patient ne", "dad ne", "wo theek nahi lag rahe", "wo kamzor lag rahe",
+                                       "wo confused hain", "wo zyada soye", "wo chal nahi pa rahe"),
+         also=("dizziness", "fever", "weak", "confused", "fall", "gir", "soye", "sleep", "khana", "eat", "dawai", "medicine", "chakkar",
                "bukhar", "kamzori", "behosh", "walk", "chal")),
     Rule("medication_report", any=("no medications", "missed all", "skipped all", "nahi liya", "medications skipped", "medicine liya",
                                    "medications liya", "tablet liya", "tablets liya", "took medicine", "took medications",
@@ -249,7 +268,7 @@ ROUTES = (
     Rule("vital_report", regex=VITALS, none=LAB_PANEL),
     Rule("lab_report", any=(*LAB_PANEL, "report aaya", "results"), regex=r"\d"),
     Rule("new_prescription", any=NEW_RX),
-    Rule("discharge_summary", any=("discharge", "hospital se aaye", "discharged", "admitted", "admit hua", "released from hospital")),
+    Rule("discharge_summary", any=("discharge", "hospital se aaye", "discharged", "admitted", "admit hua", "released from hospital", "discharge summary")),
     Rule("appointment_add", any=("appointment", "checkup", "follow up", "visit", "tele consult"), regex=DATE_OR_TIME,
          also=("create", "add", "book", "schedule", "fix", "karna", "karo", "bulaya", "on", "ko", "cardiology", "cardiologist",
                "nephrologist", "endocrinologist", "neurologist", "psychiatrist", "dentist", "doctor", "dr"),
@@ -263,21 +282,27 @@ ROUTES = (
     Rule("status_query", any=("medications", "medication", "medicine", "kya le raha", "list", "tablet list", "currently on")),
     Rule("doctor_visit_update", any=("doctor se mile", "doctor visit hua", "clinic gaye", "hospital gaye", "appointment hua", "doctor bole",
                                      "doctor ne kaha", "checkup hua", "cardiologist se mile"), none=NEW_RX),
-    Rule("symptom_report", any=("headache", "head ache", "body ache", "dizzy", "chakkar", "nausea", "ulti", "vomiting", "swelling", "sojan",
-                                "weak", "kamzori", "thakaan", "tired", "constipation", "diarrhea", "loose motion", "rash", "khujli",
-                                "fever", "bukhar")),
-    Rule("symptom_report", any=("dard", "pain", "breathless", "saans"), none=PRESENT_WORDS),
-    Rule("diet_report", any=("khana khaya", "breakfast", "lunch", "dinner", "kha liya", "nahi khaya", "diet", "bhookha", "fasting")),
-    Rule("sleep_report", any=("neend", "soya", "sleeping", "raat ko jaaga", "uthh gaye", "insomnia", "raat bhar")),
-    Rule("emotional_checkin", any=("feeling tensed", "feeling anxious", "heart break", "i am worried", "feeling low today", "feeling stressed",
-                                   "i am upset", "feeling lonely", "i miss her", "i miss him", "feeling empty", "feeling down",
-                                   "dil toot gaya", "mood off hai")),
+    Rule("symptom_report", any=("dard", "dardh", "dardd", "pain", "headache", "head ache", "sir dard", "sar dard", "body ache", "dizzy", "chakkar",
+                                "chakar", "nausea", "ulti", "vomiting", "swelling", "sojan", "weak", "kamzori", "thakaan", "tired",
+                                "breathless", "saans", "saan", "sans", "saas", "constipation", "diarrhea", "loose motion", "rash",
+                                "khujli", "fever", "bukhar", "chest pain", "seene mein dard", "seene me dard"),
+         not_both=(("dard", "dardh", "dardd", "pain", "chest pain", "seene mein dard", "seene me dard", "saans", "saan", "sans", "saas",
+                    "breathless"), PRESENT_WORDS)),
+    Rule("diet_report", any=("khana khaya", "breakfast", "lunch", "dinner", "kha liya", "nahi khaya", "diet", "bhookha", "fasting",
+                             "fast kar raha", "khana skip kiya")),
+    Rule("sleep_report", any=("neend", "soya", "sleeping", "neend nahi aayi", "raat ko jaaga", "uthh gaye", "insomnia", "raat bhar")),
+    Rule("emotional_checkin", any=("feeling tensed", "feeling anxious", "heart break", "i am worried", "feeling low today",
+                                   "not feeling good mentally", "feeling stressed", "i am upset", "feeling lonely", "i miss her",
+                                   "i miss him", "feeling empty", "not in a good mood", "feeling down", "mai udas hoon",
+                                   "tension ho rahi hai", "dil toot gaya", "pareshan hoon", "mann nahi lag raha",
+                                   "akela feel kar raha hoon", "bechaini ho rahi hai", "mood off hai", "depressed feel kar raha hoon",
+                                   "stress mein hoon", "stress me hoon")),
     Rule("mood_report", any=("mood", "khush", "upset", "sad", "roya", "dara hua", "anxious", "confused", "irritated", "gussa", "depressed",
                              "pareshan", "ghabra raha")),
     Rule("exercise_report", any=("walk", "exercise", "chala", "gaya bahar", "workout", "stairs", "chalte hain", "physical activity")),
     Rule("caregiver_schedule_update", any=("nahi aa paunga", "nahi aa paungi", "chutti", "leave", "absent", "late aaunga", "replace", "backup",
                                            "koi aur aayega", "available nahi")),
-    Rule("family_member_query", any=("how is dad", "kaisa hai", "kya hua", "update do", "sab theek", "dad kaise hain", "health update",
+    Rule("family_member_query", any=("how is dad", "kaisa hai", "kya hua", "update do", "sab theek", "dad kaise hain", "patient kaisa hai", "health update",
                                      "any change"), max_words=8),
     Rule("caregiver_update", any=("gaye", "aaye", "kiya", "hua", "bataya"),
          none=("khana", "breakfast", "lunch", "dinner", "diet", "neend", "sleep", "mood", "walk", "exercise", "medicine", "appointment",
@@ -295,15 +320,16 @@ APPROVAL_CONTEXT = ("veto_window", "interaction_alert", "new_med", "approval_win
 
 
 def route(routed: Column, *, context: Column | None = None, media: Column | None = None, active: Column | None = None,
-          rules: Sequence[Rule] = ROUTES) -> Column:
-    """Intent of routing text: emergency, then command words, then the ordered rules."""
+          rules: Sequence[Rule] = ROUTES, screen: Column | None = None) -> Column:
+    """Intent of routing text: emergency, then command words, then the ordered rules. ``screen`` is a bound :func:`emergency`."""
+    screen = emergency(routed) if screen is None else screen
     in_window = context.isin(*APPROVAL_CONTEXT) if context is not None else F.lit(False)
     live = in_window & (F.coalesce(active, F.lit(True)) if active is not None else F.lit(True))
     def command(intent):
         return F.when(live, intent).when(in_window, "approval_context_expired").otherwise("approval_context_missing")
     media_rules = [(r.column(routed, context, media), r.intent) for r in rules if r.media]
     rest = [(r.column(routed, context, media), r.intent) for r in rules if not r.media]
-    return first_match([*media_rules, (emergency(routed)["is_emergency"], "crisis"),
+    return first_match([*media_rules, (screen["is_emergency"], "crisis"),
                         (routed.rlike(APPROVE_SHAPE), command("approve_command")), (routed.rlike(REJECT_SHAPE), command("veto_command")),
                         *rest], "unknown")
 
@@ -314,10 +340,10 @@ def route_confidence(intent: Column) -> Column:
 
 def classify(df: DataFrame, text: str, *, context: str | None = None, media: str | None = None, active: str | None = None) -> DataFrame:
     """Add routing text, intent, confidence and the emergency reason. Stateless, so streams take it too."""
-    routed = df.withColumn("routed", routing_text(text))
+    routed = df.withColumn("routed", routing_text(text)).withColumn("__screen", emergency(F.col("routed")))
     opt = lambda n: F.col(n) if n else None
-    out = routed.withColumns({"intent": route(F.col("routed"), context=opt(context), media=opt(media), active=opt(active)),
-                              "emergency_reason": emergency(F.col("routed"))["reason"]})
+    out = routed.withColumns({"intent": route(F.col("routed"), context=opt(context), media=opt(media), active=opt(active), screen=F.col("__screen")),
+                              "emergency_reason": F.col("__screen")["reason"]}).drop("__screen")
     return out.withColumn("intent_confidence", route_confidence(F.col("intent")))
 
 
@@ -376,7 +402,8 @@ def clauses(text: str | Column) -> Column:
 def secondary_intents(df: DataFrame, keys: Sequence[str], text: str, primary: str) -> DataFrame:
     """Distinct further intents of compound messages, in clause order."""
     each = df.select(*keys, primary, F.posexplode_outer(clauses(text)).alias("pos", "clause")).where("pos IS NOT NULL")
-    each = each.withColumn("routed", routing_text("clause")).withColumn("secondary", route(F.col("routed")))
+    each = each.withColumn("routed", routing_text("clause")).withColumn("__screen", emergency(F.col("routed")))
+    each = each.withColumn("secondary", route(F.col("routed"), screen=F.col("__screen"))).drop("__screen")
     each = each.where(~F.col("secondary").isin("unknown", "greeting") & (F.col("secondary") != F.col(primary)))
     return each.groupBy(*keys, "secondary").agg(F.min("pos").alias("pos"))
 

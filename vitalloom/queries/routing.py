@@ -14,7 +14,7 @@ from .texts import pick, pick_sql, sql_replace, sql_squeeze
 ROUTE_TAILS = [
     "chestpain abhi", "no chest pain", "headache hai", "uncle mar gaya", "phone died", "call ambulance plz", "stroke pehle", "knife", "heart attak",
     "approve this", "you idiot", "uncle ko chakkar aaya", "dawai nhi li", "BP 150/90", "hba1c 7.2", "doctor ne diya naya tablet", "discharged from hospital",
-    "book cardiology appointment 30th may 2:00 pm", "doctor kab aayenge appointment", "kab lena hai", "stock low", "medication list", "doctor se mile",
+    "book cardiology appointment 30th may 2:00 pm", "doctor kab aayenge appointment", "kab lena hai", "stock low", "medication list", "unconscius abhi", "mann nahi lag raha", "tension ho rahi hai", "wo chal nahi pa rahe", "dizzy hai aur pain abhi", "emergancy", "colapsed kal", "appointment budhwar ko", "doctor se mile",
     "ulti aur bukhar", "pain", "lunch skip", "neend nahi aayi", "i miss her", "mood off", "evening walk", "chutti chahiye", "sab theek hua", "kiya", "hello"]
 CONTEXTS = ["veto_window", "appointment_draft", "appointment_confirm", "medication_confirmation", "refill_confirm", "clarification_question", "", "", "", "", ""]
 MEDIA = ["image/png", "", "", "", "", "", "audio/ogg", "", "", "", "", "", ""]
@@ -33,13 +33,32 @@ MSG_SQL = f"""SELECT conv_id, turn, role, text || ' ' || tail AS msg, {pick_sql(
  FROM (SELECT *, CASE WHEN k % 5 = 4 THEN {pick_sql(SHORT, 'k // 5')} ELSE {pick_sql(ROUTE_TAILS, 'k')} END AS tail FROM (SELECT *, conv_id * 8 + turn AS k FROM conversations))"""
 
 
+def ratio_sql(a: str, b: str) -> str:
+    return f"(1 - (2 * levenshtein({a}, {b}) - abs(length({a}) - length({b}))) / (length({a}) + length({b})))"
+
+
+# The routing terms that a misspelt token may stand for.
+MISSPELT_TERMS = ("ambulance", "emergency", "appointment", "medication", "medicine", "tablets", "skipped", "missed", "taken", "approve", "reject", "veto", "collapse", "unconscious")
+BEST_SQL = "list_aggregate([" + ", ".join(f"struct_pack(r := {ratio_sql('tk[i]', sql_literal(x))}, t := {sql_literal(x)})" for x in MISSPELT_TERMS) + "], 'max')"
+CLOSE_SQL = f"CASE WHEN length(tk[i]) >= 5 AND ({BEST_SQL}).r >= 0.88 THEN ({BEST_SQL}).t END"
+
+
+def near_sql(phrases, col: str = "s") -> str:
+    """SQL twin of the close critical phrases."""
+    parts = []
+    for size in sorted({len(p.split()) for p in phrases}):
+        runs = f"[array_to_string(string_split({col}, ' ')[i:i + {size - 1}], ' ') for i in range(1, len(string_split({col}, ' ')) - {size - 1} + 1)]"
+        parts += [f"len(list_filter({runs}, lambda x: {ratio_sql('x', sql_literal(p))} >= 0.88)) > 0" for p in phrases if len(p.split()) == size]
+    return "(" + " OR ".join(parts) + ")"
+
+
 def routed_ctes(source: str, keep: str) -> str:
     """SQL twin of the routing form; ``keep`` names the columns to carry."""
     m = "MAP {" + ", ".join(f"{sql_literal(a)}: {sql_literal(b)}" for a, b in r.ROUTING_TOKENS.items()) + "}"
     return rf"""
 r0 AS ({source}), r1 AS (SELECT {keep}, regexp_replace(lower(msg), '[^a-z0-9+%/:\s]', ' ', 'g') AS l FROM r0),
 r2 AS (SELECT {keep}, trim(regexp_replace({sql_squeeze('l')}, '\s+', ' ', 'g')) AS s FROM r1), r3 AS (SELECT {keep}, {sql_replace('s', r.ROUTING_PHRASES)} AS s FROM r2),
-r4 AS (SELECT {keep}, array_to_string([coalesce(({m})[tk[i]], tk[i]) for i in range(1, len(tk) + 1)], ' ') AS s FROM (SELECT *, string_split(s, ' ') AS tk FROM r3)),
+r4 AS (SELECT {keep}, array_to_string([coalesce(({m})[tk[i]], {CLOSE_SQL}, tk[i]) for i in range(1, len(tk) + 1)], ' ') AS s FROM (SELECT *, string_split(s, ' ') AS tk FROM r3)),
 rt AS (SELECT {keep}, {sql_replace('s', r.ROUTING_PHRASES)} AS s FROM r4)"""
 
 
@@ -53,10 +72,11 @@ def _m(pattern, col="s"):
 
 NEG = f"regexp_matches(' ' || regexp_replace(s, '[^a-z0-9]+', ' ', 'g') || ' ', {sql_literal(negation_pattern(r.CRITICAL_WORDS, r.NEGATIONS))})"
 COMMAND = f"({_m(r.APPROVE_SHAPE)} OR {_m(r.REJECT_SHAPE)})"
+CRITICAL_SQL = f"({_w(r.CRITICAL_WORDS)} OR {near_sql(r.CRITICAL_WORDS)})"
 REASON_SQL = f"""CASE WHEN {COMMAND} THEN 'command_word' WHEN {_w(r.THINGS_THAT_DIE)} THEN 'no_crisis_detected' WHEN {_w(r.EXPLICIT_HELP)} THEN 'explicit_emergency' WHEN {NEG} THEN 'negated'
  WHEN {_w(r.BENIGN_PAIN)} THEN 'pain_non_emergency' WHEN {_w(r.DEATH_WORDS)} THEN 'death_report' WHEN {_w(r.ASSAULT_WORDS)} THEN 'sexual_assault' WHEN {_w(r.VIOLENCE_WORDS)} THEN 'violence_threat'
  WHEN {_w(r.SELF_HARM_WORDS)} OR ({_w(['kood'])} AND {_w(['bridge', 'building', 'chhat', 'roof'])}) THEN 'self_harm_risk'
- WHEN {_w(r.CRITICAL_WORDS)} AND {_w(r.PRESENT_WORDS)} THEN 'crisis_present' WHEN {_w(r.CRITICAL_WORDS)} AND {_w(r.PAST_WORDS)} THEN 'crisis_historical'
+ WHEN {_w(r.PRESENT_WORDS)} AND {CRITICAL_SQL} THEN 'crisis_present' WHEN {_w(r.PAST_WORDS)} AND {CRITICAL_SQL} THEN 'crisis_historical'
  WHEN {_w(r.SHORT_CRITICAL)} THEN 'medical_emergency' ELSE 'no_crisis_detected' END"""
 IS_EMERGENCY = "reason IN ('explicit_emergency', 'death_report', 'sexual_assault', 'violence_threat', 'self_harm_risk', 'crisis_present', 'medical_emergency')"
 
@@ -68,6 +88,8 @@ def rule_sql(rule: r.Rule, context: bool = True) -> str:
     if rule.media:
         parts.append(_m(rule.media, "media") if context else "FALSE")
     parts += [("" if want else "NOT ") + _m(p) for p, want in rule.patterns()]
+    if rule.not_both:
+        parts.append(f"NOT ({_w(rule.not_both[0])} AND {_w(rule.not_both[1])})")
     if rule.max_words:
         parts.append(f"len(string_split(s, ' ')) <= {rule.max_words}")
     return " AND ".join(parts)
