@@ -37,6 +37,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"vitalloom-{name}-")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches of a plan read once into the shared folder, and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
