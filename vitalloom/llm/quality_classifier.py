@@ -81,7 +81,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, stats array<double>")
+    return common.lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, stats array<double>")
 
 
 def held_out(id_col: str | Column) -> Column:
@@ -131,7 +131,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_col: str = "quality", size: int = 320,
-        width: float = 4.0, penalty: float = 1e-3, sums: int = 64, bins: int = 2000, seed: int = 11) -> Model | None:
+        width: float = 4.0, penalty: float = 1e-3, sums: int = 32, bins: int = 2000, seed: int = 11) -> Model | None:
     """Fit on all labelled rows of ``stats`` (id, stats) that are not held out; None when there are none.
 
     Null labels are no labels. ``sums`` bounds the number of partial normal equations, ``bins`` the histogram
@@ -168,7 +168,7 @@ def fit(stats: DataFrame, labels: DataFrame, *, label_id: str = "doc_id", label_
         yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()])], ["left", "right"])
 
     kind = "left binary, right binary"
-    summed = rows.coalesce(sums).mapInArrow(partial, kind).coalesce(1).mapInArrow(total, kind).first()
+    summed = rows.coalesce(sums).mapInArrow(partial, kind).repartition(1).mapInArrow(total, kind).first()
     left, right = np.frombuffer(summed[0]).reshape(dim, dim).copy(), np.frombuffer(summed[1])
     left[np.diag_indices(dim)] += penalty * spread[-1] / size + 1e-9
     model.ridge = np.linalg.solve(left, right)
@@ -208,7 +208,7 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.3, text_
             for i, j, data, offsets in common.text_steps(batch, text_col):
                 yield batch.slice(i, j - i).filter(pa.array(model.score(document_statistics(data, offsets)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.lean(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
