@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from vitalloom.functions.neighbours import neighbour, running_sum
@@ -133,7 +135,9 @@ def walk(data, gap):
     return out
 
 
-def test_cooldown_equals_a_plain_loop_over_many_slices(rows):
+@pytest.mark.parametrize("batch", [7, 10000])
+def test_cooldown_equals_a_plain_loop_over_many_slices(spark, rows, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rng = random.Random(7)
     data = [(rng.choice("aab"), at(rng.randint(0, 4000)), i, rng.random() < 0.03) for i in range(600)]
     df = rows(data, "k string, t timestamp, i int, f boolean")
@@ -144,6 +148,7 @@ def test_cooldown_equals_a_plain_loop_over_many_slices(rows):
     through = {r["i"] for r in b.cooldown(df, ["k"], "t", "i", 300).collect()}
     kept = sorted((x for x in plain if x[2] in through), key=lambda x: (x[0], x[1]))
     assert all((q[1] - p[1]).total_seconds() >= 300 for p, q in zip(kept, kept[1:]) if p[0] == q[0])
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_cooldown_stream_equals_batch_across_batches(spark, rows):
