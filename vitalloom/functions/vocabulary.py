@@ -75,14 +75,36 @@ ITEM_ALIASES = {
 
 # Document types by their telling words (fixed values).
 TYPE_WORDS = {
-    "prescription": "tablet capsule dose frequency doctor patient Rx 1-0-0 after food before food dawai goli syrup chashma morning night tab tab. cap cap. od bd tds mg",
-    "lab_report": "test result value unit reference range mg/dL g/dL CBC creatinine haemoglobin low high normal report hb rbc sgpt sgot hdl ldl triglycerides",
-    "voice_note": "feeling took missed dizzy pain yesterday morning night dad uncle patient symptom kaisa hai",
-    "advice_note": "diet lifestyle walk exercise avoid stress smoking low salt follow-up review parhez",
-    "discharge_summary": "discharged admitted condition follow-up appointment diagnosis hospital stay chuthi discharge|follow up",
-    "referral_letter": "referral specialist consult urgent reason evaluation assessment visheshagya refer referred consultation",
-    "medical_history": "history of past surgery diabetes hypertension allergy family history patient has known case of purana rog",
-    "general_note": "note message update information record miscellaneous",
+    "prescription": (
+        "tablet", "capsule", "dose", "frequency", "doctor", "patient", "Rx", "1-0-0", "after", "food", "before", "food",
+        "dawai", "goli", "syrup", "chashma", "morning", "night", "tab", "tab.", "cap", "cap.", "od", "bd", "tds", "mg",
+    ),
+    "lab_report": (
+        "test", "result", "value", "unit", "reference", "range", "mg/dL", "g/dL", "CBC", "creatinine", "haemoglobin", "low",
+        "high", "normal", "report", "hb", "rbc", "sgpt", "sgot", "hdl", "ldl", "triglycerides",
+    ),
+    "voice_note": (
+        "feeling", "took", "missed", "dizzy", "pain", "yesterday", "morning", "night", "dad", "uncle", "patient", "symptom",
+        "kaisa", "hai",
+    ),
+    "advice_note": (
+        "diet", "lifestyle", "walk", "exercise", "avoid", "stress", "smoking", "low", "salt", "follow-up", "review", "parhez",
+    ),
+    "discharge_summary": (
+        "discharged", "admitted", "condition", "follow-up", "appointment", "diagnosis", "hospital", "stay", "chuthi",
+        "discharge", "follow up",
+    ),
+    "referral_letter": (
+        "referral", "specialist", "consult", "urgent", "reason", "evaluation", "assessment", "visheshagya", "refer",
+        "referred", "consultation",
+    ),
+    "medical_history": (
+        "history", "of", "past", "surgery", "diabetes", "hypertension", "allergy", "family", "history", "patient", "has",
+        "known", "case", "of", "purana", "rog",
+    ),
+    "general_note": (
+        "note", "message", "update", "information", "record", "miscellaneous",
+    ),
 }
 
 # Kept lines when a text must be shortened, by document type (fixed values).

@@ -78,13 +78,12 @@ def canonical_lab(name: str | Column, aliases: Mapping[str, str] = v.ALL_LAB_ALI
 
 # --- typing ----------------------------------------------------------------------
 
-def type_words(kind: str, table: Mapping[str, str] = v.TYPE_WORDS) -> list[str]:
-    """Distinct words of a type; a bar starts a phrase that keeps its blanks."""
-    words, *phrases = table[kind].lower().split("|")
-    return sorted(set(words.split()) | set(phrases))
+def type_words(kind: str, table: Mapping[str, Sequence[str]] = v.TYPE_WORDS) -> list[str]:
+    """Distinct words and phrases of a type, in lower case."""
+    return sorted({w.lower() for w in table[kind]})
 
 
-def type_scores(text: str | Column, table: Mapping[str, str] = v.TYPE_WORDS) -> dict[str, Column]:
+def type_scores(text: str | Column, table: Mapping[str, Sequence[str]] = v.TYPE_WORDS) -> dict[str, Column]:
     low = F.lower(c(text))
     return {k: sum([low.contains(w).cast("int") for w in type_words(k, table)], F.lit(0))
             / float(max(3, min(len(type_words(k, table)), 8))) for k in table}

@@ -150,6 +150,7 @@ def schedule_times(freq: str | Column, instructions: str | Column, table: dict |
 
 # --- prescriptions ------------------------------------------------------------------------
 
+# Words that open an item or close it, and units.
 MARKERS = "|".join(("rx", "lx") + v.FORM_WORDS[:-1])
 ENDINGS = r"once +a +day|once +daily|twice +daily|three +times +a +day|3 +times +a +day|once +a +week|sos|bd|tds|qid|hs|\d *- *\d *- *\d"
 UNIT_WORDS = ("mg|mcg|grams|gram|g|ml|iu|units|unit|tsp|teaspoon|tbsp|tablespoon|spoon|drops|drop|puffs|puff|sprays|spray|"
@@ -478,12 +479,6 @@ def ground(extracted: DataFrame, sources: DataFrame, key: str, text: str, *, nam
     return j.withColumn("errors", errors).withColumn("needs_review", F.size("errors") > 0).drop("__src")
 
 
-def numbers_not_in(text: str | Column, source: str | Column) -> Column:
-    """Numbers of a text that the source does not hold."""
-    pat = F.lit(r"\d+(?:\.\d+)?")
-    return F.array_sort(F.array_except(F.regexp_extract_all(c(text), pat, 0), F.regexp_extract_all(c(source), pat, 0)))
-
-
 def fill_missing(df: DataFrame, name: str, unit: str, frequency: str) -> DataFrame:
     """Unknown names are marked, missing unit and frequency take the usual ones."""
     gone = F.coalesce(F.trim(F.col(name)), F.lit("")) == ""

@@ -245,7 +245,3 @@ def due_now(times: str | Column, minute: Column, within: int = 30) -> Column:
 def coalesce_blank(*cols: str | Column) -> Column:
     """First non-blank text."""
     return F.coalesce(*[nonblank(x) for x in cols])
-
-
-def age_seconds(col: str | Column, as_of) -> Column:
-    return seconds(ts(as_of)) - seconds(col)

@@ -150,6 +150,7 @@ def temporal_bias(intent: Column, confidence: Column, text: str | Column, minute
 
 # --- emergency screen ---------------------------------------------------------------------------------
 
+# Shapes of command words.
 APPROVE_SHAPE = r"^(?:approve|approve this|yes approve|confirm|theek hai|proceed)$|^approve |^yes approve"
 REJECT_SHAPE = r"^(?:deny|reject|veto|veto this|cancel this|nahi chahiye|nai chahiye)$|^veto |^reject "
 
@@ -227,6 +228,7 @@ class Rule(NamedTuple):
         return F.coalesce(cond, F.lit(False))
 
 
+# Answers, contexts and dates.
 YES = ("yes", "haan", "ha", "li", "le li", "kha liya", "taken", "took it", "done", "ho gaya", "liya")
 NO = ("no", "nahi", "nai", "nhi", "missed", "bhool gaya", "skip", "skipped", "nahi liya", "not taken")
 MED_CONTEXT = ("medication_confirmation", "medication_prompt", "scheduled_medication")
@@ -384,16 +386,18 @@ def report_severity(routed: Column, intent: Column) -> Column:
 
 # --- compound messages --------------------------------------------------------------------------------------
 
+# Words that part clauses, and the most clauses of a message.
+CLAUSE_LIMIT = 5
 CLAUSE_SPLIT = r"(?i)\s*(?:[,;]|(?:^|\s)(?:and|also|aur|plus)(?:\s|$))\s*"
 
 
 def clauses(text: str | Column) -> Column:
-    """Up to five clauses of at least two words; none for short messages of one or two parts."""
+    """Clauses of at least two words, up to ``CLAUSE_LIMIT``; none for short messages of one or two parts."""
     def split(t: Column) -> Column:
         parts = F.transform(F.split(t, CLAUSE_SPLIT), lambda p: F.regexp_replace(p, r"^[ .!?]+|[ .!?]+$", ""))
         def choose(ps: Column) -> Column:
             long = F.size(F.split(one_space(t), " ")) > 10
-            good = F.slice(F.filter(ps, lambda p: p.rlike(r"\S\s+\S")), 1, 5)
+            good = F.slice(F.filter(ps, lambda p: p.rlike(r"\S\s+\S")), 1, CLAUSE_LIMIT)
             return F.when((long | (F.size(ps) >= 3)) & t.rlike(CLAUSE_SPLIT), good).otherwise(F.array().cast("array<string>"))
         return let(F.filter(parts, lambda p: p != ""), choose)
     return let(F.coalesce(c(text), F.lit("")), split)
@@ -409,6 +413,7 @@ def secondary_intents(df: DataFrame, keys: Sequence[str], text: str, primary: st
 
 
 # Voice events by clause, first kind that hits (fixed values).
+# Spoken events and what parts them.
 VOICE_EVENTS = (
     ("taken", ("took", "taken", "le li", "liya", "kha li", "done", "de di", "given")),
     ("missed", ("missed", "skipped", "skip", "nahi li", "nhi li", "not taken", "bhool")),
@@ -425,7 +430,3 @@ def voice_events(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     each = df.select(*keys, F.posexplode(parts).alias("pos", "clause")).where("clause <> ''")
     kind = first_match([(has_word(F.lower("clause"), words), k) for k, words in VOICE_EVENTS])
     return each.withColumn("event_type", kind).where("event_type IS NOT NULL")
-
-
-def rule_hits(text: Column, rules: Mapping[str, Sequence[str]]) -> Column:
-    return F.array_compact(F.array(*[F.when(has_text(text, terms), n) for n, terms in rules.items()]))

@@ -220,7 +220,3 @@ def union_findings(shape: Mapping[str, str], *parts: DataFrame) -> DataFrame:
 
 def missing_from(required: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
     return required.select(*keys).distinct().join(present.select(*keys).distinct(), list(keys), "left_anti")
-
-
-def age_in_minutes(col: str | Column, as_of) -> Column:
-    return (seconds(ts(as_of)) - seconds(col)) / 60
