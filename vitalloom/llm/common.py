@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from vitalloom.session import scratch
 
 #: Bytes of text that one numpy step works on; a longer text is one step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,6 +26,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(rows: DataFrame) -> DataFrame:
+    """``rows``, with Arrow batches of 1,000 rows in its session unless the session sets its own number.
+
+    Ten thousand long texts would fill a worker and the executor's buffers several times over.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_KEY) == "10000":
+        conf.set(BATCH_KEY, "1000")
+    return rows
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())
@@ -153,17 +165,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for each node of the undirected ``edges`` (a, b); root is the smallest node reachable.
 
-    Alternates large-star and small-star steps; every step is written to the shared folder. No neighbour
-    list is built: a step needs each node's smallest neighbour only, which is a map-side aggregate.
+    Alternates large-star and small-star steps until the edges are stars; every step is written to the shared
+    folder. No neighbour list is built: a step needs each node's smallest neighbour only, a map-side aggregate.
     """
     known = stored(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges")
-
-    def state(df):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    before = None
-    now = state(known)
-    while now != before:
+    while not _are_stars(known):
         both = known.union(known.selectExpr("b", "a"))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -172,11 +178,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low = star.groupBy("a").agg(F.min("b").alias("low"))
         small = star.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         known = stored(small.union(low).selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}-edges")
-        before, now = now, state(known)
     return known.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         known.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Every larger end has one edge, and no smaller end is a larger one: each component is known by its smallest node."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 #: Ids up to this number are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

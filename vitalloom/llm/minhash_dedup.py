@@ -4,10 +4,12 @@ Each permutation of the shingle hashes gives two signature values, its smallest
 half as many permutations. Values are banded; documents that share a band are candidates, and each candidate link is
 confirmed on the full shingle sets.
 
-A bucket never gives all its pairs. Documents with equal sets are one class first. Then every member of a bucket is
-compared with the bucket's smallest member, twice over; only pairs that are still in different components and whose
-set sizes allow the similarity are compared one by one. So every candidate pair is confirmed, refused or already
-connected. With 32 bands of 5 a pair at similarity 0.8 is missed with probability 3e-6, closer pairs less often.
+A bucket never gives all its pairs. Documents with equal sets are one class first. Members of a bucket are linked as
+candidates with the bucket's smallest member only; components of those links are clusters, and two documents that
+share a band are always in one cluster. A cluster is compared block against block: candidates are found from the bands
+and confirmed inside the block, most shared bands first, and only while they are not connected yet; a block gives at
+most one link for each of its documents. So every candidate pair is confirmed, refused or already connected. With 32
+bands of 5 a pair at similarity 0.8 is missed with probability 3e-6, closer pairs less often.
 """
 
 from __future__ import annotations
@@ -85,24 +87,72 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, digest binary, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = (pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y"))
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
 
-    def run(batches):
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(batch.num_rows):
-                p, q = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                shared = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+#: Documents of a cluster that are compared with as many others in one task.
+BLOCK = 2048
+
+
+def block_links(rest: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join similar documents of a cluster; rest: (cluster, size, rep, bands, shingles)."""
+    kind = rest.schema["rep"].dataType.simpleString()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "bands", "shingles")
+
+    def run(batches):
+        for group in common.sorted_groups(batches, 3):
+            found = _block(group, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], ["a", "b"])
+
+    dealt = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _block(group: pa.Table, percent: int) -> list[tuple]:
+    """Links between the two sides of a block, or within it when it is compared with itself."""
+    own, reps = np.asarray(group["own"]), group["rep"].to_pylist()
+    low, high = group["low"][0].as_py(), group["high"][0].as_py()
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(len(own), BANDS)
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    parent = list(range(len(own)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for at in range(0, len(left), 256):
+        some = left[at:at + 256]
+        shared = np.zeros((len(some), len(right)), np.int8)
+        for k in range(BANDS):
+            shared += bands[some, k][:, None] == bands[right, k][None, :]
+        p, q = size[some][:, None], size[right][None, :]
+        able = (shared > 0) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
+        if low == high:
+            able &= some[:, None] < right[None, :]
+        i, j = np.nonzero(able)
+        for k in np.argsort(-shared[i, j].astype(int), kind="stable"):
+            x, y = some[i[k]], right[j[k]]
+            a, b = top(x), top(y)
+            if a != b and _similar(sets[x], sets[y], percent):
+                parent[b] = a
+    least = {}
+    for x in range(len(own)):
+        a = top(x)
+        least[a] = min(reps[x], least.get(a, reps[x]))
+    return [(reps[x], least[top(x)]) for x in range(len(own)) if reps[x] != least[top(x)]]
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,41 +162,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     returned each. A row with a null id takes part through its text; it is never kept and its component is the
     smallest id of its group, null if there is none. Other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = common.lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = common.stored(signatures(docs, size), "minhash-signatures")
-    classes = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
+    classes = common.stored(signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "minhash-classes")
+    banded = classes.select("rep", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     members = common.stored(banded.join(crowded, "key"), "minhash-members")
     ids = common.stored(members.select("rep").distinct().join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest"), "minhash-ids")
     # repeated rows of an id may hold other texts, so the digest decides as well
     sets = common.stored(common.with_ids(full_sets(common.with_ids(docs, ids, "id"), size), ids, "id", "digest"), "minhash-sets")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    links = None
-    tested = None
-    state = members.withColumn("root", F.col("rep"))
-    for turn in range(3):
-        if turn < 2:  # with the smallest member outside the component of the smallest member
-            pool = state
-            if turn:
-                first = state.groupBy("key").agg(F.min("root").alias("top"))
-                pool = state.join(first, "key").where("root <> top").drop("top")
-            hub = pool.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"))
-            pairs = pool.join(hub, "key").select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("m")).where("a <> b").where(fits)
-        else:
-            mixed = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            left = state.join(mixed, "key")
-            right = left.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = left.join(right, "key").where("root < other").where(fits).select(F.col("rep").alias("a"), "b", "n", "m")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.stored(pairs, "minhash-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = common.stored(confirmed(pairs, sets, percent), "minhash-links")
-        links = found if links is None else links.union(found)
-        roots = common.components(links, "minhash").withColumnsRenamed({"node": "rep"})
-        state = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    pairs = members.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).where("a <> b")
+    clusters = common.stored(common.components(pairs, "minhash-clusters").select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "minhash-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    rest = clusters.join(sizes, "cluster").join(classes.select("rep", "bands"), "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    roots = common.components(block_links(rest, percent), "minhash").withColumnsRenamed({"node": "rep"})
     roots = common.stored(roots, "minhash-roots")
     merged = classes.select("digest", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return (signed.select("id", "n", "digest").join(merged, "digest", "left")
