@@ -40,7 +40,7 @@ def unit_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x) for x in batch.column(1).to_pylist()], pa.binary())], ["vec_id", "unit"])
 
-    return vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"vec_id {kind}, unit binary")
+    return common.lean(vectors).select(id_col, F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"vec_id {kind}, unit binary")
 
 
 def passes_for(vectors: int, threshold: float, window: int, miss: float) -> int:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # Elements by their role in HTML.
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -167,7 +169,7 @@ def tag_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         yield pa.RecordBatch.from_arrays([pa.array([t if t.lstrip("-/") in known else "?" for t in tags], pa.string()), pa.array([inside[t] for t in tags], pa.int64()),
                                           pa.array([outside[t] for t in tags], pa.int64())], ["tag", "inside", "outside"])
 
-    counted = pages.select(F.col(html_col).alias("html")).mapInArrow(run, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside"), F.sum("outside")).collect()
+    counted = common.lean(pages).select(F.col(html_col).alias("html")).mapInArrow(run, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside"), F.sum("outside")).collect()
     return {t: min(LEAST, UNIT * math.log((i + 1) / (o + 1))) for t, i, o in counted}
 
 

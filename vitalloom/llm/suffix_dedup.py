@@ -63,7 +63,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return common.lean(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
 def anchors(texts: DataFrame, length: int, whole: bool) -> DataFrame:
