@@ -12,6 +12,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from pyspark.sql.window import Window
 from . import common
 
 #: Words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 400_000
-#: Letters and a run of marks: a pre-token each. The tokenizer's normaliser only lower-cases such words.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,:;!?#$%&*()|]*)")
+REMEMBERED = 250_000
+#: A line of letters and a run of marks, a pre-token each, or any other line. The tokenizer's normaliser only lower-cases the former.
+WORD_LINE = re.compile("^(?:([a-zß-öø-ÿ]+)([-.,:;!?#$%&*()|]*)|[^\n]*)$", re.MULTILINE)
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -62,19 +63,14 @@ class WordEncoder:
             self.stems.clear()
         if len(self.tails) > REMEMBERED:
             self.tails = {"": b""}
-        plain, odd = [], []
-        for w in missing:
-            known = self.old.get(w)
-            if known is not None:
-                self.new[w] = known
-                continue
-            s = w.decode("utf-8", "replace")
-            m = PLAIN.fullmatch(s)
-            if m:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                odd.append((w, s))
-        stems = list({p[1] for p in plain}.difference(self.stems))
+        again = missing & self.old.keys()
+        self.new.update((w, self.old[w]) for w in again)
+        fresh = list(missing - again)
+        if not fresh:
+            return
+        forms = WORD_LINE.findall(b"\n".join(fresh).decode("utf-8", "replace").lower())
+        odd = [w for w, form in zip(fresh, forms, strict=True) if not form[0]]
+        stems = list({form[0] for form in forms}.difference(self.stems, ("",)))
         for at in range(0, len(stems), 2000):
             part = stems[at:at + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -82,17 +78,16 @@ class WordEncoder:
             if len(cut) != len(part) + 1:
                 raise ValueError("the tokenizer does not close each pre-token with </w>")
             raw = ids.tobytes()
-            for stem, a, b in zip(part, cut, cut[1:], strict=False):
-                self.stems[stem] = raw[4 * a:4 * b]
-        tails = list({p[2] for p in plain}.difference(self.tails))
+            self.stems.update((stem, raw[4 * a:4 * b]) for stem, a, b in zip(part, cut, cut[1:], strict=False))
+        tails = list({form[1] for form in forms}.difference(self.tails))
         self.tails.update(zip(tails, self._ids(tails), strict=True))
-        for w, stem, tail in plain:
-            self.new[w] = self.stems[stem] + self.tails[tail]
-        self.new.update(zip([w for w, _ in odd], self._ids([s for _, s in odd]), strict=True))
+        known, marks = self.stems, self.tails
+        self.new.update((w, known[form[0]] + marks[form[1]]) for w, form in zip(fresh, forms, strict=True) if form[0])
+        self.new.update(zip(odd, self._ids([w.decode("utf-8", "replace") for w in odd]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        self.learn({w for x in words for w in x})
+        self.learn(set(chain.from_iterable(words)))
         known = self.new.__getitem__
         return [b"".join(map(known, x)) for x in words]
 
@@ -128,7 +123,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keep_ids
                     [batch.column(0).take(pa.array(rows[0])), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:5]], *[pa.array(x, pa.binary()) for x in rows[5:]]], names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return common.lean(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
