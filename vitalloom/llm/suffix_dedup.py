@@ -223,7 +223,8 @@ def deduplicate(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text
     null ids are allowed; ids are whole numbers. Other columns are not read.
     """
     texts = _texts(docs, id_col, text_col)
-    often = anchors(texts, length, False).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # written, so that Spark can split an anchor that very many places have
+    often = common.stored(anchors(texts, length, False).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "suffix-often")
     places = common.stored(anchors(texts, length, True).join(often, "anchor"), "suffix-anchors")
     one = F.min(F.struct("id", "digest", "first", "last")).alias("one")
     kinds = common.stored(places.groupBy("anchor", "context").agg(F.count("*").alias("n"), one), "suffix-contexts")
