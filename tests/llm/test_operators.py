@@ -222,6 +222,30 @@ def test_passages(spark, docs, none):
     assert passage_dedup.repeated_passages(docs).count() == len(TEXTS) and passage_dedup.repeated_passages(none).count() == 0
 
 
+def test_passages_of_common_lines_match_all_runs(spark):
+    r = random.Random(8)
+    lines = [prose(r.randint(8, 30), 5000 + k) for k in range(25)]
+    rows = [(i, "  ".join(x for _ in range(10) for x in (r.choice(lines), prose(r.choice((0, 0, 0, 1, 2)), 7000 + r.randrange(10**6))))) for i in range(150)]
+    rows += [(200 + i, prose(r.randint(0, 60), 9000 + i) + " " + " ".join(lines[:4 + i % 2]) + "\n" + prose(r.randint(0, 60), 9100 + i)) for i in range(6)]
+    rows += [(300, prose(40, 9200)), (301, prose(49, 9300)), (302, prose(49, 9300) + " x"), (303, prose(50, 9400)), (304, prose(50, 9400).upper() + "\t")]
+    seen = defaultdict(list)
+    for i, t in rows:
+        w = lower(t).split()
+        for k in range(len(w) - 49):
+            seen[tuple(w[k:k + 50])].append((i, k))
+    want, links = defaultdict(set), set()
+    for places in seen.values():
+        if len({i for i, _ in places}) > 1:
+            for i, k in places:
+                want[i].update(range(k, k + 50))
+                links.add((places[0][0], i))
+    got = {x.doc_id: x for x in passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(links) > 50 and len(got) == len(rows)
+    lost = {i: n for i, p in want.items() if (n := len(p - {k for s in got[i].spans for k in range(s.start, s.end)}))}
+    assert not lost and all(got[a].component_id == got[b].component_id for a, b in links)
+    assert not got[300].spans and not got[301].spans and [tuple(s) for s in got[304].spans] == [(0, 50)]
+
+
 def test_compact_windows_cover_each_sequence_once():
     r = np.random.default_rng(4)
     for _ in range(20):
