@@ -270,6 +270,23 @@ def test_html(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><p class="notice">Note<p>One</p><p>Two</p></article>', "One Two"),
+    ('<article><p>One</p><aside>Gone<p>too</article>', "One"),
+    ('<article><ul><li class="share">Gone<b>x</b><li>One<li>Two</ul><p>Three</article>', "One Two Three"),
+    ('<article><ul><li class="share">Gone<ul><li>inner</ul><li>One</ul>Two</article>', "One Two"),
+    ('<article><table><tr><td class="ad">Gone<td>One<tr class="promo"><td>gone<tr><td>Two</table>Three</article>', "One Two Three"),
+    ('<article><table><tr><td class="ad">Gone</div><table><tr><td>in</table>gone<td>One</table>Two</article>', "One Two"),
+    ('<article><dl><dt class="promo">Gone<dd>One<dd class="ad">gone<dt>Two</dl>Three</article>', "One Two Three"),
+    ('<article><div>One <span class="share">gone <i>x</i></div><p>Two</article>', "One Two"),
+    ('<article><div class="ad"><p>Gone<div>gone</div>gone</div>One</article>', "One"),
+    ('<article>One<p class="ad">Gone <br> gone <b>gone</b> gone</p> Two</article>', "One Two"),
+    ('<body><div class="has-sidebar"><div id="no-comments"><p>One two three<p class="ad">gone<p>four</div><div class="sidebar">gone</div></div><nav>gone</nav>', "One two three four"),
+    ('<body><article>One</article><div class="comments">many more words that are gone</div>', "One")])
+def test_html_left_out_elements_end_where_html_ends_them(page, text):
+    assert html_extraction.main_text(page, {}) == text
+
+
 def test_decontamination(spark, docs, none, monkeypatch):
     items = [(1, PASSAGE.upper()), (2, "two three"), (3, None), (4, ""), (None, prose(30, 12)), (5, "de de de de de de de de de de de"), (5, prose(300, 13)), (6, "nowhere to be found")]
     bench = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, n long, window string")

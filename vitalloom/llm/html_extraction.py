@@ -31,6 +31,15 @@ HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)
                   r"|breadcrumbs?|header|masthead|footer|comments?|disqus|replies|respond|share|sharing|social|related|recommended|complementary|contentinfo)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+# Tags that end an open element in HTML, and the elements that shield it.
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+SCOPE = frozenset("table td th caption object template button".split())
+TABLE = frozenset(["table"])
+ROWS = frozenset("table caption thead tbody tfoot tr td th".split())
+_SHIELD = (ENDS_P | SCOPE | frozenset(["select"])) - frozenset("address div p li dd dt".split())
+_CELL, _ROW, _GROUP = (("td", "th", "caption"), TABLE | {"tr"}), (("tr", "caption"), TABLE), (("thead", "tbody", "tfoot", "caption"), TABLE)
+ENDS = ({"li": ((("li",), _SHIELD),), "td": (_CELL,), "th": (_CELL,), "tr": (_ROW,), "option": ((("option",), _SHIELD),), "optgroup": ((("option",), _SHIELD), (("optgroup",), _SHIELD))}
+        | dict.fromkeys(("dd", "dt"), ((("dd", "dt"), _SHIELD),)) | dict.fromkeys(("thead", "tbody", "tfoot"), (_ROW, _GROUP)))
 #: Weight of a tag that is as common inside as outside, and the weight of one unit of log odds.
 LEAST, UNIT = -0.1, 8.0
 
@@ -93,33 +102,116 @@ def _tag_end(page: str, at: int) -> int:
         at = close + 1
 
 
+class _Open:
+    """Elements that are open, outermost first, with the ends that HTML lets a page omit. Void elements are never among them."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.count: Counter = Counter()
+
+    def cut(self, size: int) -> None:
+        while len(self.names) > size:
+            self.count[self.names.pop()] -= 1
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def _end(self, ended, stops) -> None:
+        """End the innermost element of ``ended`` that no element of ``stops`` shields."""
+        if any(self.count[x] for x in ended):
+            for at in range(len(self.names) - 1, -1, -1):
+                if self.names[at] in ended:
+                    return self.cut(at)
+                if self.names[at] in stops:
+                    return None
+
+    def opening(self, name: str) -> None:
+        """End what the start tag ``name`` ends."""
+        if name in ENDS_P:
+            self._end(("p",), SCOPE)
+        for ended, stops in ENDS.get(name, ()):
+            self._end(ended, stops)
+
+    def closing(self, name: str) -> None:
+        """End the element ``name`` and all inside it; an end tag without its element ends nothing."""
+        self._end((name,), TABLE if name in ROWS else SCOPE)
+
+
 def parts(page: str) -> list[tuple[str, str, int]]:
-    """(kind, name or text, words): kind is "text", or "tag" with the name ("/name" for an end); left-out elements are gone."""
-    out: list[tuple[str, str, int]] = []
-    gone, depth = "", 0
+    """(kind, name or text, words): kind is "text", or "tag" with the name ("/name" for an end); left-out elements are gone.
+
+    A left-out element ends with its own end tag, with a tag that ends it in HTML, or with an element around it. On a
+    page without ``article`` and ``main``, one that only a hint marks stays if it holds most of the page's words.
+    """
+    items = []
     for kind, value, hinted in tokens(page):
+        text = html.unescape(value) if kind == "text" else value
+        items.append((kind, text, hinted and value not in ("html", "body", *ARTICLE) and value not in VOID and value not in LEFT_OUT, hinted, len(text.split()) if kind == "text" else 0))
+    stay = frozenset()
+    if any(x[2] for x in items) and not any(kind == "open" and value in ARTICLE and not hinted for kind, value, _, hinted, _ in items):
+        stay = _wrappers(items)
+    out: list[tuple[str, str, int]] = []
+    gone, mark, stack = "", 0, _Open()
+    for i, (kind, value, by_hint, hinted, words) in enumerate(items):
+        if kind == "text":
+            if not gone:
+                out.append((kind, value, words))
+            continue
         if gone:
             if kind == "open" and value in ARTICLE and not hinted and gone not in ARTICLE:  # an element that was never closed
                 gone = ""
-            elif value == gone and kind != "text":
-                depth += 1 if kind == "open" else -1
-                if depth == 0:
-                    gone = ""
-                    out.append(("tag", "-" + value, 0))
-                continue
+                stack.cut(mark)
             else:
+                (stack.opening if kind == "open" else stack.closing)(value)
+                if len(stack.names) > mark:
+                    if kind == "open" and value not in VOID and (value not in INLINE or value == gone):
+                        stack.push(value)
+                    continue
+                out.append(("tag", "-" + gone, 0))
+                own, gone = kind == "close" and value == gone, ""
+                if own:
+                    continue
+        elif kind == "close":
+            stack.closing(value)
+        if kind == "open":
+            stack.opening(value)
+            if value in LEFT_OUT or by_hint and i not in stay:
+                gone, mark = value, len(stack.names)
+                stack.push(value)
+                out.append(("tag", "-" + value, 0))
                 continue
-        if kind == "text":
-            text = html.unescape(value)
-            out.append(("text", text, len(text.split())))
-        elif kind == "open" and (value in LEFT_OUT or hinted and value not in ("html", "body", *ARTICLE) and value not in VOID):
-            gone, depth = value, 1
-            out.append(("tag", "-" + value, 0))
-        else:
-            out.append(("tag", value if kind == "open" else "/" + value, 0))
+            if value not in VOID and value not in INLINE:
+                stack.push(value)
+        out.append(("tag", value if kind == "open" else "/" + value, 0))
     return out
 
 
+def _wrappers(items: list[tuple[str, str, bool, bool, int]]) -> frozenset[int]:
+    """Items that open an element marked by a hint alone with over half of the words outside left-out elements."""
+    stack, total, mark = _Open(), 0, None
+    begun: list[tuple[int, int, int]] = []  # (place in the stack, item, words before)
+    held: list[tuple[int, int]] = []
+    for i, (kind, value, by_hint, _, words) in enumerate(items):
+        if kind == "text":
+            total += words if mark is None else 0
+            continue
+        (stack.opening if kind == "open" else stack.closing)(value)
+        if mark is not None and len(stack.names) <= mark:
+            mark = None
+        while begun and begun[-1][0] >= len(stack.names):
+            _, at, before = begun.pop()
+            held.append((at, total - before))
+        if kind == "open" and value not in VOID and (value not in INLINE or by_hint or stack.count[value]):
+            if by_hint:
+                begun.append((len(stack.names), i, total))
+            if value in LEFT_OUT and mark is None:
+                mark = len(stack.names)
+            stack.push(value)
+    held += [(at, total - before) for _, at, before in begun]
+    return frozenset(at for at, words in held if 2 * words > total)
+
+
 def labelled(pieces: list[tuple[str, str, int]]) -> tuple[Counter, Counter] | None:
     """Tags inside and outside the one article of a page; None for a page without just one."""
     for name in ARTICLE:
