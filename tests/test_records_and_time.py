@@ -206,3 +206,13 @@ def test_hot_places_fold_before_the_distance_join(rows):
     got = {r["p"]: (r["nearest"], round(r["distance_km"], 2)) for r in j.nearest_within(pts, places, "p", "lat", "lon", "h", "la", "lo").collect()}
     assert got[0] == (50, 1.11)
     assert got[99][0] == 7
+
+
+def test_table_stream_reads_a_file_and_a_folder_of_parts(spark, tmp_path):
+    spark.range(30).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    part = next((tmp_path / "parts.parquet").glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    for file in ("parts.parquet", "one.parquet"):
+        out = s.run_to_table(s.table_stream(spark, str(tmp_path), file, max_files=1), scratch(spark, "test-stream"))
+        want = spark.read.parquet(str(tmp_path / file))
+        assert sorted(r.id for r in out.collect()) == sorted(r.id for r in want.collect())
