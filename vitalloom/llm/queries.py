@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, passage_dedup, pii, quality_classifier, suffix_dedup
+from . import (centroid_clustering, decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, passage_dedup, pii, quality_classifier, sharding,
+               source_audit, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,70 @@ def op3(table):
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     listed = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
     return out.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated"), listed.alias("spans"), "component_id")
+
+
+@query("op11_sharding")
+def op11(table):
+    body = F.coalesce("text", F.lit(""))
+    rows = table("documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shuffled(rows, 16)
+    return dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) SEMI JOIN kept USING (lang, t) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+p AS (SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM f JOIN v USING (lang)),
+l AS (SELECT lang, t, sum(n)::BIGINT AS n FROM f GROUP BY lang, t),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(table):
+    return source_audit.audit(table("documents"))
+
+
+def op13_sql(clusters: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """One common table per step of each round."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT vec_id, v, c, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place
+    FROM (SELECT k.vec_id, k.v, m.c, list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k CROSS JOIN m{r} m))
+  WHERE place = 1)"""
+    mean = """m{n} AS MATERIALIZED (
+  SELECT m{r}.c, coalesce(x.v, m{r}.v) AS v FROM m{r} LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+    FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {size} + 1) t(i) GROUP BY c, i) GROUP BY c) x ON x.c = m{r}.c)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [mean.format(n=r + 1, r=r, size=size), near.format(r=r + 1)]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(e, lambda x: floor(1024 * x)::BIGINT) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) = {size} AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM k ORDER BY h LIMIT {clusters})),
+{", ".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN m{rounds} m ON m.c = a.c
+"""
+
+
+@query("op13_centroid_clustering", op13_sql())
+def op13(table):
+    return centroid_clustering.with_inertia(*centroid_clustering.cluster(table("embeddings")))
