@@ -151,26 +151,6 @@ def test_cooldown_equals_a_plain_loop_over_many_slices(spark, rows, batch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_cooldown_stream_equals_batch_across_batches(spark, rows):
-    rng = random.Random(9)
-    data = [(rng.choice("ab"), at(i), i, False) for i in range(60)]
-    folder = scratch(spark, "test")
-    for n in range(3):
-        rows(data[n * 20:(n + 1) * 20], "k string, t timestamp, i int, f boolean").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema("k string, t timestamp, i int, f boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    got = {r["i"] for r in s.run_to_table(s.cooldown(stream, "k", "t", "i", 600), folder).collect()}
-    assert got == walk(data, 600)
-
-
-def test_timer_stream_tells_one_outcome(spark, rows):
-    folder = scratch(spark, "test")
-    rows([("a", at(0), "open"), ("a", at(5), "close"), ("b", at(0), "open"), ("b", at(30), "close"), ("c", at(100), "open")],
-         "k string, t timestamp, kind string").coalesce(1).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("k string, t timestamp, kind string").parquet(f"{folder}/in")
-    got = {(r["k"], r["outcome"]) for r in s.run_to_table(s.timed_outcome(stream, "k", "t", "kind", "open", "close", 600, "vetoed", "final"), folder).collect()}
-    assert got == {("a", "vetoed"), ("b", "final")}
-
-
 def test_task_sink_joins_each_batch(spark, rows):
     folder = scratch(spark, "test")
     rows([("a", 1), ("b", 2)], "k string, n int").write.parquet(f"{folder}/in")

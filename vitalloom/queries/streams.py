@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import lookup
-from ..operators.windows import open_context
+from ..operators.windows import context_expiry, open_context
 from ..registry import Tables, query
 from ..session import scratch
 from ..streaming import batch as b
+from ..streaming import stateful as st
 from ..streaming import streams as s
 from .aggregates import brief
 from .records import EVENTS_AS_OF, ORDERS_AS_OF
 from .routing import REASON_SQL, route_sql, routed_ctes
-from .windows import W3_SQL, contexts
+from .windows import KINDS, W3_SQL, contexts
+
+
+#: A stored table may hold its rows in any order: a year covers each of the given ones.
+ANY_ORDER = 366 * 86_400
 
 
 def events_stream(t: Tables):
@@ -34,7 +39,7 @@ def r1(t: Tables):
 @query("r2_new_row_tasks", "SELECT DISTINCT event_id, event_type FROM events WHERE event_type IN ('purchase', 'error')")
 def r2(t: Tables):
     rows = events_stream(t).where(F.col("event_type").isin("purchase", "error"))
-    return s.run_to_table(s.first_per_id(rows, "ts", ["event_id"]).select("event_id", "event_type"), scratch(t.spark, "r2"))
+    return s.run_to_table(s.first_per_id(rows, "ts", ["event_id"], watermark="60 minutes").select("event_id", "event_type"), scratch(t.spark, "r2"))
 
 
 @query("r2_new_row_tasks_batch", """
@@ -63,8 +68,9 @@ def r3_batch(t: Tables):
 
 @query("r3_cooldown_stream", COOLDOWN_SQL)
 def r3(t: Tables):
-    out = s.cooldown(cooldown_events(events_stream(t)), "user_id", "ts", "event_id", 6 * 3600, force="forced")
-    return s.run_to_table(out, scratch(t.spark, "r3")).select("event_id", "user_id")
+    rows = cooldown_events(events_stream(t))
+    step = st.Cooldown(["user_id"], "event_id", "bigint", 6 * 3600, force=F.col("forced"))
+    return st.run_keyed(rows, step, "ts", scratch(t.spark, "r3"), lateness_seconds=ANY_ORDER, close=True).out.select("event_id", "user_id")
 
 
 @query("r4_requeue_stale", f"""
@@ -77,19 +83,13 @@ def r4(t: Tables):
     return b.requeue_stale(tasks, "status", "o_orderdate", "attempts", "limit", ORDERS_AS_OF).select("o_orderkey", "status", "requeued")
 
 
-def _timer_sql(span: str, close: str, expire: str) -> str:
-    return f"""
-WITH o AS (SELECT user_id, min(ts) FILTER (event_type = 'click') AS opened, min(ts) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY 1),
-w AS (SELECT max(ts) - INTERVAL 1 SECOND AS wm FROM events)
-SELECT user_id, CASE WHEN epoch_ms(closed) <= epoch_ms(opened) + {span} THEN '{close}' ELSE '{expire}' END AS outcome FROM o, w
-WHERE opened IS NOT NULL AND (epoch_ms(closed) <= epoch_ms(opened) + {span} OR epoch_ms(opened) + {span} < epoch_ms(wm))"""
-
-
-@query("r4_stale_timer_stream", _timer_sql("36000000", "done", "requeued"))
+@query("r4_stale_timer_stream", """
+WITH o AS (SELECT user_id, min(ts) FILTER (event_type = 'click') AS opened, min(ts) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN closed <= opened + INTERVAL 10 HOUR THEN 'done' ELSE 'requeued' END AS outcome FROM o WHERE opened IS NOT NULL""")
 def r4_stream(t: Tables):
-    rows = events_stream(t).where(F.col("event_type").isin("click", "purchase", "view", "error", "signup"))
-    out = s.timed_outcome(rows, "user_id", "ts", "event_type", "click", "purchase", 36000, "done", "requeued")
-    return s.run_to_table(out, scratch(t.spark, "r4")).select("user_id", "outcome")
+    rows = events_stream(t).where(F.col("event_type").isin("click", "purchase"))
+    step = st.TimedOutcome(["user_id"], F.col("event_type"), "click", "purchase", 36000, "done", "requeued")
+    return st.run_keyed(rows, step, "ts", scratch(t.spark, "r4"), lateness_seconds=ANY_ORDER, close=True).out.select("user_id", "outcome")
 
 
 @query("r5_context_expiry", f"SELECT user_id, event_id, active FROM ({W3_SQL})")
@@ -97,6 +97,20 @@ def r5(t: Tables):
     return open_context(contexts(t), "user_id", "kind", "ts", "explicit", "event_id", EVENTS_AS_OF).select("user_id", "event_id", "active")
 
 
+@query("r5_context_stream", """
+WITH c AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 4 = 0 THEN ts + INTERVAL 9 HOUR ELSE ts + CASE event_type WHEN 'click' THEN INTERVAL 180 SECOND WHEN 'signup' THEN INTERVAL 180 SECOND
+     WHEN 'view' THEN INTERVAL 72 HOUR ELSE INTERVAL 2 HOUR END END AS ends FROM events),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM c)
+SELECT user_id, event_id, 'opened' AS event, epoch_us(ts) AS at_us FROM n
+UNION ALL SELECT user_id, event_id, CASE WHEN next <= ends THEN 'replaced' ELSE 'expired' END, epoch_us(CASE WHEN next <= ends THEN next ELSE ends END) FROM n""")
+def r5_stream(t: Tables):
+    rows = events_stream(t).select("user_id", lookup("event_type", KINDS).alias("kind"), "ts", "event_id",
+                                   F.when(F.col("event_id") % 4 == 0, F.col("ts") + F.expr("INTERVAL 9 HOURS")).alias("explicit"))
+    step = st.OpenContext(["user_id"], "event_id", context_expiry("kind", "ts", "explicit"), longest_seconds=72 * 3600)
+    out = st.run_keyed(rows, step, "ts", scratch(t.spark, "r5"), lateness_seconds=ANY_ORDER, close=True).out
+    return out.select("user_id", F.col("ident").alias("event_id"), "event", F.col("at").alias("at_us"))
+
+
 VETO_AS_OF = "1998-06-01 00:00:00"
 
 
@@ -113,15 +127,15 @@ def r6(t: Tables):
 
 @query("r6_veto_window_stream", """
 WITH p AS (SELECT o_orderkey AS k, o_orderdate AS opened FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'),
-v AS (SELECT DISTINCT k FROM p JOIN lineitem ON l_orderkey = k AND l_returnflag = 'R' AND l_shipdate BETWEEN opened - INTERVAL 48 HOUR AND opened + INTERVAL 48 HOUR),
-w AS (SELECT least((SELECT max(opened) FROM p), (SELECT max(l_shipdate) FROM lineitem WHERE l_returnflag = 'R')) - INTERVAL 1 SECOND AS wm)
-SELECT p.k, CASE WHEN v.k IS NOT NULL THEN 'vetoed' ELSE 'finalized' END AS outcome FROM p LEFT JOIN v USING (k), w WHERE v.k IS NOT NULL OR opened + INTERVAL 48 HOUR < wm""")
+v AS (SELECT l_orderkey AS k, min(l_shipdate) AS closed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT k, CASE WHEN closed <= opened + INTERVAL 48 HOUR THEN 'vetoed' ELSE 'finalized' END AS outcome FROM p LEFT JOIN v USING (k)""")
 def r6_stream(t: Tables):
     orders = s.table_stream(t.spark, t.sf_dir, "orders.parquet").where("o_orderstatus = 'P' AND o_orderpriority = '2-HIGH'")
     items = s.table_stream(t.spark, t.sf_dir, "lineitem.parquet").where("l_returnflag = 'R'")
-    opened = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"))
-    vetoes = items.select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"))
-    return s.run_to_table(s.veto_stream(opened, vetoes, "k", "at", 48), scratch(t.spark, "r6")).select("k", "outcome")
+    opened = orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit("proposal").alias("kind"))
+    vetoes = items.select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("timestamp").alias("at"), F.lit("veto").alias("kind"))
+    step = st.TimedOutcome(["k"], F.col("kind"), "proposal", "veto", 48 * 3600, "vetoed", "finalized")
+    return st.run_keyed(opened.unionByName(vetoes), step, "at", scratch(t.spark, "r6"), lateness_seconds=8 * ANY_ORDER, close=True).out.select("k", "outcome")
 
 
 @query("r7_reminders", f"""
@@ -147,10 +161,11 @@ def r8(t: Tables):
     return b.fresh_decisions(rows, "h", "ts", "event_id").select("event_id")
 
 
-@query("r8_idempotent_decision_stream", "SELECT DISTINCT user_id, event_type FROM events")
+@query("r8_idempotent_decision_stream", R8_SQL)
 def r8_stream(t: Tables):
     rows = events_stream(t).withColumn("h", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), 256))
-    return s.run_to_table(s.first_per_id(rows, "ts", ["h"], watermark="40 days").select("user_id", "event_type"), scratch(t.spark, "r8"))
+    step = st.Cooldown(["h"], "event_id", "bigint", 3600, since_seen=True)
+    return st.run_keyed(rows, step, "ts", scratch(t.spark, "r8"), lateness_seconds=ANY_ORDER, close=True).out.select("event_id")
 
 
 @query("r9_daily_brief_once", """
@@ -174,5 +189,5 @@ def r10(t: Tables):
 SELECT event_type, ws AS window_start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ws FROM events)
 WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
 def r10_stream(t: Tables):
-    out = s.activity(events_stream(t), "ts", "event_type", "1 hour").select("event_type", "window_start", "n")
+    out = s.activity(events_stream(t), "ts", "event_type", "1 hour", watermark="10 minutes").select("event_type", "window_start", "n")
     return s.run_to_table(out, scratch(t.spark, "r10")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
