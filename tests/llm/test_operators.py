@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vitalloom.llm import (common, decontamination, embedding_dedup, html_extraction, license_scan, minhash_dedup, packing, passage_dedup, pii,
@@ -90,7 +91,22 @@ def test_words_with_odd_marks_encode_as_the_tokenizer_does():
     from tokenizers import Tokenizer
     direct, r = Tokenizer.from_file(tokenizer()), random.Random(5)
     texts = ["".join(r.choice("aZé'sß<|>ıİΣ 1., \x1ć&t\n") for _ in range(r.randint(0, 60))) for _ in range(400)] + ["x<|endoftext|>y", "don't we'll I'M", "ÀÉ. ÿ! straße,,"]
-    assert packing.WordEncoder(tokenizer()).encode([t.encode() for t in texts]) == [np.array(direct.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts += [None, "", "  \t", "plain", "ABC-- Éß.. ×÷ µm ªº naïve—x İI K K. DON'T", "x" * 30_000 + "  y"]
+    want = [np.array(direct.encode(t or "", add_special_tokens=False).ids, "<u4").tolist() for t in texts]
+    made = packing.WordEncoder(tokenizer())
+    for part in (pa.array(texts), pa.array(["a", *texts, None])[1:-1]):
+        ids, begins = made.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == want
+    broken = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 3], np.int32).tobytes()), pa.py_buffer(b"a\xff ")])
+    assert made.encode(broken)[0].tolist() == direct.encode("a\ufffd", add_special_tokens=False).ids
+
+
+def test_a_small_memory_of_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    made, fresh = packing.WordEncoder(tokenizer()), packing.WordEncoder(tokenizer())
+    for seed in range(12):
+        text = pa.array([prose(50, seed % 5) + " Mark?! 12,5"])
+        assert made.encode(text)[0].tolist() == fresh.tokenizer.encode(text[0].as_py(), add_special_tokens=False).ids
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

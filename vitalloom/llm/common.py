@@ -46,8 +46,8 @@ def lower_ascii(col):
 # Bytes of a text column as numpy arrays
 
 
-def text_steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, bytes, offsets) for runs of rows of about ``STEP_BYTES``; a null text has no bytes."""
+def text_steps(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, bytes, offsets) for runs of rows of about ``step`` bytes; a null text has no bytes."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
         kind = np.int64
@@ -62,11 +62,11 @@ def text_steps(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, n
     if col.null_count:
         lengths = np.diff(offsets)
         if lengths[np.asarray(col.is_null())].any():  # a null slot may cover bytes
-            yield from text_steps(pa.RecordBatch.from_arrays([col.fill_null("")], [column]), column)
+            yield from text_steps(pa.RecordBatch.from_arrays([col.fill_null("")], [column]), column, step)
             return
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + STEP_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1)
         j = min(j, n)
         yield i, j, data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j

@@ -12,10 +12,10 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,18 +23,24 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 250_000
-#: A line of letters and a run of marks, a pre-token each, or any other line. The tokenizer's normaliser only lower-cases the former.
-WORD_LINE = re.compile("^(?:([a-zß-öø-ÿ]+)([-.,:;!?#$%&*()|]*)|[^\n]*)$", re.MULTILINE)
+#: Stems, marks and odd words that a worker remembers with their ids, in each of two generations.
+REMEMBERED = 400_000
+#: Bytes of text that are encoded together.
+STEP_BYTES = 4_000_000
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+MARKS = "-.,:;!?#$%&*()|"
+#: A run of letters and a run of marks, a pre-token each. The tokenizer's normaliser only lower-cases such a word.
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[" + re.escape(MARKS) + "]*$"
+STEM = re.compile(f"[{LETTERS}]+")
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids, as little-endian 32-bit bytes, of each run of text between ASCII white space.
+    """Token ids of texts, from the ids of their distinct words.
 
     Holds for tokenizers whose normaliser and pre-tokenizer never look across white space, and which drop it; each
-    word is then encoded alike wherever it stands. Words are remembered in two generations of bounded size.
+    word is then encoded alike wherever it stands. A word of letters and marks is encoded as its two parts. Parts are
+    remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str):
@@ -44,52 +50,61 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.closes[number] = token.endswith("</w>")
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        missing = words.difference(self.new)
-        if not missing:
-            return
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the ids of all ``parts``."""
+        missing = [p for p in parts if p not in self.new]
         if len(self.new) + len(missing) > REMEMBERED and self.new:
-            self.old, self.new = self.new, {}
-            missing = words
-        if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        if len(self.tails) > REMEMBERED:
-            self.tails = {"": b""}
-        again = missing & self.old.keys()
-        self.new.update((w, self.old[w]) for w in again)
-        fresh = list(missing - again)
-        if not fresh:
-            return
-        forms = WORD_LINE.findall(b"\n".join(fresh).decode("utf-8", "replace").lower())
-        odd = [w for w, form in zip(fresh, forms, strict=True) if not form[0]]
-        stems = list({form[0] for form in forms}.difference(self.stems, ("",)))
+            self.old, self.new, missing = self.new, {}, parts
+        again = {p: self.old[p] for p in missing if p in self.old}
+        self.new.update(again)
+        fresh = [p for p in missing if p not in again] if again else missing
+        stems = [p for p in fresh if STEM.fullmatch(p)]
         for at in range(0, len(stems), 2000):
-            part = stems[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            some = stems[at:at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = [0, *(np.flatnonzero(self.closes[ids]) + 1).tolist()]
-            if len(cut) != len(part) + 1:
+            if len(cut) != len(some) + 1:
                 raise ValueError("the tokenizer does not close each pre-token with </w>")
             raw = ids.tobytes()
-            self.stems.update((stem, raw[4 * a:4 * b]) for stem, a, b in zip(part, cut, cut[1:], strict=False))
-        tails = list({form[1] for form in forms}.difference(self.tails))
-        self.tails.update(zip(tails, self._ids(tails), strict=True))
-        known, marks = self.stems, self.tails
-        self.new.update((w, known[form[0]] + marks[form[1]]) for w, form in zip(fresh, forms, strict=True) if form[0])
-        self.new.update(zip(odd, self._ids([w.decode("utf-8", "replace") for w in odd]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self.learn(set(chain.from_iterable(words)))
-        known = self.new.__getitem__
-        return [b"".join(map(known, x)) for x in words]
+            self.new.update((stem, raw[4 * a:4 * b]) for stem, a, b in zip(some, cut, cut[1:], strict=False))
+        other = [p for p in fresh if p not in self.new]
+        self.new.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the place where each begins; null is empty."""
+        try:
+            texts = texts.fill_null("")
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # not UTF-8
+            texts = pa.array([t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        plain, low = pc.match_substring_regex(coded.dictionary, PLAIN), pc.utf8_lower(coded.dictionary)
+        first = pc.if_else(plain, pc.utf8_rtrim(low, MARKS), coded.dictionary)
+        second = pc.if_else(plain, pc.utf8_ltrim(low, LETTERS), "")
+        parts = pa.concat_arrays([first, second]).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        self.learn(names)
+        known = [self.new[p] for p in names]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        of_word = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+        ids, ends = _strung(ids, size, of_word)
+        bounds = np.append(0, ends[1::2])
+        ids, ends = _strung(ids, np.diff(bounds), coded.indices.to_numpy())
+        return ids, np.append(0, ends)[words.offsets.to_numpy() - words.offsets[0].as_py()]
+
+
+def _strung(ids: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids``, of these sizes, strung together in an order, and where each ends."""
+    long = size[order]
+    ends = np.cumsum(long)
+    at = np.repeat((np.cumsum(size) - size)[order] - (ends - long), long)
+    at += np.arange(len(at))
+    return ids[at], ends
 
 
 def encoder(path: str) -> WordEncoder:
@@ -110,11 +125,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keep_ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
         for batch in batches:
-            for i, j, data, offsets in common.text_steps(batch, "text"):
-                raw, cut = data.tobytes(), offsets.tolist()
+            for i, j, _, _ in common.text_steps(batch, "text", STEP_BYTES):
+                flat, begins = made.encode(batch.column(1).slice(i, j - i))
                 rows: list[list] = [[] for _ in range(len(names))]
-                for n, ids in enumerate(made.encode([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)])):
-                    ids += b"\0\0\0\0"
+                for n in range(j - i):
+                    ids = flat[begins[n]:begins[n + 1]].tobytes() + b"\0\0\0\0"
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]
                         for column, value in zip(rows, (i + n, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
