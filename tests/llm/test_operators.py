@@ -146,6 +146,23 @@ def test_pii_wider_spans_and_masks(spark):
     assert out[3].text == "please call mobile <local_phone> today" and out[91].text == "plain words" and out[92].text == "<email>" and out[3].t == "t" and out[3].candidates == "x"
 
 
+def test_pii_takes_texts_of_very_many_spans(spark):
+    many = " ".join(f"u{i}@mail.example.com, +1 (555) 123-{i % 10000:04d}" for i in range(3000))
+    rows = [(1, many), (2, "x@y.zz"), (3, "a@b.co+1 555 123 45678 é😀 4111 1111 1111 1111"), (4, "+1 555 123 4567 a@b.co"), (5, "+4111111111111111")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(c.kind, c.start, c.end) for c in r.found if c.base] for r in pii.find(docs).collect()}
+    assert all(found[i] == base_spans(t) for i, t in rows) and len(found[1]) == 6000
+    model = pii.fit(common.stored(pii.with_candidates(docs.select("text")), "test-many"))
+    for r in pii.masked(docs, pii.Model({}, {}, {}, 0.0)).collect():
+        text, out, at = dict(rows)[r.doc_id], "", 0
+        for start, end, kind in sorted((b, c, a) for a, b, c in base_spans(text)):
+            if start >= at:
+                out += text[at:start] + f"<{kind}>"
+            at = max(at, end)
+        assert r.text == out + text[at:]
+    assert model.weights
+
+
 def test_reliability_grows_with_agreement():
     counts = {"email,1,1,1,1,0": 90, "email,-1,1,0,0,-1": 10, "email,1,1,1,0,0": 50, "email,-1,1,0,0,0": 5}
     reliability, posterior = pii.estimate(counts)

@@ -13,12 +13,15 @@ text.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitalloom.functions.text import let
+
 from . import common
 
 # Base kinds and their forms, written so that the matcher never backs up over a long run.
@@ -51,20 +54,52 @@ LABELERS = ("shape", "check", "gazetteer", "cue", "glued")
 CONTEXT = 40
 
 
+def _scan_before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of at least one integer all those before it combined, 0 for none. Results of about the square root of
+    n values each keep the work at n times that root, without a list that is copied for each value."""
+
+    def scanned(x: Column) -> Column:
+        v, width = x["v"], x["width"]
+        over = lambda start, at, n: F.aggregate(F.slice(v, at + 1, n), start, combine)
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        blocks = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), none,
+                             lambda s, b: F.struct(over(s["at"], b * width, width).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+        def each(before: Column) -> Column:
+            block = lambda k: F.floor(k / width).cast("int")
+            return F.transform(v, lambda _, k: over(F.get(before, block(k)), block(k) * width, k - block(k) * width))
+
+        return let(blocks, each)
+
+    return let(F.struct(values.alias("v"), _root(values).alias("width")), scanned)
+
+
+def _root(values: Column) -> Column:
+    return F.ceil(F.sqrt(F.size(values))).cast("int")
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """Structs (start, end, found, before, after) of leftmost non-overlapping matches; places in code points."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Structs (start, end, found, before, after) of leftmost non-overlapping matches; places in code points.
+
+    The text is matched twice, however many matches it holds.
+    """
     empty = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
 
-    def add(state: Column, k: Column) -> Column:
-        m = F.get(found, k)
-        start = state["at"] + F.length(F.get(parts, k))
-        here = F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"),
-                        F.right(F.get(parts, k), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, k + 1), F.lit(1)).alias("after"))
-        return F.struct((start + F.length(m)).alias("at"), F.array_append(state["out"], here).alias("out"))
+    def placed(x: Column) -> Column:
+        parts, found = x["parts"], x["found"]
+        sizes = F.transform(found, lambda m, k: F.length(F.get(parts, k)) + F.length(m))
 
-    walk = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda s: s["out"])
-    return F.when(F.size(found) > 0, walk).otherwise(empty)
+        def each(before: Column) -> Column:
+            def one(m: Column, k: Column) -> Column:
+                start = F.get(before, k) + F.length(F.get(parts, k))
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"),
+                                F.right(F.get(parts, k), F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, k + 1), F.lit(1)).alias("after"))
+
+            return F.transform(found, one)
+
+        return F.when(F.size(found) > 0, let(_scan_before(sizes, lambda p, q: p + q), each)).otherwise(empty)
+
+    return let(F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
 
 
 def _digits(found: Column) -> Column:
@@ -268,14 +303,29 @@ def masked(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     seen = with_candidates(docs.withColumnRenamed(text_col, "__text"), "__text")
     spans = F.array_sort(F.transform(accepted(model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     seen = seen.withColumn("__spans", spans)
-    text = F.col("__text")
+    out = F.when(F.size("__spans") > 0, _replaced(F.col("__text"), F.col("__spans"))).otherwise(F.col("__text"))
+    return seen.select(*[out.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
 
-    def add(s: Column, c: Column) -> Column:
-        piece = F.concat(F.substring(text, s["at"] + 1, c["start"] - s["at"]), F.lit("<"), c["kind"], F.lit(">"))
-        return F.when(c["start"] >= s["at"], F.struct(c["end"].alias("at"), F.array_append(s["out"], piece).alias("out"))).otherwise(
-            F.struct(F.greatest(s["at"], c["end"]).alias("at"), s["out"].alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    parts = F.aggregate("__spans", start, add, lambda s: F.array_join(F.array_append(s["out"], F.substring(text, s["at"] + 1, F.length(text))), ""))
-    out = F.when(F.size("__spans") > 0, parts).otherwise(text)
-    return seen.select(*[out.alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
+def _replaced(text: Column, spans: Column) -> Column:
+    """The text with its sorted spans replaced. Whole stretches of it are cut out first, so that a text of very many
+    spans is not walked from its start for each."""
+    ends = F.transform(spans, lambda c: c["end"])
+
+    def cut(reached: Column) -> Column:
+        pieces = F.transform(spans, lambda c, k: F.struct(F.get(reached, k).alias("from"), c["start"].alias("to"), c["kind"].alias("kind")))
+        return let(F.filter(pieces, lambda p: p["from"] <= p["to"]), joined_pieces)
+
+    def joined_pieces(pieces: Column) -> Column:
+        width = _root(pieces)
+
+        def stretch(b: Column) -> Column:
+            some = F.slice(pieces, b * width + 1, width)
+            first, last = F.get(some, 0)["from"], F.get(some, F.size(some) - 1)["to"]
+            return let(F.struct(some.alias("some"), first.alias("first"), F.substring(text, first + 1, last - first).alias("part")), lambda x: F.array_join(
+                F.transform(x["some"], lambda p: F.concat(F.substring(x["part"], p["from"] - x["first"] + 1, p["to"] - p["from"]), F.lit("<"), p["kind"], F.lit(">"))), ""))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / width).cast("int")), stretch), "")
+
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+    return F.concat(let(_scan_before(ends, lambda p, q: F.greatest(p, q)), cut), rest)
