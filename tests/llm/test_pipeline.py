@@ -61,6 +61,21 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert max(placed.values()) <= 2048 and len(placed) <= -(-sum(placed.values()) // 2048) + 1
 
 
+def test_null_ids_and_texts_meet_no_other_rows(spark, tmp_path):
+    t, long = prose(1), prose(2, 40_000)
+    rows = [(7, t), (42, t), (None, None), (None, None), (None, t), (8, None), (-5, long), (3, long), (None, prose(3)), (None, prose(3)), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, x, "en", None, 1, "k", "d", 5) for i, x in rows], SCHEMA + ", __x string, digest string, id int")
+    got = sorted((str(r.doc_id), len(r.text or "")) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([("7", len(t)), ("None", 0), ("8", 0), ("-5", len(long)), ("None", len(prose(3))), ("9", 0)])
+    key = {r.doc_id: r.k for r in docs.where("doc_id IS NOT NULL").select("doc_id", corpus_pipeline.row_key(docs).alias("k")).collect()}
+    assert sorted(key, key=key.get) == sorted(key)
+    spark.createDataFrame([(1, prose(9))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (corpus_pipeline.decontaminate, corpus_pipeline.mask_personal_data):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), x or "") for i, x in rows)
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).where("start = 0").count() == len(rows)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "some item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
