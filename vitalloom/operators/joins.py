@@ -7,6 +7,7 @@ suppression joins from per-bucket bounds, containment joins from equal pieces.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c, with_lengths, micros, normal_severity, pair_high, pair_low, severity_rank
 from ..functions.neighbours import neighbour, running_sum
+from .containment import held_names
 
 # --- unordered rule pairs ----------------------------------------------------
 
@@ -385,18 +387,47 @@ def claim_conflicts(messages: DataFrame, keys: Sequence[str], order: str, role:
             .select(*keys, F.col(order).alias("claimed_at"), "kind", "contradicted_by", "rank"))
 
 
-def first_tier(names: DataFrame, tiers: Sequence[tuple[DataFrame, str, str, float, str]], raw: str,
-               default_confidence: float = 0.5) -> DataFrame:
-    """Resolve distinct names by tiers of (table, key, value, confidence, label); the
-    first tier that hits wins, else the raw name at ``default_confidence``."""
+@dataclass(frozen=True)
+class Tier:
+    """A step of name resolution: ``key`` of the table equals the name, or also stands ``inside`` it, or ``either`` in the other."""
+
+    table: DataFrame
+    key: str
+    value: str
+    confidence: float
+    label: str
+    match: str = "equal"
+
+
+# Fixed value: amounts that are no part of a name.
+STRENGTH = r"\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|iu|units?)\b"
+
+
+def without_strength(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(name), STRENGTH, ""), r"^[ .:\-]+|[ .:\-]+$", "")
+
+
+def first_tier(names: DataFrame, tiers: Sequence[Tier], raw: str, default_confidence: float = 0.5) -> DataFrame:
+    """Resolve distinct names by tiers; the first tier that hits wins, else the raw name at ``default_confidence``.
+
+    Inside a tier the longest key wins, then the smaller one. Names inside names meet by rare pieces.
+    """
     distinct = names.select(F.lower(F.trim(F.col(raw))).alias("__raw")).distinct()
-    picks = []
-    for n, (table, key, value, confidence, label) in enumerate(tiers):
-        one = table.groupBy(F.lower(F.col(key)).alias("__raw")).agg(F.min(value).alias(f"__v{n}"))
-        distinct = distinct.join(one, "__raw", "left")
+    picks, out = [], distinct
+    for n, tier in enumerate(tiers):
+        known = tier.table.select(F.lower(F.trim(F.col(tier.key))).alias("__key"), F.col(tier.value).alias("__v")).where("__key <> ''").groupBy("__key").agg(F.min("__v").alias("__v"))
+        if tier.match == "equal":
+            pairs = distinct.join(known, distinct["__raw"] == known["__key"])
+        else:
+            pairs = held_names(known, distinct, "__key", "__raw")
+            if tier.match == "either":
+                pairs = pairs.unionByName(held_names(distinct, known, "__raw", "__key"))
+            pairs = pairs.join(known, "__key")
+        one = pairs.groupBy("__raw").agg(F.min(F.struct(F.negative(F.length("__key")).alias("n"), "__key", "__v")).alias("__b")).select("__raw", F.col("__b.__v").alias(f"__v{n}"))
+        out = out.join(one, "__raw", "left")
         picks.append(F.when(F.col(f"__v{n}").isNotNull(), F.struct(
-            F.col(f"__v{n}").alias("name"), F.lit(confidence).alias("confidence"), F.lit(label).alias("tier"))))
+            F.col(f"__v{n}").alias("name"), F.lit(tier.confidence).alias("confidence"), F.lit(tier.label).alias("tier"))))
     rest = F.struct(F.col("__raw").alias("name"), F.lit(default_confidence).alias("confidence"),
                     F.lit("raw").alias("tier"))
-    done = distinct.withColumn("__r", F.coalesce(*picks, rest)).select("__raw", "__r.*")
+    done = out.withColumn("__r", F.coalesce(*picks, rest)).select("__raw", "__r.*")
     return names.withColumn("__raw", F.lower(F.trim(F.col(raw)))).join(done, "__raw").drop("__raw")

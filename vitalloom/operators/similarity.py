@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.core import c, first_match, has_text, with_lengths
 from ..functions.text import one_space, sequence_ratio, soundex_like
+from .containment import held_names, names_in_texts
 from .joins import contained_names
 from .routing import REPAIR_TERMS
 
@@ -133,45 +137,148 @@ def compact_typos(df: DataFrame, keys: Sequence[str], text: str, phrases: Sequen
 
 # --- nearest sentence ----------------------------------------------------------------------------------
 
-def nearest_seed(messages: DataFrame, seeds: DataFrame, keys: Sequence[str], text: str, label: str, seed: str, *,
-                 threshold: float = 0.55) -> DataFrame:
-    """Label of the lexically nearest seed: equal .96, contained .88, else token F1.
+#: Letters whose counts bound the ratio of two sentences.
+COUNTED = "etaoinshrdlucmfp"
+RATIO_WEIGHT = 0.82  # fixed value
+
+
+def sentence_candidates(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float) -> DataFrame:
+    """Distinct pairs of sentences whose matching-blocks ratio may reach ``cutoff``: every true pair is among them.
 
-    For F1 from ``threshold`` up, two token sets must share one of each other's
-    rarest tokens, so only those meet; frequent tokens never carry a join.
-    Containment is tested on whole tokens of seeds that share a rare token.
+    Sentences meet by length class, a few neighbouring ones each; then lengths and letter counts bound the ratio.
     """
-    def sets(df, cols, col):
-        return df.select(*cols, one_space(F.lower(F.col(col))).alias("__txt")).withColumn(
-            "__set", F.array_distinct(F.split("__txt", " "))).where("__txt <> ''")
-    m = sets(messages, keys, text).withColumn("__mid", F.struct(*keys))
-    s = sets(seeds, [label, seed], seed).withColumn("__sid", F.struct(label, seed))
-    every = m.select(F.explode("__set").alias("__t")).unionByName(s.select(F.explode("__set").alias("__t")))
+    shorter = cutoff / (2 - cutoff)  # least ratio of the lengths
+
+    def described(df: DataFrame, col: str, n: str) -> DataFrame:
+        size = F.length(col)
+        counts = F.array(*[size - F.length(F.replace(F.col(col), F.lit(x), F.lit(""))) for x in COUNTED])
+        return df.select(col).where(size > 0).distinct().select(col, size.alias(f"__l{n}"), counts.alias(f"__c{n}"))
+
+    classed = lambda n: F.floor(F.log(F.col(n)) / math.log(1 / min(shorter, 0.999)))
+    x = described(left, a, "x").withColumn("__k", classed("__lx"))
+    near = F.transform(F.array(*[F.lit(d) for d in (-1, 0, 1)]), lambda d: classed("__ly") + d)
+    y = described(right, b, "y").withColumn("__k", F.explode(near))
+    pairs = x.join(y, "__k").where(F.least("__lx", "__ly") >= F.greatest("__lx", "__ly") * shorter - 1e-9)
+    apart = F.aggregate(F.zip_with("__cx", "__cy", lambda u, v_: F.abs(u - v_)), F.lit(0), lambda t, u: t + u)
+    return pairs.where(apart <= (F.col("__lx") + F.col("__ly")) * (1 - cutoff) + 1e-9).select(a, b)
+
+
+class SideBySide:
+    """Edit distances of a text to many sentences at once: bit-parallel columns of all of them in one long integer,
+    each with a free bit above it that stops carries."""
+
+    def __init__(self, sentences: list[str]):
+        sizes = np.array([len(x) for x in sentences])
+        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
+        self.sizes, self.length = sizes, int((sizes + 1).sum())
+        self.bits = self.first = 0
+        self.places: dict[str, int] = {}
+        for start, x in zip(self.starts.tolist(), sentences, strict=True):
+            self.bits |= ((1 << len(x)) - 1) << start
+            self.first |= 1 << start
+            own: dict[str, int] = {}
+            for i, c_ in enumerate(x):
+                own[c_] = own.get(c_, 0) | 1 << i
+            for c_, places in own.items():
+                self.places[c_] = self.places.get(c_, 0) | places << start
+
+    def _ones(self, x: int) -> np.ndarray:
+        flags = np.unpackbits(np.frombuffer(x.to_bytes(self.length // 8 + 1, "little"), np.uint8), bitorder="little")
+        total = np.append(0, np.cumsum(flags, dtype=np.int64))
+        return total[self.starts + self.sizes] - total[self.starts]
+
+    def distances(self, text: str) -> np.ndarray:
+        bits, up, down = self.bits, self.bits, 0
+        for c_ in text:
+            equal = self.places.get(c_, 0)
+            diagonal = ((((equal & up) + up) ^ up) | equal | down) & bits
+            right = (((down | (bits ^ (diagonal | up))) << 1) & bits) | self.first
+            left = ((diagonal & up) << 1) & bits
+            up, down = left | (bits ^ (diagonal | right)), right & diagonal
+        return len(text) + self._ones(up) - self._ones(down)
+
+
+def close_sentences(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float, *, volume: int = 20_000) -> DataFrame:
+    """(a, b, edits): all pairs whose edit ratio reaches ``cutoff``.
+
+    ``right`` is the smaller table: a volume of its distinct sentences at a time goes to every task, in classes of like
+    length; a text is set against the classes that its length allows.
+    """
+    known = right.select(b).where(F.length(b) > 0).distinct()
+    parts = max(1, -(-known.count() // volume))
+    texts, found = left.select(a).where(F.length(a) > 0).distinct(), None
+    step = math.log(1 / min(cutoff, 0.999))
+    for part in range(parts):
+        words = [r[0] for r in known.where(F.pmod(F.xxhash64(b), F.lit(parts)) == part).collect()]
+        handed = left.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], handed=handed) -> Iterator[pa.RecordBatch]:
+            classes: dict[int, list[str]] = {}
+            for x in sorted(handed.value):
+                classes.setdefault(math.floor(math.log(len(x)) / step), []).append(x)
+            made = {k: SideBySide(v_) for k, v_ in classes.items()}
+            for batch in batches:
+                rows: list[tuple[str, str, int]] = []
+                for text in batch.column(0).to_pylist():
+                    own = math.floor(math.log(len(text)) / step)
+                    for k in (own - 1, own, own + 1):
+                        if k in made:
+                            edits = made[k].distances(text)
+                            allowed = np.floor(np.maximum(made[k].sizes, len(text)) * (1 - cutoff) + 1e-9)
+                            rows += [(text, classes[k][i], int(edits[i])) for i in np.flatnonzero(edits <= allowed)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.string(), pa.int32()))], [a, b, "edits"])
+
+        one = texts.mapInArrow(run, f"`{a}` string, `{b}` string, edits int")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _shared_token_pairs(m: DataFrame, s: DataFrame, least: float) -> DataFrame:
+    """(mid, sid) of token sets (mid, mset) and (sid, sset) whose F1 may reach ``least``: they share one of each
+    other's rarest tokens, so frequent tokens never carry a join."""
+    every = m.select(F.explode("mset").alias("__t")).unionByName(s.select(F.explode("sset").alias("__t")))
     freq = every.groupBy("__t").agg(F.count("*").alias("__df"))
-    alpha = threshold / (2 - threshold)
+    alpha = least / (2 - least)
 
-    def rare(df, ident, side):
-        toks = df.select(ident, F.size("__set").alias("__n"), F.explode("__set").alias("__t")).join(freq, "__t")
+    def rare(df: DataFrame, ident: str, tokens: str) -> DataFrame:
+        toks = df.select(ident, F.size(tokens).alias("__n"), F.explode(tokens).alias("__t")).join(freq, "__t")
         lists = toks.groupBy(ident, "__n").agg(F.array_sort(F.collect_list(F.struct("__df", "__t"))).alias("__o"))
         keep = F.col("__n") - F.ceil(F.col("__n") * alpha - 1e-9) + 1
-        return lists.select(F.col(ident).alias(side), F.explode(F.slice("__o", 1, F.greatest(keep, F.lit(1)).cast("int"))).alias("__x")).select(
-            side, F.col("__x.__t").alias("__t"))
-
-    near = rare(m, "__mid", "mid").join(rare(s, "__sid", "sid"), "__t").select("mid", "sid").distinct()
-    rarest = (s.select(F.col("__sid").alias("sid"), F.explode("__set").alias("__t")).join(freq, "__t").groupBy("sid")
-              .agg(F.min(F.struct("__df", "__t")).alias("__f")).select("sid", F.col("__f.__t").alias("__t")))
-    holds = m.select(F.col("__mid").alias("mid"), F.explode("__set").alias("__t")).join(rarest, "__t").select("mid", "sid")
-    pairs = near.unionByName(holds).distinct()
-    full = (pairs.join(m.select(F.col("__mid").alias("mid"), F.col("__txt").alias("mt"), F.col("__set").alias("ms")), "mid")
-            .join(s.select(F.col("__sid").alias("sid"), F.col("__txt").alias("st"), F.col("__set").alias("ss")), "sid"))
-    pad = lambda x: F.concat(F.lit(" "), F.col(x), F.lit(" "))
-    shared = F.size(F.array_intersect("ms", "ss"))
-    f1 = 2 * shared / (F.size("ms") + F.size("ss"))
-    score = F.when(F.col("mt") == F.col("st"), 0.96).when(pad("mt").contains(pad("st")) | pad("st").contains(pad("mt")), 0.88).otherwise(f1)
-    best = full.withColumn("__sc", score).where(F.col("__sc") >= threshold).groupBy("mid").agg(
-        F.max(F.struct("__sc", F.col(f"sid.{label}").alias("l"))).alias("__b"))
-    return messages.select(*keys, F.struct(*keys).alias("mid")).join(best, "mid", "left").select(
-        *keys, F.coalesce(F.col("__b.l").cast("string"), F.lit("unknown")).alias("predicted"), F.round(F.coalesce("__b.__sc", F.lit(0.0)), 4).alias("score"))
+        return lists.select(ident, F.explode(F.slice("__o", 1, F.greatest(keep, F.lit(1)).cast("int"))).alias("__x")).select(ident, F.col("__x.__t").alias("__t"))
+
+    return rare(m, "mid", "mset").join(rare(s, "sid", "sset"), "__t").select("mid", "sid").distinct()
+
+
+def nearest_seed(messages: DataFrame, seeds: DataFrame, keys: Sequence[str], text: str, label: str, seed: str, *,
+                 threshold: float = 0.55, exact_ratio: bool = False) -> DataFrame:
+    """Label of the lexically nearest seed: equal .96, one inside the other .88, else the larger of token F1 and .82
+    times the edit ratio (``exact_ratio``: matching blocks).
+
+    Distinct texts meet by shared rare tokens, by containment (an automaton of the seeds over the messages, pieces the
+    other way) and by edit distance within the bound; scores run on those pairs only. Digests stand for texts.
+    """
+    cutoff = threshold / RATIO_WEIGHT
+    own = messages.select(*keys, one_space(F.lower(F.col(text))).alias("mt"))
+    m = own.select("mt").where("mt <> ''").distinct().select(F.md5("mt").alias("mid"), "mt", F.array_distinct(F.split("mt", " ")).alias("mset"))
+    named = seeds.select(F.col(label).alias("label"), one_space(F.lower(F.col(seed))).alias("st")).where("st <> ''")
+    s = named.select("st").distinct().select(F.md5("st").alias("sid"), "st", F.array_distinct(F.split("st", " ")).alias("sset"))
+    pairs = _shared_token_pairs(m, s, threshold)
+    pairs = pairs.unionByName(names_in_texts(m, ["mid"], "mt", s, "st").select("mid", F.md5("st").alias("sid")))
+    short = m.where(F.length("mt") <= s.agg(F.max(F.length("st"))).scalar())
+    pairs = pairs.unionByName(held_names(short, s, "mt", "st").select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"))).withColumns({"close": F.lit(False), "edits": F.lit(None).cast("int")})
+    if cutoff <= 1:
+        close = sentence_candidates(m, s, "mt", "st", cutoff).withColumn("edits", F.lit(None).cast("int")) if exact_ratio else close_sentences(m, s, "mt", "st", cutoff)
+        pairs = pairs.unionByName(close.select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"), F.lit(True).alias("close"), "edits"))
+    full = pairs.groupBy("mid", "sid").agg(F.max("close").alias("close"), F.max("edits").alias("edits")).join(m, "mid").join(s, "sid")
+    ratio = sequence_ratio("mt", "st") if exact_ratio else 1 - F.col("edits") / F.greatest(F.length("mt"), F.length("st"))
+    f1 = 2 * F.size(F.array_intersect("mset", "sset")) / (F.size("mset") + F.size("sset"))
+    score = (F.when(F.col("mt") == F.col("st"), 0.96).when(F.col("mt").contains(F.col("st")) | F.col("st").contains(F.col("mt")), 0.88)
+             .otherwise(F.greatest(f1, RATIO_WEIGHT * F.when(F.col("close"), ratio).otherwise(0.0))))
+    # the threshold comes after the aggregate, so that no score is worked out twice
+    scored = full.select("mt", "st", score.alias("__sc")).join(named, "st")
+    best = scored.groupBy("mt").agg(F.max(F.struct("__sc", "label")).alias("__b")).where(F.col("__b.__sc") >= threshold)
+    return own.join(best, "mt", "left").select(
+        *keys, F.coalesce(F.col("__b.label").cast("string"), F.lit("unknown")).alias("predicted"), F.round(F.coalesce("__b.__sc", F.lit(0.0)), 4).alias("score"))
 
 
 # --- hints and mentions --------------------------------------------------------------------------------
@@ -188,11 +295,15 @@ def side_effect_hint(item: str | Column, symptom: str | Column, raw: str | Colum
                        + [(r.contains(d) & has_text(r, syn(x)), row(d, x, 0.90)) for d, x in hints])
 
 
-def mentioned_item(messages: DataFrame, items: DataFrame, entity: str, item: str, mention: str) -> DataFrame:
-    """The entity's active item a message mentions; an entity with a single item needs no mention."""
-    held = items.select(F.col(entity), F.lower(F.col(item)).alias("__item")).distinct()
+def mentioned_item(messages: DataFrame, items: DataFrame, keys: Sequence[str], entity: str, item: str, text: str) -> DataFrame:
+    """(keys, matched_item): the entity's active item that is named inside the message, the longest name first.
+
+    An entity with a single item needs no mention. An automaton over all item names reads the whole texts; what it
+    finds meets the entity's own items by equality.
+    """
+    held = items.select(F.col(entity), F.lower(F.trim(F.col(item))).alias("__item")).where("__item <> ''").distinct()
+    found = names_in_texts(messages, [*keys, entity], text, held, "__item").join(held, [entity, "__item"], "left_semi")
+    best = found.groupBy(*keys).agg(F.min(F.struct(F.negative(F.length("__item")).alias("n"), "__item")).alias("__hit"))
     single = held.groupBy(entity).agg(F.count("*").alias("__n"), F.min("__item").alias("__only")).where("__n = 1").select(entity, "__only")
-    exact = held.withColumn("__hit", F.col("__item"))
-    j = messages.withColumn("__m", F.lower(F.col(mention)))
-    j = j.join(exact, (j[entity] == exact[entity]) & (j["__m"] == exact["__item"]), "left").drop(exact[entity]).drop("__item", "__m")
-    return j.join(single, entity, "left").withColumn("matched_item", F.coalesce("__hit", "__only")).drop("__hit", "__only")
+    return messages.select(*keys, entity).join(best, list(keys), "left").join(single, entity, "left").select(
+        *keys, F.coalesce("__hit.__item", "__only").alias("matched_item"))

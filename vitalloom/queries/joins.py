@@ -299,22 +299,30 @@ def j20(t: Tables):
     return j.claim_conflicts(t.conversations, ["conv_id"], "turn", "role", "text", "assistant", "user", rules)
 
 
-@query("j23_tiered_names", """
-WITH raw AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'SMALL' WHEN 1 THEN p_name WHEN 2 THEN p_brand ELSE p_type || ' x' END AS raw FROM part),
-a AS (SELECT lower(p_type) AS k, min(p_brand) AS v FROM part GROUP BY 1), r AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size > 30),
-f AS (SELECT lower(p_brand) AS k, min(p_name) AS v FROM part GROUP BY 1)
-SELECT p_partkey, CASE WHEN a.v IS NOT NULL THEN a.v WHEN r.k IS NOT NULL THEN r.k WHEN f.v IS NOT NULL THEN f.v ELSE lower(raw) END AS name,
-  CASE WHEN a.v IS NOT NULL THEN 0.92 WHEN r.k IS NOT NULL THEN 0.88 WHEN f.v IS NOT NULL THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence,
-  CASE WHEN a.v IS NOT NULL THEN 'alias' WHEN r.k IS NOT NULL THEN 'rule' WHEN f.v IS NOT NULL THEN 'formulary' ELSE 'raw' END AS tier
-FROM raw LEFT JOIN a ON a.k = lower(raw) LEFT JOIN r ON r.k = lower(raw) LEFT JOIN f ON f.k = lower(raw)""")
+def _longest_sql(name: str, keys: str, hit: str) -> str:
+    return f"{name} AS (SELECT raw, v FROM (SELECT raw, v, row_number() OVER (PARTITION BY raw ORDER BY length(k) DESC, k) AS n FROM d JOIN {keys} ON {hit}) WHERE n = 1)"
+
+
+@query("j23_tiered_names", f"""
+WITH raw AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'SMALL' WHEN 1 THEN p_name WHEN 2 THEN p_brand WHEN 3 THEN p_type || ' 5 mg' WHEN 4 THEN 'my ' || p_name || ' 40mg.'
+  WHEN 5 THEN substr(p_name, 1, length(p_name) - 2) WHEN 6 THEN substr(p_name, 2, 1) ELSE 'zz ' || p_size END AS raw FROM part),
+c AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(raw), '\\b\\d+(?:\\.\\d+)?\\s*(?:mg|mcg|g|ml|iu|units?)\\b', '', 'g'), '^[ .:-]+|[ .:-]+$', '', 'g') AS raw FROM raw),
+d AS (SELECT DISTINCT raw FROM c), a AS (SELECT lower(p_type) AS k, min(p_brand) AS v FROM part GROUP BY 1), h AS (SELECT DISTINCT lower(p_name) AS k, lower(p_name) AS v FROM part),
+r AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size > 30 AND p_name NOT LIKE '% ring'), f AS (SELECT lower(p_brand) AS k, min(p_name) AS v FROM part GROUP BY 1),
+{_longest_sql('am', 'a', 'contains(raw, k)')}, {_longest_sql('hm', 'h', 'contains(raw, k) OR contains(k, raw)')}
+SELECT p_partkey, CASE WHEN am.v IS NOT NULL THEN am.v WHEN r.k IS NOT NULL THEN r.k WHEN f.v IS NOT NULL THEN f.v WHEN hm.v IS NOT NULL THEN hm.v ELSE c.raw END AS name,
+  CASE WHEN am.v IS NOT NULL THEN 0.92 WHEN r.k IS NOT NULL THEN 0.88 WHEN f.v IS NOT NULL THEN 0.95 WHEN hm.v IS NOT NULL THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence,
+  CASE WHEN am.v IS NOT NULL THEN 'alias' WHEN r.k IS NOT NULL THEN 'rule' WHEN f.v IS NOT NULL THEN 'formulary' WHEN hm.v IS NOT NULL THEN 'hint' ELSE 'raw' END AS tier
+FROM c LEFT JOIN am ON am.raw = c.raw LEFT JOIN r ON r.k = c.raw LEFT JOIN f ON f.k = c.raw LEFT JOIN hm ON hm.raw = c.raw""".replace("\\\\", "\\"))
 def j23(t: Tables):
-    k = F.col("p_partkey") % 4
-    raw = t.part.select("p_partkey", F.when(k == 0, "SMALL").when(k == 1, F.col("p_name")).when(k == 2, F.col("p_brand"))
-                        .otherwise(F.concat("p_type", F.lit(" x"))).alias("raw"))
-    tiers = [(t.part, "p_type", "p_brand", 0.92, "alias"),
-             (t.part.where("p_size > 30").withColumn("v", F.lower("p_name")), "p_name", "v", 0.88, "rule"),
-             (t.part, "p_brand", "p_name", 0.95, "formulary")]
-    return j.first_tier(raw, tiers, "raw").select("p_partkey", "name", "confidence", "tier")
+    k, name = F.col("p_partkey") % 8, F.col("p_name")
+    raw = (F.when(k == 0, "SMALL").when(k == 1, name).when(k == 2, F.col("p_brand")).when(k == 3, F.concat("p_type", F.lit(" 5 mg"))).when(k == 4, F.concat(F.lit("my "), name, F.lit(" 40mg.")))
+           .when(k == 5, F.substring(name, F.lit(1), F.length(name) - 2)).when(k == 6, F.substring(name, 2, 1)).otherwise(F.concat(F.lit("zz "), F.col("p_size").cast("string"))))
+    rows = t.part.select("p_partkey", j.without_strength(raw).alias("raw"))
+    named = t.part.withColumn("low", F.lower("p_name"))
+    tiers = [j.Tier(t.part, "p_type", "p_brand", 0.92, "alias", "inside"), j.Tier(named.where("p_size > 30 AND p_name NOT LIKE '% ring'"), "p_name", "low", 0.88, "rule"),
+             j.Tier(t.part, "p_brand", "p_name", 0.95, "formulary"), j.Tier(named, "p_name", "low", 0.80, "hint", "either")]
+    return j.first_tier(rows, tiers, "raw").select("p_partkey", "name", "confidence", "tier")
 
 
 @query("j24_source_preference", """

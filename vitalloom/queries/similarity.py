@@ -67,14 +67,15 @@ def j19(t: Tables):
 
 
 @query("j21_mentioned_item", """
-WITH i AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 120), one AS (SELECT user_id, min(event_type) AS only_item FROM i GROUP BY 1 HAVING count(*) = 1),
-m AS (SELECT conv_id, turn, (['click','view','error','purchase','signup','none'])[(conv_id + turn) % 6 + 1] AS mention FROM conversations)
-SELECT conv_id, turn, coalesce(i.event_type, only_item, '') AS matched_item FROM m LEFT JOIN i ON i.user_id = conv_id AND i.event_type = mention LEFT JOIN one ON one.user_id = conv_id""")
+WITH i AS (SELECT DISTINCT doc_id % 100 AS entity, regexp_extract(lower(text), '\\p{L}{4,}') AS item FROM documents WHERE regexp_extract(lower(text), '\\p{L}{4,}') <> '' AND (doc_id % 100 < 90 OR doc_id < 100)),
+one AS (SELECT entity, min(item) AS only_item FROM i GROUP BY 1 HAVING count(*) = 1),
+h AS (SELECT conv_id, turn, item, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(item) DESC, item) AS n FROM conversations JOIN i ON entity = conv_id % 100 AND contains(lower(text), item))
+SELECT c.conv_id, c.turn, coalesce(h.item, only_item, '') AS matched_item FROM conversations c LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn AND n = 1 LEFT JOIN one ON one.entity = c.conv_id % 100""".replace("\\\\", "\\"))
 def j21(t: Tables):
-    msgs = t.conversations.select("conv_id", "turn", F.col("conv_id").alias("user_id"), pick(
-        ["click", "view", "error", "purchase", "signup", "none"], F.col("conv_id") + F.col("turn")).alias("mention"))
-    items = t.events.where("value > 120")
-    return s.mentioned_item(msgs, items, "user_id", "event_type", "mention").select(
+    items = t.documents.where("doc_id % 100 < 90 OR doc_id < 100").select(
+        (F.col("doc_id") % 100).alias("entity"), F.regexp_extract(F.lower("text"), r"\p{L}{4,}", 0).alias("item"))
+    msgs = t.conversations.select("conv_id", "turn", (F.col("conv_id") % 100).alias("entity"), "text")
+    return s.mentioned_item(msgs, items, ["conv_id", "turn"], "entity", "item", "text").select(
         "conv_id", "turn", F.coalesce("matched_item", F.lit("")).alias("matched_item"))
 
 
@@ -88,20 +89,25 @@ def x2(t: Tables):
     return s.repair_tokens(rows, ["conv_id", "turn"], "routed").select("conv_id", "turn", "repaired")
 
 
-@query("x22_nearest_seed", """
-WITH m AS (SELECT conv_id, turn, trim(regexp_replace(lower(CASE WHEN (conv_id + turn) % 4 = 3 THEN c.text ELSE c.text || ' ' || b.text END), '\\s+', ' ', 'g')) AS mt
+#: The twin's edit distance counts bytes: letters beyond ASCII become capitals there, which the lower-cased texts do not hold.
+ONE_BYTE = "translate({x}, 'éèêëàâáäçîïíôóöùûúüñœæß', 'ABCDEFGHIJKLMNOPQRSTUVW')"
+
+
+@query("x22_nearest_seed", f"""
+WITH m AS (SELECT conv_id, turn, trim(regexp_replace(lower(CASE (conv_id + turn) % 4 WHEN 3 THEN c.text WHEN 2 THEN replace(replace(b.text, 'e', 'i'), 'th', 't') WHEN 1 THEN substr(b.text, 5, 60) ELSE c.text || ' ' || b.text END), '\\s+', ' ', 'g')) AS mt
   FROM conversations c JOIN benchmark b ON b.item_id = (conv_id + turn) % 40),
 s AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS st FROM benchmark),
 p AS (SELECT conv_id, turn, item_id, mt, st, list_distinct(string_split(mt, ' ')) AS ms, list_distinct(string_split(st, ' ')) AS ss FROM m, s),
-q AS (SELECT conv_id, turn, item_id, CASE WHEN mt = st THEN 0.96 WHEN contains(' ' || mt || ' ', ' ' || st || ' ') OR contains(' ' || st || ' ', ' ' || mt || ' ') THEN 0.88
-  ELSE 2 * len(list_intersect(ms, ss)) / (len(ms) + len(ss)) END AS sc FROM p),
+q AS (SELECT conv_id, turn, item_id, CASE WHEN mt = st THEN 0.96 WHEN contains(mt, st) OR contains(st, mt) THEN 0.88
+  ELSE greatest(2 * len(list_intersect(ms, ss)) / (len(ms) + len(ss)), 0.82 * (1 - levenshtein({ONE_BYTE.format(x="mt")}, {ONE_BYTE.format(x="st")}) / greatest(length(mt), length(st)))) END AS sc FROM p),
 b AS (SELECT conv_id, turn, max(struct_pack(sc := sc, l := item_id)) AS b FROM q WHERE sc >= 0.55 GROUP BY 1, 2)
 SELECT conv_id, turn, coalesce(b.l::VARCHAR, 'unknown') AS predicted, round(coalesce(b.sc, 0), 4) AS score FROM m LEFT JOIN b USING (conv_id, turn)""".replace("\\\\", "\\"))
 def x22(t: Tables):
     k = (F.col("conv_id") + F.col("turn")) % 4
     b = t.benchmark.select(F.col("item_id").alias("__i"), F.col("text").alias("__b"))
-    msgs = t.conversations.join(b, (F.col("conv_id") + F.col("turn")) % 40 == F.col("__i")).select(
-        "conv_id", "turn", F.when(k == 3, F.col("text")).otherwise(F.concat_ws(" ", "text", "__b")).alias("msg"))
+    misspelt = F.replace(F.replace(F.col("__b"), F.lit("e"), F.lit("i")), F.lit("th"), F.lit("t"))
+    msg = F.when(k == 3, F.col("text")).when(k == 2, misspelt).when(k == 1, F.substring("__b", 5, 60)).otherwise(F.concat_ws(" ", "text", "__b"))
+    msgs = t.conversations.join(b, (F.col("conv_id") + F.col("turn")) % 40 == F.col("__i")).select("conv_id", "turn", msg.alias("msg"))
     return s.nearest_seed(msgs, t.benchmark.select("item_id", "text"), ["conv_id", "turn"], "msg", "item_id", "text")
 
 
