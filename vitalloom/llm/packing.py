@@ -24,9 +24,9 @@ from pyspark.sql.window import Window
 from . import common
 
 #: Stems, marks and odd words that a worker remembers with their ids, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded together.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_500_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 MARKS = "-.,:;!?#$%&*()|"
 #: A run of letters and a run of marks, a pre-token each. The tokenizer's normaliser only lower-cases such a word.
