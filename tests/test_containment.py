@@ -82,6 +82,13 @@ def test_close_sentences_are_all_found(rows):
         assert sorted(tuple(x) for x in got) == want and len(want) > 20
 
 
+def test_sentences_that_hold_a_text_are_all_found(rows):
+    inner, outer = words(60, 1, 4, 21), words(50, 1, 12, 22) + ["a"]
+    for volume in (20_000, 7):
+        got = s.sentences_holding(rows([(x,) for x in inner], "a string"), rows([(x,) for x in outer], "b string"), "a", "b", volume=volume).collect()
+        assert sorted(tuple(x) for x in got) == sorted((p, q) for p in set(inner) for q in set(outer) if p in q)
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_nearest_seed_equals_the_rule(rows, exact):
     r = random.Random(11)

@@ -86,7 +86,12 @@ def lab_array(text: str | Column) -> Column:
 
 def lab_rows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Lab rows of a text: canonical name, value, unit and range; equal rows once."""
-    rows = exploded(df, keys, lab_array(text), "pos", "r").select(*keys, "pos", "r.*")
+    return merged_labs(exploded(df, keys, lab_array(text), "pos", "r"), keys)
+
+
+def merged_labs(each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal lab rows (keys, pos, r) once, with the first one's range."""
+    rows = each.select(*keys, "pos", "r.*")
     return rows.groupBy(*keys, "test_name", "value", "unit").agg(
         F.min_by(F.struct("low", "high"), "pos").alias("__r")).select(*keys, "test_name", "value", "unit", "__r.low", "__r.high")
 
@@ -279,7 +284,12 @@ def item_key(item: Column) -> Column:
 
 def prescription_items(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Items of each prescription text, equal (name, dose, unit, frequency) once."""
-    rows = exploded(df, keys, item_array(text), "pos", "r").where("r.item IS NOT NULL").select(
+    return merged_items(exploded(df, keys, item_array(text), "pos", "r"), keys)
+
+
+def merged_items(each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal items (keys, pos, r) once, with the first one's words."""
+    rows = each.where("r.item IS NOT NULL").select(
         *keys, "pos", "r.item", F.col("r.dose.value").alias("dose"), F.col("r.dose.unit").alias("unit"), "r.frequency",
         "r.instructions", "r.advice")
     return rows.withColumn("__k", item_key(F.col("item"))).groupBy(*keys, "__k", "dose", "unit", "frequency").agg(

@@ -6,14 +6,14 @@ import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.core import c, first_match, has_text, with_lengths
 from ..functions.text import one_space, sequence_ratio, soundex_like
-from .containment import held_names, names_in_texts
+from .containment import names_in_texts
 from .joins import contained_names
 from .routing import REPAIR_TERMS
 
@@ -198,41 +198,74 @@ class SideBySide:
         return len(text) + self._ones(up) - self._ones(down)
 
 
-def close_sentences(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float, *, volume: int = 20_000) -> DataFrame:
-    """(a, b, edits): all pairs whose edit ratio reaches ``cutoff``.
-
-    ``right`` is the smaller table: a volume of its distinct sentences at a time goes to every task, in classes of like
-    length; a text is set against the classes that its length allows.
-    """
+def _against_volumes(left: DataFrame, right: DataFrame, a: str, b: str, volume: int, start, schema: str) -> DataFrame:
+    """Distinct texts ``a`` set against volumes of the distinct sentences ``b``, the smaller table: one volume at a time
+    goes to every task, where ``start(sentences)`` gives a function from a text to its rows (sentence, ...)."""
     known = right.select(b).where(F.length(b) > 0).distinct()
     parts = max(1, -(-known.count() // volume))
     texts, found = left.select(a).where(F.length(a) > 0).distinct(), None
-    step = math.log(1 / min(cutoff, 0.999))
     for part in range(parts):
         words = [r[0] for r in known.where(F.pmod(F.xxhash64(b), F.lit(parts)) == part).collect()]
         handed = left.sparkSession.sparkContext.broadcast(words)
 
-        def run(batches: Iterator[pa.RecordBatch], handed=handed) -> Iterator[pa.RecordBatch]:
-            classes: dict[int, list[str]] = {}
-            for x in sorted(handed.value):
-                classes.setdefault(math.floor(math.log(len(x)) / step), []).append(x)
-            made = {k: SideBySide(v_) for k, v_ in classes.items()}
+        def run(batches: Iterator[pd.DataFrame], handed=handed) -> Iterator[pd.DataFrame]:
+            look = start(sorted(handed.value))
             for batch in batches:
-                rows: list[tuple[str, str, int]] = []
-                for text in batch.column(0).to_pylist():
-                    own = math.floor(math.log(len(text)) / step)
-                    for k in (own - 1, own, own + 1):
-                        if k in made:
-                            edits = made[k].distances(text)
-                            allowed = np.floor(np.maximum(made[k].sizes, len(text)) * (1 - cutoff) + 1e-9)
-                            rows += [(text, classes[k][i], int(edits[i])) for i in np.flatnonzero(edits <= allowed)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.string(), pa.int32()))], [a, b, "edits"])
-
-        one = texts.mapInArrow(run, f"`{a}` string, `{b}` string, edits int")
+                yield pd.DataFrame([(t, *row) for t in batch[a].tolist() for row in look(t)], columns=[x.split()[0].strip("`") for x in schema.split(", ")])
+
+        one = texts.mapInPandas(run, schema)
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def close_sentences(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float, *, volume: int = 20_000) -> DataFrame:
+    """(a, b, edits): all pairs whose edit ratio reaches ``cutoff``. A text is set against the classes of sentences
+    that its length allows."""
+    step = math.log(1 / min(cutoff, 0.999))
+
+    def start(sentences: list[str]):
+        classes: dict[int, list[str]] = {}
+        for x in sentences:
+            classes.setdefault(math.floor(math.log(len(x)) / step), []).append(x)
+        made = {k: SideBySide(x) for k, x in classes.items()}
+
+        def look(text: str) -> list[tuple[str, int]]:
+            own, rows = math.floor(math.log(len(text)) / step), []
+            for k in (own - 1, own, own + 1):
+                if k in made:
+                    edits = made[k].distances(text)
+                    allowed = np.floor(np.maximum(made[k].sizes, len(text)) * (1 - cutoff) + 1e-9)
+                    rows += [(classes[k][i], int(edits[i])) for i in np.flatnonzero(edits <= allowed)]
+            return rows
+
+        return look
+
+    return _against_volumes(left, right, a, b, volume, start, f"`{a}` string, `{b}` string, edits int")
+
+
+def sentences_holding(left: DataFrame, right: DataFrame, a: str, b: str, *, volume: int = 20_000) -> DataFrame:
+    """(a, b): all pairs where the text ``a`` stands inside the sentence ``b``. The sentences of a volume are searched
+    as one string, which few texts are in."""
+
+    def start(sentences: list[str]):
+        every = "\0".join(sentences)
+        ends = np.cumsum([len(x) + 1 for x in sentences])
+
+        def look(text: str) -> list[tuple[str]]:
+            if "\0" in text:
+                return [(x,) for x in sentences if text in x]
+            rows, at = [], every.find(text)
+            while at >= 0:
+                i = int(np.searchsorted(ends, at, side="right"))
+                rows.append((sentences[i],))
+                at = every.find(text, int(ends[i]))
+            return rows
+
+        return look
+
+    return _against_volumes(left, right, a, b, volume, start, f"`{a}` string, `{b}` string")
+
+
 def _shared_token_pairs(m: DataFrame, s: DataFrame, least: float) -> DataFrame:
     """(mid, sid) of token sets (mid, mset) and (sid, sset) whose F1 may reach ``least``: they share one of each
     other's rarest tokens, so frequent tokens never carry a join."""
@@ -254,8 +287,8 @@ def nearest_seed(messages: DataFrame, seeds: DataFrame, keys: Sequence[str], tex
     """Label of the lexically nearest seed: equal .96, one inside the other .88, else the larger of token F1 and .82
     times the edit ratio (``exact_ratio``: matching blocks).
 
-    Distinct texts meet by shared rare tokens, by containment (an automaton of the seeds over the messages, pieces the
-    other way) and by edit distance within the bound; scores run on those pairs only. Digests stand for texts.
+    Distinct texts meet by shared rare tokens, by containment (an automaton of the seeds over the messages, a search of
+    the seeds the other way) and by edit distance within the bound; scores run on those pairs only. Digests stand for texts.
     """
     cutoff = threshold / RATIO_WEIGHT
     own = messages.select(*keys, one_space(F.lower(F.col(text))).alias("mt"))
@@ -264,8 +297,7 @@ def nearest_seed(messages: DataFrame, seeds: DataFrame, keys: Sequence[str], tex
     s = named.select("st").distinct().select(F.md5("st").alias("sid"), "st", F.array_distinct(F.split("st", " ")).alias("sset"))
     pairs = _shared_token_pairs(m, s, threshold)
     pairs = pairs.unionByName(names_in_texts(m, ["mid"], "mt", s, "st").select("mid", F.md5("st").alias("sid")))
-    short = m.where(F.length("mt") <= s.agg(F.max(F.length("st"))).scalar())
-    pairs = pairs.unionByName(held_names(short, s, "mt", "st").select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"))).withColumns({"close": F.lit(False), "edits": F.lit(None).cast("int")})
+    pairs = pairs.unionByName(sentences_holding(m, s, "mt", "st").select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"))).withColumns({"close": F.lit(False), "edits": F.lit(None).cast("int")})
     if cutoff <= 1:
         close = sentence_candidates(m, s, "mt", "st", cutoff).withColumn("edits", F.lit(None).cast("int")) if exact_ratio else close_sentences(m, s, "mt", "st", cutoff)
         pairs = pairs.unionByName(close.select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"), F.lit(True).alias("close"), "edits"))

@@ -10,7 +10,9 @@ from ..operators import joins as j
 from ..operators.documents import keep_words
 from ..plans import dashboards, evidence, intake, safety
 from ..registry import Tables, query, sql_literal, sql_values
+from ..session import scratch
 from ..sources.snapshots import upsert
+from ..streaming import jobs, streams
 from .aggregates import GATES_SQL, PRIORITY_SQL, ROLLUP_CTES, alerts, card_columns, rollup
 from .aggregates import evidence as evidence_rows
 from .extraction import A21_SQL, candidate_records, lab_sql, rx_sql, sql_clean
@@ -133,6 +135,39 @@ def p3(t: Tables):
     return out["documents"].select("doc_id", "document_type", "truncated", "extracted", "review_reason")
 
 
+class _Streamed:
+    """The tables of a folder, ``documents`` as a stream."""
+
+    def __init__(self, t: Tables):
+        self.documents = streams.table_stream(t.spark, t.sf_dir, "documents.parquet")
+
+
+def _taken(t: Tables) -> str:
+    """Folder of the tables that a streamed intake of all long documents has written."""
+    folder = scratch(t.spark, "p3")
+    jobs.intake_stream(typed_documents(_Streamed(t)).where("n_chars >= 400"), folder, owner="source", ident="doc_id", text="text", history=typed_documents(t).where("n_chars < 400"), budget=P3_BUDGET)
+    return folder
+
+
+TAKEN_SQL = f"nd AS MATERIALIZED ({NEW_DOCS}), ty AS ({type_sql('SELECT * FROM nd')}), td AS MATERIALIZED (SELECT nd.*, document_type FROM nd JOIN ty USING (doc_id))"
+
+
+@query("p3_labs_taken", f"WITH {TAKEN_SQL} SELECT doc_id, test_name, value, unit FROM ({lab_sql("SELECT doc_id, text FROM td WHERE document_type = 'lab_report'")})")
+def p3_labs(t: Tables):
+    return t.spark.read.parquet(f"{_taken(t)}/labs").select("doc_id", "test_name", "value", "unit")
+
+
+@query("p3_items_taken", f"WITH {TAKEN_SQL} SELECT doc_id, item, dose, unit, frequency FROM ({rx_sql("SELECT doc_id, text FROM td WHERE document_type = 'prescription'")})")
+def p3_items(t: Tables):
+    return t.spark.read.parquet(f"{_taken(t)}/items").select(
+        "doc_id", "item", F.coalesce(F.round("dose", 4), F.lit(-1.0)).alias("dose"), F.coalesce("unit", F.lit("")).alias("unit"), F.coalesce("frequency", F.lit("")).alias("frequency"))
+
+
+@query("p3_documents_taken", P3_SQL)
+def p3_documents(t: Tables):
+    return t.spark.read.parquet(f"{_taken(t)}/documents").select("doc_id", "document_type", "truncated", "extracted", "review_reason")
+
+
 @query("p4_evidence_review", f"""
 {GATES_SQL}, src AS (SELECT rule_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ev WHERE status = 'ok' GROUP BY 1)
 SELECT rule_id, severity, confidence, all_passed, coalesce(sources, '') AS sources, CASE WHEN NOT all_passed THEN 'gates_failed' WHEN confidence < 0.75 THEN 'low_confidence' WHEN severity = 'none' THEN 'no_interaction'

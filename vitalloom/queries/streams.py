@@ -9,6 +9,7 @@ from ..operators.windows import context_expiry, open_context
 from ..registry import Tables, query
 from ..session import scratch
 from ..streaming import batch as b
+from ..streaming import jobs
 from ..streaming import stateful as st
 from ..streaming import streams as s
 from .aggregates import brief
@@ -151,6 +152,20 @@ def r7(t: Tables):
     return b.due_reminders(t.orders, sent, contacts, "o_orderkey", "o_custkey", "o_orderdate", ORDERS_AS_OF).select("o_orderkey", "bucket", "contact")
 
 
+@query("r7_reminders_sent", """
+WITH k AS (SELECT DISTINCT o.o_orderkey, o.o_custkey, CASE WHEN h <= 3 THEN 'same_day' WHEN h <= 24 THEN '24h' ELSE '72h' END AS bucket
+  FROM (SELECT o.o_orderkey, o.o_custkey, date_diff('second', m.tick, o.o_orderdate) / 3600.0 AS h FROM orders o JOIN (SELECT DISTINCT o_orderdate - INTERVAL 5 HOUR AS tick FROM orders WHERE o_orderkey % 97 = 0) m
+    ON o.o_orderdate > m.tick AND o.o_orderdate <= m.tick + INTERVAL 72 HOUR) o)
+SELECT DISTINCT o_orderkey, bucket, s_suppkey AS contact FROM k JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_nationkey = c_nationkey""")
+def r7_sent(t: Tables):
+    ticks = s.table_stream(t.spark, t.sf_dir, "orders.parquet").where("o_orderkey % 97 = 0").select((F.col("o_orderdate") - F.expr("INTERVAL 5 HOURS")).alias("tick"))
+    contacts = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(
+        t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("contact")), "c_nationkey").select("o_custkey", "contact")
+    folder = scratch(t.spark, "r7")
+    jobs.send_reminders(ticks, t.orders, contacts, f"{folder}/sent", f"{folder}/state", ident="o_orderkey", entity="o_custkey", contact="contact", at="o_orderdate", tick="tick")
+    return t.spark.read.parquet(f"{folder}/sent").select("o_orderkey", "bucket", "contact")
+
+
 R8_SQL = """
 SELECT event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM events) WHERE prev IS NULL OR prev <= ts - INTERVAL 60 MINUTE"""
 
@@ -179,6 +194,16 @@ def r9(t: Tables):
     return b.briefs_to_send(todo, sent, "c_custkey", "kind", "day").select("c_custkey", "kind")
 
 
+@query("r9_daily_briefs_sent", """
+SELECT c_custkey, kind, day FROM (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'morning' ELSE 'night' END AS kind FROM orders WHERE o_orderkey % 997 = 0), customer""")
+def r9_sent(t: Tables):
+    ticks = s.table_stream(t.spark, t.sf_dir, "orders.parquet").where("o_orderkey % 997 = 0").select(
+        "o_orderdate", F.when(F.col("o_orderkey") % 2 == 0, "morning").otherwise("night").alias("kind"))
+    folder = scratch(t.spark, "r9")
+    jobs.send_briefs(ticks, t.customer, f"{folder}/sent", f"{folder}/state", entity="c_custkey", kind="kind", tick="o_orderdate")
+    return t.spark.read.parquet(f"{folder}/sent").select("c_custkey", "kind", F.col("day").cast("string").alias("day"))
+
+
 @query("r10_activity_windows", """
 SELECT event_type, ws AS window_start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS ws FROM events) GROUP BY ALL""")
 def r10(t: Tables):
