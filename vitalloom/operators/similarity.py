@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as v
 from ..functions.core import c, first_match, has_text, with_lengths
 from ..functions.text import one_space, sequence_ratio, soundex_like
+from ..session import written
 from .containment import names_in_texts
 from .joins import contained_names
 from .routing import REPAIR_TERMS
@@ -293,8 +294,10 @@ def nearest_seed(messages: DataFrame, seeds: DataFrame, keys: Sequence[str], tex
     cutoff = threshold / RATIO_WEIGHT
     own = messages.select(*keys, one_space(F.lower(F.col(text))).alias("mt"))
     m = own.select("mt").where("mt <> ''").distinct().select(F.md5("mt").alias("mid"), "mt", F.array_distinct(F.split("mt", " ")).alias("mset"))
+    m = written(m, "seed-messages")  # read by every kind of meeting
     named = seeds.select(F.col(label).alias("label"), one_space(F.lower(F.col(seed))).alias("st")).where("st <> ''")
     s = named.select("st").distinct().select(F.md5("st").alias("sid"), "st", F.array_distinct(F.split("st", " ")).alias("sset"))
+    s = written(s, "seed-sentences")
     pairs = _shared_token_pairs(m, s, threshold)
     pairs = pairs.unionByName(names_in_texts(m, ["mid"], "mt", s, "st").select("mid", F.md5("st").alias("sid")))
     pairs = pairs.unionByName(sentences_holding(m, s, "mt", "st").select(F.md5("mt").alias("mid"), F.md5("st").alias("sid"))).withColumns({"close": F.lit(False), "edits": F.lit(None).cast("int")})
