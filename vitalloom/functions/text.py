@@ -85,7 +85,12 @@ def token_map(text: str | Column, mapping: Mapping[str, str], keep_after: Sequen
 
 def edit_ratio(a: Column, b: Column) -> Column:
     """Share of letters that stand in both words when an inserted or missing letter costs one and a changed one two."""
-    return 1 - (2 * F.levenshtein(a, b) - F.abs(F.length(a) - F.length(b))) / (F.length(a) + F.length(b))
+    return ratio_of(F.levenshtein(a, b), a, b)
+
+
+def ratio_of(distance: Column, a: Column, b: Column) -> Column:
+    """:func:`edit_ratio` of two words whose edit distance is known."""
+    return 1 - (2 * distance - F.abs(F.length(a) - F.length(b))) / (F.length(a) + F.length(b))
 
 
 def soundex_like(text: str | Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import c, first_match, has_text, has_word, substring_pattern, word_pattern
-from ..functions.text import edit_ratio, let, literal_map, nfkc, one_space, replace_phrases, squeeze_runs, token_map
+from ..functions.text import let, literal_map, nfkc, one_space, ratio_of, replace_phrases, squeeze_runs, token_map
 from .documents import clean_spoken
 from .filters import hour_bucket
 from .windows import negation_near
@@ -86,10 +88,26 @@ def routing_text(text: str | Column, *, compatibility: bool = False) -> Column:
 
 def close_term(token: Column, terms: Sequence[str] = REPAIR_TERMS, cutoff: float = 0.88, min_length: int = 5) -> Column:
     """The term that a token of five letters or more misspells, null if none is close enough."""
-    known = F.array(*[F.struct(F.lit(t).alias("t")) for t in terms])
-    rated = F.transform(known, lambda k: F.struct(edit_ratio(token, k["t"]).alias("r"), k["t"].alias("t")))
-    best = F.array_max(rated)
-    return F.when((F.length(token) >= min_length) & (best["r"] >= cutoff), best["t"])
+    rated = F.transform(_by_length(terms, cutoff, token), lambda k: F.struct(_near_ratio(token, k, terms, cutoff).alias("r"), k.alias("t")))
+    best = F.array_max(F.filter(rated, lambda x: x["r"] >= cutoff))
+    return F.when(F.length(token) >= min_length, best["t"])
+
+
+def _by_length(phrases: Sequence[str], cutoff: float, text: Column) -> Column:
+    """The phrases whose length alone lets ``text`` reach the ratio ``cutoff``: one look-up by the length of ``text``."""
+    def reach(n: int, p: str) -> bool:
+        return abs(n - len(p)) <= (1 - cutoff) * (n + len(p)) + 1e-9
+    longest = int(max(map(len, phrases)) * (2 - cutoff) / cutoff) + 1
+    rows = [[p for p in phrases if reach(n, p)] for n in range(longest + 1)]
+    return F.get(F.array(*[F.array(*map(F.lit, row)).cast("array<string>") for row in rows]), F.length(text))
+
+
+def _near_ratio(text: Column, phrase: Column, phrases: Sequence[str], cutoff: float) -> Column:
+    """:func:`edit_ratio`, null where the distance is beyond any that reaches ``cutoff`` with one of the ``phrases``."""
+    # distance <= cost <= (1 - cutoff) * (sum of lengths), and the longer is at most (2 - cutoff) / cutoff times the shorter
+    bound = int(2 * (1 - cutoff) / cutoff * max(map(len, phrases)) + 1e-9)
+    distance = F.levenshtein(text, phrase, bound)
+    return F.when(distance >= 0, ratio_of(distance, text, phrase))
 
 
 # --- time phrases ------------------------------------------------------------------------------------
@@ -157,12 +175,14 @@ REJECT_SHAPE = r"^(?:deny|reject|veto|veto this|cancel this|nahi chahiye|nai cha
 
 def near_phrase(text: Column, phrases: Sequence[str], cutoff: float = 0.88) -> Column:
     """True when as many words in a row as a phrase has come close to it."""
-    tokens, out = F.split(text, " "), F.lit(False)
-    for size in sorted({len(p.split()) for p in phrases}):
-        known = F.array(*[F.lit(p) for p in phrases if len(p.split()) == size])
+    def of_size(tokens: Column, size: int) -> Column:
+        known = [p for p in phrases if len(p.split()) == size]
         runs = F.when(F.size(tokens) >= size, F.transform(F.sequence(F.lit(1), F.size(tokens) - (size - 1)), lambda i: F.array_join(F.slice(tokens, i, size), " ")))
-        out = out | F.coalesce(F.exists(runs, lambda x: F.exists(known, lambda k: edit_ratio(x, k) >= cutoff)), F.lit(False))
-    return out
+        near = F.exists(runs if size > 1 else tokens, lambda x: F.coalesce(F.exists(_by_length(known, cutoff, x), lambda k: _near_ratio(x, k, known, cutoff) >= cutoff), F.lit(False)))
+        return F.coalesce(near, F.lit(False))
+
+    sizes = sorted({len(p.split()) for p in phrases})
+    return let(F.split(text, " "), lambda tokens: reduce(or_, [of_size(tokens, n) for n in sizes]))
 
 
 def emergency(routed: Column) -> Column:
