@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.core import ts
 from ..registry import Tables, query
 from ..session import scratch
-from ..sources import snapshots, tables
+from ..sources import buckets, snapshots, tables
 
 ORDERS_AS_OF = "1998-06-01 00:00:00"
 EVENTS_AS_OF = "2024-01-20 00:00:00"
@@ -62,6 +62,18 @@ SELECT custkey, CASE WHEN u.u THEN u.last_price ELSE b.last_price END AS last_pr
             ELSE array_to_string(list_concat(['2-HIGH'], list_filter(u.tags, lambda x: x <> '2-HIGH')), '|') END AS tags
 FROM b FULL JOIN u USING (custkey)""")
 def s4(t: Tables):
+    base, updates = s4_tables(t)
+    out = snapshots.upsert(base, updates, ["custkey"], "o_orderkey", S4_POLICIES)
+    return out.drop("state").withColumn("tags", F.array_join("tags", "|"))
+
+
+S4_BUCKETS = 8
+S4_POLICIES = {"last_price": "overwrite", "first_seen": "keep", "expires_at": ("keep_if_status", "state", ["pending"]),
+               "uses": "increment", "flagged": "or", "tags": "append"}
+
+
+def s4_tables(t: Tables):
+    """Customers as stored rows, orders as updates."""
     k = F.col("c_custkey")
     base = t.customer.select(
         k.alias("custkey"), F.col("c_acctbal").alias("last_price"),
@@ -75,11 +87,28 @@ def s4(t: Tables):
         F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("expires_at"),
         F.lit(1).cast("bigint").alias("uses"), (F.col("o_orderstatus") == "F").alias("flagged"),
         F.array("o_orderpriority").alias("tags"), "o_orderkey")
-    out = snapshots.upsert(base, updates, ["custkey"], "o_orderkey", {
-        "last_price": "overwrite", "first_seen": "keep",
-        "expires_at": ("keep_if_status", "state", ["pending"]),
-        "uses": "increment", "flagged": "or", "tags": "append"})
-    return out.drop("state").withColumn("tags", F.array_join("tags", "|"))
+    return base, updates
+
+
+@query("s4_bucket_merge", f"""
+WITH b AS ({S4_BASE}), o AS (SELECT *, (o_orderdate >= DATE '1995-01-01')::BIGINT * 1000000000000 + o_orderkey AS seq FROM orders),
+u AS (SELECT o_custkey AS custkey, arg_max(o_totalprice, seq) AS last_price, arg_min(o_orderdate, seq) AS first_seen,
+             arg_max(o_orderdate, seq) AS expires_at, count(*) AS uses, bool_or(o_orderstatus = 'F') AS flagged,
+             list(DISTINCT o_orderpriority) AS tags, TRUE AS u FROM o GROUP BY 1)
+SELECT custkey, CASE WHEN u.u THEN u.last_price ELSE b.last_price END AS last_price, coalesce(b.first_seen, u.first_seen) AS first_seen,
+       CASE WHEN u.u IS NULL OR b.state = 'pending' THEN b.expires_at ELSE u.expires_at END AS expires_at,
+       coalesce(b.uses, 0) + coalesce(u.uses, 0) AS uses, coalesce(b.flagged, FALSE) OR coalesce(u.flagged, FALSE) AS flagged,
+       array_to_string(list_sort(list_distinct(list_concat(CASE WHEN b.custkey IS NULL THEN [] ELSE ['2-HIGH'] END, coalesce(u.tags, [])))), '|') AS tags
+FROM b FULL JOIN u USING (custkey)""")
+def s4_buckets(t: Tables):
+    """Orders before 1995 and after come as two batches into a table in buckets; the second is handed over twice."""
+    table = f"{scratch(t.spark, 'buckets')}/customers"
+    base, updates = s4_tables(t)
+    buckets.create(base, table, ["custkey"], S4_BUCKETS)
+    early = F.col("first_seen") < ts("1995-01-01")
+    for number, rows in ((0, updates.where(early)), (1, updates.where(~early)), (1, updates.where(~early))):
+        buckets.merge(t.spark, table, rows, ["custkey"], "o_orderkey", S4_POLICIES, number, buckets=S4_BUCKETS)
+    return buckets.read(t.spark, table).drop("state").withColumn("tags", F.array_join(F.array_sort("tags"), "|"))
 
 
 S5_ALLOWED = {"done": ["O"], "failed": ["O", "P"]}

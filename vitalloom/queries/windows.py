@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import lookup, severity_rank, ts
+from ..functions.encoding import encoder
 from ..operators import aggregates as a
 from ..operators import joins as j
 from ..operators import windows as w
 from ..registry import Tables, query, sql_literal
+from ..session import written
 from .aggregates import CENTROID_CTES, PRIORITY_SQL, alerts
 from .joins import ITEMS_CTE, RULES_CTE, held_items, part_rules
 from .records import EVENTS_AS_OF, ORDERS_AS_OF
@@ -195,6 +197,29 @@ def t5(t: Tables):
     return out.select("vec_id", F.round("score", 5).alias("score"), "predicted")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts():
+    """A model without weights: how often each letter stands in a text."""
+    return lambda texts: [[low.count(x) for x in LETTERS] for low in map(str.lower, texts)]
+
+
+@query("t5_encoded_label", f"""
+WITH t AS (SELECT doc_id, quality, lower(text) AS l FROM documents LEFT JOIN labels USING (doc_id)),
+u AS (SELECT doc_id, quality, x, (length(l) - length(replace(l, x, '')))::DOUBLE AS v FROM t, (SELECT unnest(string_split('{LETTERS}', '')) AS x)),
+m AS (SELECT quality AS label, x, avg(v) AS v FROM u WHERE quality IS NOT NULL GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(v * v)) AS norm FROM m GROUP BY 1),
+cent AS (SELECT label, x, v / norm AS v FROM m JOIN n USING (label)),
+s AS (SELECT doc_id, label, CASE WHEN sum(u.v * u.v) > 0 THEN sum(u.v * c.v) / sqrt(sum(u.v * u.v)) ELSE 0 END AS score FROM u JOIN cent c USING (x) GROUP BY 1, 2)
+SELECT doc_id, round(max(score), 5) AS score, CASE WHEN max(score) >= 0.9 THEN arg_max(label, round(score, 9) - label * 1e-10)::VARCHAR ELSE 'unknown' END AS predicted FROM s GROUP BY 1""")
+def t5_encoded(t: Tables):
+    """Documents encoded by a user's model, each given the nearest of the labels' mean vectors."""
+    vectors = written(t.documents.select("doc_id", encoder(letter_counts)("text").alias("v")), "vectors")
+    cents = a.label_centroids(vectors.join(t.labels.select("doc_id", "quality"), "doc_id"), "quality", "v", len(LETTERS))
+    out = a.nearest_label(vectors, cents, "quality", "v", ["doc_id"], default_threshold=0.9)
+    return out.select("doc_id", F.round("score", 5).alias("score"), "predicted")
+
+
 @query("x23_cosine_scores", f"""
 WITH {CENTROID_CTES}
 SELECT vec_id, label, round(sum(e.v * c.v) / sqrt(sum(e.v * e.v)), 5) AS score FROM (
