@@ -362,6 +362,44 @@ def test_embeddings_match_all_pairs(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0]), (3, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")).where("n_links = 2").count() == 3
 
 
+def test_a_pass_knows_what_it_showed():
+    """Whoever shares the first signs of a vector, as many as its chance counts, is within the window and not beyond a border."""
+    r, window, p = np.random.default_rng(8), 3, 1 - np.arccos(0.9) / np.pi
+    for n, bits in ((1, 1), (5, 2), (40, 3), (60, 12), (30, 48)):
+        signs = np.sort(r.integers(0, 2 ** bits, n)) << (embedding_dedup.SIGNS - bits)
+        for opened, closed in ((True, True), (False, True), (True, False)):
+            unseen = embedding_dedup.shown(signs, window, 0.9, opened, closed)
+            for i in range(n):
+                if unseen[i] == 0:
+                    continue
+                depth = round(np.log(1 - np.exp(unseen[i])) / np.log(p)) if unseen[i] > -20 else 0
+                mates = np.flatnonzero(signs >> (embedding_dedup.SIGNS - depth) == signs[i] >> (embedding_dedup.SIGNS - depth))
+                assert abs(mates - i).max() <= window
+                assert (opened or mates[0] > 0) and (closed or mates[-1] < n - 1)
+
+
+def test_crowded_vectors_keep_their_links(spark):
+    """A third of the vectors in a cone, links planted in and outside it, windows far smaller than the cone."""
+    r = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x, axis = unit(r.normal(size=(3000, 64))), unit(r.normal(size=64))
+    x[:1000] = np.sqrt(0.75) * axis + 0.5 * unit(x[:1000] - np.outer(x[:1000] @ axis, axis))
+    near = np.concatenate([x[:300], x[2000:2300]])
+    to = np.concatenate([x[500:800], x[2500:2800]])
+    to = unit(to - (to * near).sum(1, keepdims=True) * near)
+    x = np.vstack([x, 0.91 * near + np.sqrt(1 - 0.91 ** 2) * to])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {g.vec_id: g.n_links for g in embedding_dedup.near_duplicates(table, window=16).collect()}
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.995 * want.sum()
+    both = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x[2900:])], "rep long, unit binary")
+    edges = embedding_dedup.block_links(both, 0.9, 64)
+    y = x[2900:]
+    top = components(len(y), {(a, b) for a, b in zip(*np.nonzero(y @ y.T >= 0.9)) if a != b})
+    mine = components(len(y), {(e.a, e.b) for e in edges.collect()} | {(e.b, e.a) for e in edges.collect()})
+    assert list(top) == list(mine)
+
+
 def test_quality_learns_and_skips_held_out_rows(spark, docs, none):
     rows = [(i, prose(60, i) + ".") for i in range(300)] + [(1000 + i, " ".join(w + "$$$" for w in prose(60, i).split())) for i in range(300)] + [(5000, None), (5001, ""), (None, "x")]
     table = spark.createDataFrame(rows, "doc_id long, text string")

@@ -3,9 +3,14 @@
 Each pass orders all vectors by the signs of random projections, first sign first, and compares every vector with its
 neighbours in a window. Verified pairs of all passes are united into components. Equal vectors are one class first.
 
-The number of passes follows the number of vectors: so many that a pair at the threshold is missed by all passes with
-a chance of at most ``miss``. Members of a component are then compared exactly, block against block, so the links of
-a vector inside its component are counted whole, also in groups far larger than a window; only counts are emitted.
+A pass surely shows a vector all those that share its first signs, as many signs as leave no more of them than a
+window holds. Each pass therefore measures, for every vector, how many signs that took, and so the chance that it showed
+a partner at the threshold. A vector has done when all its passes together miss one with a chance of at most ``miss``;
+pairs need only one side that has done, so the others go on among themselves. Vectors in crowded directions need more
+passes and get them; where comparing the rest block by block reads less than the passes it still needs, that is done.
+
+Members of a component are then compared exactly, block against block, so the links of a vector inside its component
+are counted whole, also in groups far larger than a window; only counts are emitted.
 """
 
 from __future__ import annotations
@@ -77,37 +82,111 @@ def sorted_passes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     return classes.select("rep", "unit").mapInArrow(run, f"pass int, size int, signs long, rep {kind}, unit binary")
 
 
+def _spanning(reps: np.ndarray, x: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """(a, b): each of the vectors with the first of those it is linked with, directly or not, among them."""
+    near = x @ x.T >= threshold
+    label = np.arange(len(reps))
+    while True:
+        low = np.where(near, label[None, :], len(reps)).min(axis=1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            break
+        label = low
+    other = np.flatnonzero(label != np.arange(len(reps)))
+    return pa.RecordBatch.from_arrays([pa.array(reps[other]), pa.array(reps[label[other]])], ["a", "b"])
+
+
+def shown(signs: np.ndarray, window: int, threshold: float, opened: bool, closed: bool) -> np.ndarray:
+    """Log of the chance that a partner at the threshold stays unseen, for each of the sorted ``signs`` of one pass.
+
+    ``opened`` and ``closed`` say that the pass begins and ends here; else rows follow beyond the border, unseen.
+    """
+    n = len(signs)
+    place = np.arange(n)
+
+    def alike(other: np.ndarray, ends: bool) -> np.ndarray:
+        within = np.clip(other, 0, n - 1)
+        same = SIGNS - np.frexp((signs ^ signs[within]).astype(np.float64))[1]
+        return np.where((other != within) & ends, -1, same)
+
+    depth = 1 + np.maximum(alike(place - window - 1, opened), alike(place + window + 1, closed))
+    chance = np.where(depth > SIGNS, 0.0, (1 - math.acos(threshold) / math.pi) ** depth)
+    return np.log1p(-np.minimum(chance, 1 - 1e-12))
+
+
 def window_links(ordered: DataFrame, threshold: float, window: int) -> DataFrame:
-    """(a, b) edges that join every vector with the first of those it is linked with, directly or not, within its windows."""
+    """(a, b, unseen): edges that join every vector with the first of those it is linked with within its windows, and,
+    with a null ``b``, the log chance of each vector and pass to leave a partner unseen."""
     kind = ordered.schema["rep"].dataType.simpleString()
 
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool, bool]]:
+        held, first = None, True
+        for group in common.sorted_groups(batches, 2):
+            if held is not None:
+                yield held, not first, True
+                first = False
+            held = group.combine_chunks()
+        if held is not None:
+            yield held, not first, False
+
+    def run(batches):
+        for rows, opened, closed in passes(batches):
+            n = rows.num_rows
+            unseen = shown(np.asarray(rows["signs"]), window, threshold, opened, closed)
+            reps = np.asarray(rows["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.nulls(n, pa.array(reps).type), pa.array(unseen)], ["a", "b", "unseen"])
+            for at in range(0, max(1, n - window), window):
+                part = rows.slice(at, 2 * window)
+                units = np.frombuffer(b"".join(part["unit"].to_pylist())).reshape(part.num_rows, -1)
+                found = _spanning(reps[at:at + 2 * window], units, threshold)
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.float64())], ["a", "b", "unseen"])
+
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}, unseen double")
+
+
+def block_links(rest: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """(a, b) edges with the components of all pairs of ``rest`` (rep, unit) at the threshold: every two blocks meet once."""
+    kind = rest.schema["rep"].dataType.simpleString()
+    sized = rest.select("rep", "unit", F.length("unit").alias("size"))
+    blocks = sized.groupBy("size").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = sized.join(blocks, "size").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "size", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "unit")
+
     def run(batches):
-        for group in common.sorted_groups(_cut(batches, window), 3):
+        for group in common.sorted_groups(batches, 3):
             reps = np.asarray(group["rep"])
-            x = np.frombuffer(b"".join(group["unit"].to_pylist())).reshape(len(reps), -1)
-            near = x @ x.T >= threshold
-            label = np.arange(len(reps))
-            while True:
-                low = np.where(near, label[None, :], len(reps)).min(axis=1)
-                low = np.minimum(low, label)
-                if (low == label).all():
-                    break
-                label = low
-            other = np.flatnonzero(label != np.arange(len(reps)))
-            yield pa.RecordBatch.from_arrays([pa.array(reps[other]), pa.array(reps[label[other]])], ["a", "b"])
-
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of up to two windows of one pass, each overlapping the next by a window, numbered in a third key column."""
-    number = 0
-    for group in common.sorted_groups(batches, 2):
-        rows = group.combine_chunks()
-        for at in range(0, max(1, rows.num_rows - window), window):
-            part = rows.slice(at, 2 * window).to_batches()[0]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(part.num_rows, number, np.int64)), part.column(3), part.column(4)], ["pass", "size", "signs", "rep", "unit"])
-            number += 1
+            yield _spanning(reps, np.frombuffer(b"".join(group["unit"].to_pylist())).reshape(len(reps), -1), threshold)
+
+    return pairs.repartition("size", "low", "high").sortWithinPartitions("size", "low", "high").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_edges(classes: DataFrame, threshold: float, window: int, miss: float, seed: int, rounds: int = 8, wide: int = 64) -> DataFrame:
+    """(a, b) edges whose components are those of all pairs of ``classes`` (rep, unit) at the threshold, as far as seen.
+
+    Rounds of passes go over the vectors that are not done; a round has ``wide`` passes at most but the first. What
+    ``rounds`` leave is compared in blocks.
+    """
+    goal, block = math.log(miss), 512
+    rest, edges = classes.select("rep", "unit"), None
+    passes = passes_for(classes.count(), threshold, window, miss)
+    for number in range(rounds):
+        ordered = sorted_passes(rest, passes, seed + number).repartitionByRange("pass", "size", "signs", "rep").sortWithinPartitions("pass", "size", "signs", "rep")
+        seen = common.stored(window_links(ordered, threshold, window), "vector-passes")
+        found = seen.where("b is not null").select("a", "b")
+        edges = found if edges is None else edges.union(found)
+        unseen = seen.where("b is null").groupBy("a").agg(F.sum("unseen").alias("unseen"))
+        before = rest.withColumn("done", F.lit(0.0)) if "done" not in rest.columns else rest
+        left = before.join(unseen, before["rep"] == unseen["a"]).where(F.col("done") + F.col("unseen") > goal).select(
+            "rep", "unit", (F.col("done") + F.col("unseen")).alias("done"), (F.col("unseen") / passes).alias("pace"))
+        left = common.stored(left, "vector-rest")
+        many, more = left.agg(F.count("*"), F.avg((F.lit(goal) - F.col("done")) / F.least("pace", F.lit(-1e-4)))).first()
+        rest, passes = left.select("rep", "unit", "done"), max(4, min(wide, math.ceil(more or 0)))
+        if not many:
+            return edges
+        if many <= block * more:
+            break
+    return edges.union(block_links(rest, threshold, block))
 
 
 def component_counts(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
@@ -140,7 +219,7 @@ def component_counts(members: DataFrame, threshold: float, block: int = 512) ->
     return dealt.mapInArrow(run, f"rep {kind}, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 256, miss: float = 1e-3, seed: int = 5,
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 256, miss: float = 5e-4, seed: int = 5,
                     id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``.
 
@@ -150,9 +229,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, window: int = 25
     """
     units = common.stored(unit_vectors(vectors, id_col, vector_col), "vectors")
     classes = common.stored(units.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).where("rep is not null"), "vector-classes")
-    passes = passes_for(classes.count(), threshold, window, miss)
-    ordered = sorted_passes(classes, passes, seed).repartitionByRange("pass", "size", "signs", "rep").sortWithinPartitions("pass", "size", "signs", "rep")
-    edges = common.stored(window_links(ordered, threshold, window).distinct(), "vector-edges")
+    edges = common.stored(near_edges(classes, threshold, window, miss, seed).distinct(), "vector-edges")
     roots = common.components(edges, "vectors").withColumnsRenamed({"node": "rep"})
     roots = common.stored(roots, "vector-roots")
     members = classes.join(roots, "rep")
