@@ -362,6 +362,60 @@ def test_embeddings_match_all_pairs(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0]), (3, [1.0]), (3, [1.0])], "vec_id long, embedding array<float>")).where("n_links = 2").count() == 3
 
 
+def planted(r, words, changes):
+    """A passage and its copy with ``changes`` evenly spread, as word numbers that no other text has."""
+    a = [f"p{x}" for x in r.integers(0, 10 ** 6, words)]
+    b = list(a)
+    for k in range(changes):
+        b[(k + 1) * words // (changes + 1)] = f"c{r.integers(0, 10 ** 6)}"
+    return a, b
+
+
+EDITS = ((57, 1), (80, 1), (100, 2), (150, 3), (300, 6), (150, 2), (100, 1), (60, 0))
+
+
+def test_similar_passages_are_found_down_to_the_similarity():
+    r = np.random.default_rng(12)
+
+    def shingles(words):
+        return np.array([zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(len(words) - 4)], np.uint64)
+
+    for words, changes in (*EDITS, (57, 3), (100, 5)):
+        for _ in range(20):
+            a, b = planted(r, words, changes)
+            x, y = ([f"{n}{k}" for k in r.integers(0, 10 ** 6, r.integers(0, 150))] + p + [f"{n}{k}" for k in r.integers(0, 10 ** 6, 60)] for n, p in (("x", a), ("y", b)))
+            first, second = set(shingles(a)), set(shingles(b))
+            alike = len(first & second) / len(first | second) >= 0.8
+            found = passage_dedup._passages(shingles(x), shingles(y), 46, 80)
+            assert bool(found) == alike
+            for i, j, p, q in found:
+                one, two = set(shingles(x)[i:j]), set(shingles(y)[p:q])
+                assert len(one & two) / len(one | two) >= 0.8 and min(j - i, q - p) >= 46
+    total = np.concatenate([[0], np.cumsum(r.choice([1, -3.0], 60))])
+    best = max(j - i for i in range(61) for j in range(i, 61) if total[j] >= total[i])
+    i, j = passage_dedup._longest(total)
+    assert j - i == best and total[j] >= total[i]
+
+
+def test_similar_passages_link_their_documents(spark):
+    """Pairs of each kind of edit among common lines: at least 95 of 100 are linked, and no clean text is."""
+    r = np.random.default_rng(21)
+    lines = [" ".join(f"l{k}" for k in r.integers(0, 300, 9)) for _ in range(40)]
+
+    def around(n):
+        return " ".join(lines[k] if r.random() < 0.3 else " ".join(f"o{w}" for w in r.integers(0, 10 ** 6, 9)) for k in r.integers(0, 40, n))
+
+    rows, kinds = [], [e for e in EDITS if e[1]]
+    for k in range(140):
+        for n, passage in enumerate(planted(r, *kinds[k % len(kinds)])):
+            rows.append((2 * k + n, f"{around(4)} {' '.join(passage)} {around(3)}"))
+    rows += [(1000 + k, around(12)) for k in range(60)]
+    got = {x.doc_id: x for x in passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(got[2 * k + 1].component_id == got[2 * k].component_id for k in range(140))
+    assert linked >= 133, linked
+    assert all(len(got[k].spans) == 0 for k in got if k >= 1000)
+
+
 def test_a_pass_knows_what_it_showed():
     """Whoever shares the first signs of a vector, as many as its chance counts, is within the window and not beyond a border."""
     r, window, p = np.random.default_rng(8), 3, 1 - np.arccos(0.9) / np.pi
