@@ -37,6 +37,28 @@ def test_pairs_of_large_and_small_sets(rows):
     assert got == {(1, "a", "b"), (1, "c", "d"), (2, "a", "b")}
 
 
+def test_pairs_do_not_pass_through_all_rules_of_a_component(spark, rows):
+    """Each of 400 entities holds 3 of 60 components that all have rules with each other: few pairs, many rules."""
+    names = [f"n{i:02d}" for i in range(60)]
+    rules = j.canonical_rules(rows([(x, y, "low") for x in names for y in names if x < y], "drug_a string, drug_b string, severity string"))
+    items = rows([(e, names[(e * 7 + k * 11) % 60]) for e in range(400) for k in range(3)], "e int, item string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the final plan then holds its counts
+    try:
+        got = j.flagged_pairs(items, rules, "e", "item")
+        assert got.count() == 1200
+        executed = got._jdf.queryExecution().executedPlan()
+        got._jdf.queryExecution().toRdd().count()
+        seen, most = [executed], 0
+        while seen:
+            plan = seen.pop()
+            if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+                most = max(most, plan.metrics().apply("numOutputRows").value())
+            seen += [plan.children().apply(i) for i in range(plan.children().size())]
+        assert 1200 <= most <= 400 * 9
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_item_names_split_before_normalising(rows):
     df = rows([("Tab. Ecosprin AV 75 mg",), ("Telma-AM",), ("aspirin+atorvastatin",), ("Zyx 10mg",)], "n string")
     got = [r[0] for r in df.select(d.components("n")).collect()]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import c, with_lengths, micros, normal_severity, pair_high, pair_low, severity_rank
 from ..functions.neighbours import neighbour, running_sum
+from ..session import written
 from .containment import held_names
 
 # --- unordered rule pairs ----------------------------------------------------
@@ -40,15 +41,28 @@ def match_pairs(pairs: DataFrame, rules: DataFrame, a: str, b: str, how: str = "
 def flagged_pairs(items: DataFrame, rules: DataFrame, entity: str, component: str) -> DataFrame:
     """Rule-flagged component pairs inside each entity, each pair once.
 
-    ``rules`` come from :func:`canonical_rules`. Work starts at the rules, never at
-    the pairs of an entity: each distinct component of an entity opens the rules
-    that name it first, and the other component is looked up by (entity,
-    component). Nothing is gathered per entity or per component.
+    ``rules`` come from :func:`canonical_rules`. Each distinct component of an
+    entity is the lower one of its pairs and goes the shorter of two ways: it opens
+    the rules that name it first, and the other component is looked up by (entity,
+    component); or, where the entity holds no more components than that, it meets
+    those and the pair is looked up in the rules. So a row costs the smaller of the
+    two counts: neither many rules of a component nor many components of an entity
+    multiply. Nothing is gathered per entity or per component. The components held
+    and the rules are written once, since each is read several times.
     """
     rest = [x for x in rules.columns if x not in ("low", "high")]
-    held = items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("low")).distinct()
-    return (held.join(rules, "low").join(held.withColumnRenamed("low", "high"), [entity, "high"], "left_semi")
-            .select(entity, "low", "high", *rest))
+    held = written(items.select(F.col(entity), F.lower(F.trim(F.col(component))).alias("low")).where(
+        F.col(entity).isNotNull() & F.col("low").isNotNull()).distinct(), "held-components")
+    rules = written(rules, "pair-rules")
+    others = held.withColumnRenamed("low", "high")
+    opens = rules.groupBy("low").agg(F.count("*").alias("__rules"))
+    holds = held.groupBy(entity).agg(F.count("*").alias("__held")).where("__held > 1")
+    sized = held.join(opens, "low").join(holds, entity)
+    by_rule = (sized.where("__rules < __held").select(entity, "low").join(rules, "low")
+               .join(others, [entity, "high"], "left_semi"))
+    by_pair = (sized.where("__rules >= __held").select(entity, "low").join(others, entity).where("low < high")
+               .join(rules, ["low", "high"]))
+    return by_rule.select(entity, "low", "high", *rest).unionByName(by_pair.select(entity, "low", "high", *rest))
 
 
 def duplicate_or_overlap(items: DataFrame, entity: str, ident: str, item: str, prescriber: str,

@@ -25,11 +25,11 @@ def safety_findings(items: DataFrame, rules: DataFrame, votes: DataFrame, renal_
 
     Interactions escalate by votes; duplicates, overlaps, marker bands and
     condition rules are added. Every branch keys on the entity with an item or component,
-    so no entity is worked on as a whole. The items and the canonical rules are
-    written once, since four branches read them.
+    so no entity is worked on as a whole. The items are written once, since four
+    branches read them.
     """
     items = written(items, "safety-items")
-    pairs = flagged_pairs(items, written(canonical_rules(rules), "safety-rules"), entity, item)
+    pairs = flagged_pairs(items, canonical_rules(rules), entity, item)
     learned = escalate_by_votes(pairs.withColumnsRenamed({"low": "drug_a", "high": "drug_b"}), votes, "drug_a", "drug_b",
                                 "severity", "outcome")
     interactions = learned.select(F.col(entity).alias("entity"), F.concat_ws("+", "drug_a", "drug_b").alias("item"),
