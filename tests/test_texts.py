@@ -82,6 +82,12 @@ def test_vital_thresholds_shift(spark, value_, older, copd, test, want):
     assert value(spark, f.vital_severity(F.lit(test), F.lit(float(value_)), None, F.lit(older), F.lit(copd))) == want
 
 
+@pytest.mark.parametrize("x_,want", [(1.005, 1.0), (38.795, 38.8), (-1.005, -1.0), (2.5, 2.5), (0.125, 0.13), (None, None)])
+def test_doubles_round_as_they_are_stored(spark, x_, want):
+    from vitalloom.functions.core import round_double
+    assert value(spark, round_double(F.lit(x_).cast("double"), 2)) == want
+
+
 def test_prescription_rows(rows):
     text = "Rx TAB METFORMIN 500mg BD after food SYRUP ALEX 2/3 teaspoon 3 times a day shake well TAB VITAMIN C one gram once a day Telma-AM to 30 1-0-0"
     got = {q["item"]: (round(q["dose"], 3) if q["dose"] else None, q["unit"], q["frequency"]) for q in x.prescription_items(rows([(1, text)], "i int, t string"), ["i"], "t").collect()}

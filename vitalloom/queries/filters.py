@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import lookup, ts
+from ..functions.core import lookup, round_double, ts
 from ..operators import filters as f
 from ..registry import Tables, query, sql_literal
 from ..sources.snapshots import append_note
@@ -113,11 +113,11 @@ def vitals(t: Tables):
     """Events read as vital signs in their usual ranges."""
     test = lookup("event_type", VITALS)
     v = F.col("value")
-    value = (F.when(test == "pulse", F.round(v + 40, 2)).when(test == "spo2", F.round(80 + v / 10, 2))
-             .when(test == "glucose", F.round(v * 5, 2)).when(test == "temperature", F.round(35 + v / 20, 2))
-             .otherwise(F.round(100 + v, 2)))
+    value = (F.when(test == "pulse", round_double(v + 40, 2)).when(test == "spo2", round_double(80 + v / 10, 2))
+             .when(test == "glucose", round_double(v * 5, 2)).when(test == "temperature", round_double(35 + v / 20, 2))
+             .otherwise(round_double(100 + v, 2)))
     return t.events.select("event_id", "user_id", "ts", test.alias("test"), value.alias("reading"),
-                           F.round(60 + v / 2, 2).alias("secondary"), (F.col("user_id") % 2 == 0).alias("older"),
+                           round_double(60 + v / 2, 2).alias("secondary"), (F.col("user_id") % 2 == 0).alias("older"),
                            (F.col("user_id") % 3 == 0).alias("copd"))
 
 
