@@ -89,6 +89,15 @@ def test_sentences_that_hold_a_text_are_all_found(rows):
         assert sorted(tuple(x) for x in got) == sorted((p, q) for p in set(inner) for q in set(outer) if p in q)
 
 
+def test_only_sentences_that_length_and_letters_allow_are_compared(rows, monkeypatch):
+    base = ["abcd" * 10, "wxyz" * 10, "abcd" * 14, "abdc" * 10, "é" * 3]
+    compared = []
+    monkeypatch.setattr(s.SideBySide, "distances", lambda self, text: compared.append(len(self.sizes)) or np.zeros(len(self.sizes), int))
+    monkeypatch.setattr(s, "_against_volumes", lambda left, right, a, b, volume, start, schema: start(base))
+    look = s.close_sentences(None, None, "a", "b", 0.8)
+    assert {x for x, _ in look("abcd" * 10)} == {base[0], base[3]} and look("q" * 40) == [] and compared == [2]
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_nearest_seed_equals_the_rule(rows, exact):
     r = random.Random(11)

@@ -168,21 +168,27 @@ class SideBySide:
     """Edit distances of a text to many sentences at once: bit-parallel columns of all of them in one long integer,
     each with a free bit above it that stops carries."""
 
-    def __init__(self, sentences: list[str]):
+    def __init__(self, sentences: list[str], own: Sequence[dict[str, int]] | None = None):
+        own = own or [self.letters(x) for x in sentences]
         sizes = np.array([len(x) for x in sentences])
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
         self.sizes, self.length = sizes, int((sizes + 1).sum())
         self.bits = self.first = 0
         self.places: dict[str, int] = {}
-        for start, x in zip(self.starts.tolist(), sentences, strict=True):
+        for start, x, letters in zip(self.starts.tolist(), sentences, own, strict=True):
             self.bits |= ((1 << len(x)) - 1) << start
             self.first |= 1 << start
-            own: dict[str, int] = {}
-            for i, c_ in enumerate(x):
-                own[c_] = own.get(c_, 0) | 1 << i
-            for c_, places in own.items():
+            for c_, places in letters.items():
                 self.places[c_] = self.places.get(c_, 0) | places << start
 
+    @staticmethod
+    def letters(sentence: str) -> dict[str, int]:
+        """Places of each letter as bits."""
+        own: dict[str, int] = {}
+        for i, c_ in enumerate(sentence):
+            own[c_] = own.get(c_, 0) | 1 << i
+        return own
+
     def _ones(self, x: int) -> np.ndarray:
         flags = np.unpackbits(np.frombuffer(x.to_bytes(self.length // 8 + 1, "little"), np.uint8), bitorder="little")
         total = np.append(0, np.cumsum(flags, dtype=np.int64))
@@ -219,25 +225,34 @@ def _against_volumes(left: DataFrame, right: DataFrame, a: str, b: str, volume:
     return found
 
 
+#: Classes of letters that are counted; several letters may share one.
+BAGS = 64
+
+
+def _bag(text: str) -> np.ndarray:
+    """Letters of each class."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % BAGS, minlength=BAGS).astype(np.int32)
+
+
 def close_sentences(left: DataFrame, right: DataFrame, a: str, b: str, cutoff: float, *, volume: int = 20_000) -> DataFrame:
-    """(a, b, edits): all pairs whose edit ratio reaches ``cutoff``. A text is set against the classes of sentences
-    that its length allows."""
-    step = math.log(1 / min(cutoff, 0.999))
+    """(a, b, edits): all pairs whose edit ratio reaches ``cutoff``. A text is set against the sentences that its length
+    and its letters allow: an edit changes the length by one at most, and adds and takes one letter at most."""
 
     def start(sentences: list[str]):
-        classes: dict[int, list[str]] = {}
-        for x in sentences:
-            classes.setdefault(math.floor(math.log(len(x)) / step), []).append(x)
-        made = {k: SideBySide(x) for k, x in classes.items()}
+        own, sizes = [SideBySide.letters(x) for x in sentences], np.array([len(x) for x in sentences], np.int64)
+        bags = np.array([_bag(x) for x in sentences], np.int32).reshape(-1, BAGS)
 
         def look(text: str) -> list[tuple[str, int]]:
-            own, rows = math.floor(math.log(len(text)) / step), []
-            for k in (own - 1, own, own + 1):
-                if k in made:
-                    edits = made[k].distances(text)
-                    allowed = np.floor(np.maximum(made[k].sizes, len(text)) * (1 - cutoff) + 1e-9)
-                    rows += [(classes[k][i], int(edits[i])) for i in np.flatnonzero(edits <= allowed)]
-            return rows
+            allowed = np.floor(np.maximum(sizes, len(text)) * (1 - cutoff) + 1e-9)
+            near = np.flatnonzero(np.abs(sizes - len(text)) <= allowed)
+            if not len(near):
+                return []
+            apart = bags[near] - _bag(text)
+            near = near[np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= allowed[near]]
+            if not len(near):
+                return []
+            edits = SideBySide([sentences[i] for i in near], [own[i] for i in near]).distances(text)
+            return [(sentences[i], int(e)) for i, e in zip(near, edits, strict=True) if e <= allowed[i]]
 
         return look
 
