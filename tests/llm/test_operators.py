@@ -416,6 +416,53 @@ def test_similar_passages_link_their_documents(spark):
     assert all(len(got[k].spans) == 0 for k in got if k >= 1000)
 
 
+def test_passages_meet_beyond_the_first_and_last_text(spark):
+    """Texts that share a common line, and so most least hashes: each planted pair is linked whatever ids lie around it."""
+    r = np.random.default_rng(5)
+    lines = [[f"l{n}_{k}" for k in range(12)] for n in range(4)]
+    own = iter(range(10 ** 6))
+
+    def fresh(n):
+        return [f"w{next(own)}" for _ in range(n)]
+
+    rows = []
+    for k in range(40):
+        passage = sum((fresh(4) + lines[n] for n in range(4)), fresh(4))
+        for n in range(2):
+            copy = list(passage)
+            if n and k % 2:
+                copy[35:35] = fresh(1)
+            elif n:
+                copy[33] = f"c{next(own)}"
+            rows.append((2 * k + n, " ".join(fresh(int(r.integers(0, 40))) + copy + fresh(int(r.integers(0, 40))))))
+    rows += [(1000 + k, " ".join(fresh(50) + lines[k % 4] + fresh(50))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def sequence(text):
+        return np.array([zlib.crc32(" ".join(w).encode()) for w in zip(*[text.split()[i:] for i in range(5)], strict=False)], np.uint64)
+
+    alike = [k for k in range(40) if passage_dedup._passages(sequence(rows[2 * k][1]), sequence(rows[2 * k + 1][1]), 46, 80)]
+    got = {x.doc_id: x for x in passage_dedup.repeated_passages(docs).collect()}
+    linked = [k for k in alike if got[2 * k].component_id == got[2 * k + 1].component_id == 2 * k]
+    assert len(alike) == 40 and len(linked) >= len(alike) - 1, (len(alike), len(linked))
+    assert all(not got[k].spans for k in got if k >= 1000)
+
+
+def test_passages_may_lack_words_on_one_side_only():
+    r = np.random.default_rng(6)
+
+    def shingles(words):
+        return np.array([zlib.crc32(" ".join(words[i:i + 5]).encode()) for i in range(len(words) - 4)], np.uint64)
+
+    for _ in range(20):
+        a = [f"p{x}" for x in r.integers(0, 10 ** 6, 57)]
+        b = a[:28] + [f"q{x}" for x in r.integers(0, 10 ** 6, 4)] + a[28:]
+        one, two = set(shingles(a)), set(shingles(b))
+        assert len(one & two) / len(one | two) >= 0.8
+        x, y = ([f"{n}{k}" for k in r.integers(0, 10 ** 6, 60)] + p + [f"{n}{k}" for k in r.integers(0, 10 ** 6, 30)] for n, p in (("x", a), ("y", b)))
+        assert passage_dedup._passages(shingles(x), shingles(y), 46, 80) and passage_dedup._passages(shingles(y), shingles(x), 46, 80)
+
+
 def test_a_pass_knows_what_it_showed():
     """Whoever shares the first signs of a vector, as many as its chance counts, is within the window and not beyond a border."""
     r, window, p = np.random.default_rng(8), 3, 1 - np.arccos(0.9) / np.pi
