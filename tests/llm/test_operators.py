@@ -532,3 +532,42 @@ def test_components(spark):
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert got == {i: 0 for i in range(41)} | {i: 98 for i in (98, 99, 100)} | {i: 500 for i in range(500, 531)}
     assert common.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_pairs_are_compared_in_full_only_for_what_they_add(monkeypatch):
+    """A family of edited copies: the same words and links as from all pairs, with fewer full comparisons."""
+    r, full = np.random.default_rng(9), passage_dedup._passages
+    base = [f"b{k}" for k in range(160)]
+    texts = [common.shingle_hashes(np.array([zlib.crc32(w.encode()) for w in copy], np.uint64), 5) for copy in (
+        [f"e{r.integers(0, 10 ** 6)}" if r.random() < 0.025 else w for w in base] for _ in range(24))]
+    pairs = [(x, y) for x in range(24) for y in range(x + 1, 24)]
+    want = [np.zeros(160, bool) for _ in texts]
+    for x, y in pairs:
+        for i, j, p, q in full(texts[x], texts[y], 46, 80):
+            want[x][i:j + 4] = want[y][p:q + 4] = True
+    calls = []
+    monkeypatch.setattr(passage_dedup, "_passages", lambda *a: calls.append(a) or full(*a))
+    done = [np.zeros(len(t) + 5, bool) for t in texts]
+    found = list(passage_dedup._news(texts, done, list(range(24)), pairs, 5, 46, 80))
+    assert all((d[:160] == w).all() for d, w in zip(done, want, strict=True)) and len(calls) < len(pairs)
+    assert len({passage for passage in found}) == len(found) and {k for f in found for k in f[:2]} == set(range(24))
+    calls.clear()
+    assert not list(passage_dedup._news(texts, [np.ones(len(t) + 5, bool) for t in texts], [0] * 24, pairs, 5, 46, 80)) and not calls
+
+
+def test_no_passage_lies_beyond_its_reach():
+    r = np.random.default_rng(10)
+    for _ in range(6):
+        x, y = np.arange(40), np.arange(40)
+        for k in range(int(r.integers(1, 5))):
+            x[r.integers(0, 40)], y = 1000 + k, np.insert(y, int(r.integers(0, 40)), 2000 + k)
+        met = np.flatnonzero(np.isin(x, y))
+        reach = passage_dedup._reach(met, np.flatnonzero(np.isin(y, x)), len(x), len(y), 20, 80)
+        for i in range(len(x)):
+            for j in range(i + 20, len(x) + 1):
+                a = set(x[i:j].tolist())
+                for p in range(len(y)):
+                    for q in range(p + 20, len(y) + 1):
+                        b = set(y[p:q].tolist())
+                        if 5 * len(a & b) >= 4 * len(a | b):
+                            assert reach[0][i:j].all() and reach[1][p:q].all()
