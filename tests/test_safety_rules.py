@@ -9,6 +9,7 @@ from vitalloom.operators import aggregates as a
 from vitalloom.operators import documents as d
 from vitalloom.operators import joins as j
 from vitalloom.operators import windows as w
+from vitalloom.plans import safety
 
 
 def test_aspirin_and_warfarin_are_critical_either_way_round(rows):
@@ -157,3 +158,47 @@ def test_herb_join_needs_both_sides_unless_loose(rows):
     loose = {(r["b"], r["severity"]) for r in j.herb_matches(pairs, herbs, "a", "b", loose=True).collect()}
     assert strict == {("ginkgo", "high"), ("zinc", None)}
     assert loose == {("ginkgo", "high"), ("zinc", "high")}
+
+
+def shuffled_rows(spark):
+    """Rows that the session's stages have written for shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_safety_findings_deal_the_items_once(spark, rows):
+    """3,000 entities with 3 items each: what is shuffled stays near the items and the tables by entity."""
+    names = [f"n{i:02d} m{i % 5}" for i in range(40)]
+    items = rows([(e, k, names[(e * 7 + k * 11) % 40], "dr" if e % 2 else " ") for e in range(3000) for k in range(3)], "e long, i int, item string, rx string")
+    rules = rows([(x, y, "low") for x in names for y in names if x < y], "drug_a string, drug_b string, severity string")
+    by_entity = {"markers": rows([(e, 40.0) for e in range(3000)], "e long, egfr double"), "renal_flags": rows([(e, False) for e in range(3000)], "e long, has_renal boolean"),
+                 "conditions": rows([(e, "ulcer") for e in range(3000)], "e long, cond string")}
+    votes = rows([(names[0], names[11], "vetoed")] * 3, "drug_a string, drug_b string, outcome string")
+    renal = rows([(names[0], 60.0, 45.0, 30.0, "medium")], "item string, advisory_egfr double, warning_egfr double, critical_egfr double, default_severity string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        before = shuffled_rows(spark)
+        got = safety.safety_findings(items, rules, votes, renal, **by_entity, entity="e", ident="i", item="item", prescriber="rx",
+                                     components=F.split("item", " "), condition="cond", condition_rules=[("r", (names[1],), ("ulcer",), "high")])
+        kinds = {(r.type, r.severity): r["count"] for r in got.groupBy("type", "severity").count().collect()}
+        assert kinds[("drug_interaction", "critical")] + kinds[("drug_interaction", "low")] == 9000
+        assert kinds[("r", "high")] == sum(n == names[1] for e in range(3000) for n in {names[(e * 7 + k * 11) % 40] for k in range(3)})
+        assert shuffled_rows(spark) - before < 9000 + 3 * 3000 + 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_distinct_items_of_an_entity_give_the_findings_of_their_rows(rows, monkeypatch, few):
+    """Against the operators over rows, with entities above and below the bound, null items and blank prescribers."""
+    monkeypatch.setattr(j, "FEW", few)
+    names = ["a b", "B c", "d", None, "e f", "f g", "a b ", "", "h"]
+    items = rows([(None if e == 5 else e, e * 100 + k, names[(e * k + k // 3) % 9], ["x", None, " "][(e + k) % 3]) for e in range(9) for k in range(e + 1)], "e long, i int, item string, rx string")
+    rules = j.canonical_rules(rows([(x, y, "high") for x in names for y in names if x and y and x < y], "drug_a string, drug_b string, severity string"))
+    held = j.held_once(items, "e", "item", "rx")
+    assert sorted(map(tuple, j.flagged_pairs_held(held, rules, "e", "item").collect())) == sorted(map(tuple, j.flagged_pairs(items, rules, "e", "item").collect()))
+    want = j.duplicate_or_overlap(items, "e", "i", "item", "rx", F.split("item", " ")).select("e", "item", "finding", "severity").distinct()
+    got = j.duplicates_held(held, "e", "item", F.split("item", " "))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 10
