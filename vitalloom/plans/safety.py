@@ -12,7 +12,7 @@ from ..operators.aggregates import escalate_by_votes
 from ..operators.joins import (CONDITION_RULES, canonical_rules, condition_findings, duplicates_held, flagged_pairs_held, held_once,
                                renal_findings, without_recent)
 from ..operators.windows import union_findings
-from ..session import checkpointed, written
+from ..session import written
 
 SHAPE = {"entity": "bigint", "item": "string", "type": "string", "severity": "string"}
 
@@ -58,7 +58,7 @@ def alerts_to_raise(summary: DataFrame, context: DataFrame, keys: Sequence[str],
 
     The summary (one row per entity) is written once, since the window needs it on both sides.
     """
-    known = checkpointed(summary.join(context, "entity"))
+    known = written(summary.join(context, "entity"), "safety-summary")
     due = known.where("requires_veto")
     flagged = without_recent(due, due, [*keys, "max_severity"], time, time, within_seconds, ident="entity", flag="__seen")
     calm = known.where(~F.col("requires_veto")).withColumn("__seen", F.lit(True))
