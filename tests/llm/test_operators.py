@@ -571,3 +571,22 @@ def test_no_passage_lies_beyond_its_reach():
                         b = set(y[p:q].tolist())
                         if 5 * len(a & b) >= 4 * len(a | b):
                             assert reach[0][i:j].all() and reach[1][p:q].all()
+
+
+def test_pairs_of_a_family_lie_in_one_cell(spark, monkeypatch):
+    """30 families of 4 texts: each text goes to its family's cell alone, and pairs across families still are compared."""
+    from vitalloom.llm import common, passage_dedup
+
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [(f * 4 + m, words(f, 70) + " " + words(1000 + f * 4 + m, 5) + (" " + words(9, 60) if f > 27 else "")) for f in range(30) for m in range(4)]
+    pairs = [(f * 4 + m, f * 4 + n) for f in range(30) for m in range(4) for n in range(m + 1, 4)] + [(115, 117), (112, 119)]
+    roots = spark.createDataFrame([(u, u // 4 * 4) for u, _ in texts], "uid long, root long")
+    kept, put = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: kept.setdefault(name, put(df, name)))
+    monkeypatch.setattr(passage_dedup, "SIDE", 4)
+    none = spark.createDataFrame([], "uid long, spans array<struct<start:int,end:int>>")
+    got = passage_dedup._compared(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "uid long, text string"), none, roots, 5, 46, 80, "few").collect()
+    assert {r.uid for r in got if r.a // 4 == r.b // 4} == {u for u, _ in texts}
+    assert any((r.a, r.b) == (115, 117) or (r.a, r.b) == (112, 119) for r in got)
+    cells = kept["few-cells"].where("a div 4 = b div 4").selectExpr("a div 4 f", "cell").distinct()
+    assert cells.count() == 30
